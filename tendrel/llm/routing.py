@@ -172,7 +172,8 @@ def repeated_windows(rows: DataFrame, solve: Callable, unit: str, window: int, g
     segments = cut(taken.mapInArrow(_segments(unit, window, gram, longest), f"_id {kind}, _tk long, _at long, _n long, _key long, _own long"), "segments")
     per_key = segments.groupBy("_key").agg(F.min("_id").alias("_lo"), F.max("_id").alias("_hi"), F.count("*").alias("_c"))
     shared = per_key.where((F.col("_hi") > F.col("_lo")) if earlier else (F.col("_c") > 1)).select("_key")
-    met = cut(segments.join(shared, "_key", "left_semi"), "met")
+    # Both sides of the join are plain tables, so Spark may split a key that many segments share.
+    met = cut(segments.join(cut(shared, "shared"), "_key", "left_semi"), "met")
     # a class: its least member speaks for it; the others' windows all repeat
     classes = met.groupBy("_key", "_own").agg(F.min(F.struct("_id", "_tk", "_at")).alias("_rep"), F.max("_id").alias("_hi"), F.count("*").alias("_c"))
     classes = classes.withColumn("_many", F.col("_hi") > F.col("_rep._id") if earlier else F.col("_c") > 1).drop("_hi", "_c")
