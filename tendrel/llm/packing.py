@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, flat_text, input_rows, word_bounds
+from .common import arrow_rows, flat_text, input_rows, word_bounds, worker_state
 
 WINDOW = 2048
 #: Documents a packing group has on average; sequence ids are group * 2**32 + number.
@@ -144,10 +144,11 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, windo
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_key"), F.col(text_col).alias("_text"))
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(tokenizer_path)
+        encoder = worker_state().get(f"encoder {tokenizer_path}") or ChunkEncoder(tokenizer_path)
+        worker_state()[f"encoder {tokenizer_path}"] = encoder
         for b in batches:
             ids, offsets = encoder.encode(b.column(2))
-            row, start, length, crc, total, kept = [], [], [], [], [], []
+            row, start, length, crc, total, cut_ids = [], [], [], [], [], []
             for i, (lo, hi) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
                 own = np.append(ids[lo:hi], np.uint32(end_id)).astype("<u4")
                 for s in range(0, len(own), window):
@@ -158,13 +159,13 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, windo
                     crc.append(zlib.crc32(piece.tobytes()))
                     total.append(len(own))
                     if with_ids:
-                        kept.append(piece)
+                        cut_ids.append(piece)
             at = pa.array(row, pa.int64())
             cols = {"_id": b.column(0).take(at), "_key": b.column(1).take(at)} | {
                 n: pa.array(v, pa.int64()) for n, v in (("start", start), ("length", length), ("doc_tokens", total), ("ids_crc32", crc))}
             if with_ids:
                 cuts = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
-                cols["ids"] = pa.ListArray.from_arrays(cuts, pa.array(np.concatenate([*kept, np.zeros(0, "<u4")]).astype(np.int32)))
+                cols["ids"] = pa.ListArray.from_arrays(cuts, pa.array(np.concatenate([*cut_ids, np.zeros(0, "<u4")]).astype(np.int32)))
             yield pa.RecordBatch.from_pydict(cols)
 
     kind = dict(rows.dtypes)["_id"]

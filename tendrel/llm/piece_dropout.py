@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE_WORDS, Rolling, arrow_rows, flat_text, input_rows, mixed
+from .common import BYTE_WORDS, Rolling, arrow_rows, flat_text, input_rows, mixed, worker_state
 
 SPACE = "▁"
 RAW = 1 << 20  # symbols that are no piece: RAW + code point
@@ -191,7 +191,8 @@ def encode_documents(docs: DataFrame, model_path: str, seed: int = 1, dropout: f
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(id_col).alias("_key"), F.col(text_col).alias("_text"))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = MergeModel(model_path)
+        model = worker_state().get(f"pieces {model_path}") or MergeModel(model_path)
+        worker_state()[f"pieces {model_path}"] = model
         for b in batches:
             texts = b.column(2)
             ids, offsets = encode_batch(model, texts, b.column(1).to_numpy(zero_copy_only=False), seed, dropout, variants)
