@@ -176,8 +176,8 @@ def repeated_windows(rows: DataFrame, solve: Callable, unit: str, window: int, g
     met = cut(segments.join(cut(shared, "shared"), "_key", "left_semi"), "met")
     # a class: its least member speaks for it; the others' windows all repeat
     classes = met.groupBy("_key", "_own").agg(F.min(F.struct("_id", "_tk", "_at")).alias("_rep"), F.max("_id").alias("_hi"), F.count("*").alias("_c"))
-    classes = classes.withColumn("_many", F.col("_hi") > F.col("_rep._id") if earlier else F.col("_c") > 1).drop("_hi", "_c")
-    groups = classes.groupBy("_key").agg(F.count("*").alias("_classes"))
+    classes = cut(classes.withColumn("_many", F.col("_hi") > F.col("_rep._id") if earlier else F.col("_c") > 1).drop("_hi", "_c"), "classes")
+    groups = cut(classes.groupBy("_key").agg(F.count("*").alias("_classes")), "groups")
     known = cut(met.join(classes, ["_key", "_own"]).join(groups, "_key").select(
         "_id", "_tk", "_at", "_n", "_key", "_classes", "_many",
         F.struct("_id", "_tk", "_at").eqNullSafe(F.col("_rep")).alias("_is_rep"), (F.col("_id") > F.col("_rep._id")).alias("_later")), "known")

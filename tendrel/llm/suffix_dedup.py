@@ -16,9 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, flat_text, input_rows
-from .routing import CROWD, chunks, covered, keyed, repeated_windows, with_repeats
+from .routing import chunks, covered, keyed, repeated_windows, with_repeats
 
 BYTES, GRAM, LONGEST = 400, 32, 512
+#: Distinct segments of one key beyond which it goes window by window: some 18,000 windows, which one suffix array may hold.
+CROWD = 100
 #: Windows in a batch of the family.
 BATCH = 16_384
 
