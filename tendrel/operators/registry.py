@@ -1,4 +1,71 @@
-def queries():
-    return {}
-def oracle_sql():
-    return {}
+"""Queries of the DataFrame operators, and the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tendrel.functions import columns as C
+from tendrel.operators import relational as R
+from tendrel.plans.tables import VALUE_BANDS, band
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _keep_one(spark, sf_dir):
+    return R.keep_one(_table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], [F.desc("l_shipdate"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_quantity")]).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+def _versions(spark, sf_dir):
+    return R.version_columns(_table(spark, sf_dir, "orders"), "o_custkey", [F.col("o_orderdate"), F.col("o_orderkey")]).select("o_orderkey", "version_number", "version_count", "is_latest")
+
+
+def _grain(spark, sf_dir):
+    return R.verify_grain(_table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])[0]
+
+
+def _conflicts(spark, sf_dir):
+    return R.conflict_fields(_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate"), ["l_orderkey", "l_linenumber"])
+
+
+def _dense(spark, sf_dir):
+    status, priority = ["F", "O", "P", "X"], ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+    return R.dense_group(_table(spark, sf_dir, "orders"), {"o_orderstatus": status, "o_orderpriority": priority}, [F.count("*").alias("orders")])
+
+
+def _orphans(spark, sf_dir):
+    return R.orphans(_table(spark, sf_dir, "customer"), _table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey"), ["c_custkey"]).select("c_custkey", "c_name")
+
+
+def _top_share(spark, sf_dir):
+    cents = _table(spark, sf_dir, "orders").select(F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    return R.top_share(cents, "cents", 5).select("rows", F.round("value", 0).alias("value"))
+
+
+def _bands(spark, sf_dir):
+    c = (F.round(F.col("o_totalprice") * 100).cast("long") * 10)
+    return _table(spark, sf_dir, "orders").groupBy(C.band(c, VALUE_BANDS, right=True).alias("value_band")).agg(F.count("*").alias("orders"))
+
+
+_SQL = {
+    "w05_keep_one": (_keep_one, "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_partkey, l_suppkey, l_quantity) AS rn FROM lineitem) x WHERE rn = 1"),
+    "w04_version_columns": (_versions, "SELECT *, version_number = version_count AS is_latest FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)::INTEGER AS version_number, count(*) OVER (PARTITION BY o_custkey) AS version_count FROM orders) x"),
+    "d04_verify_grain": (_grain, "SELECT count(*) AS keys, count(*) FILTER (WHERE n > 1) AS repeated, count(*) FILTER (WHERE n > 1 AND c = 1) AS identical, count(*) FILTER (WHERE c > 1) AS conflicting FROM (SELECT l_orderkey, l_linenumber, sum(n) AS n, count(*) AS c FROM (SELECT *, count(*) AS n FROM lineitem GROUP BY ALL) y GROUP BY l_orderkey, l_linenumber) x"),
+    "d05_conflicting_columns": (_conflicts, "SELECT l_orderkey, l_linenumber, n AS rows, concat_ws('; ', CASE WHEN a > 1 THEN 'l_returnflag' END, CASE WHEN b > 1 THEN 'l_linestatus' END, CASE WHEN c > 1 THEN 'l_shipdate' END) AS fields FROM (SELECT l_orderkey, l_linenumber, count(*) AS n, count(DISTINCT l_returnflag) AS a, count(DISTINCT l_linestatus) AS b, count(DISTINCT l_shipdate) AS c FROM lineitem GROUP BY l_orderkey, l_linenumber) x WHERE n > 1"),
+    "a16_dense_group": (_dense, "SELECT s.o_orderstatus, p.o_orderpriority, count(o.o_orderkey) AS orders FROM (SELECT unnest(['F', 'O', 'P', 'X']) AS o_orderstatus) s CROSS JOIN (SELECT unnest(['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW']) AS o_orderpriority) p LEFT JOIN orders o ON o.o_orderstatus = s.o_orderstatus AND o.o_orderpriority = p.o_orderpriority GROUP BY s.o_orderstatus, p.o_orderpriority"),
+    "j05_orphans": (_orphans, "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"),
+    "t04_top_share": (_top_share, "SELECT count(*) AS rows, CAST(sum(cents) AS DOUBLE) AS value FROM (SELECT CAST(round(o_totalprice * 100) AS BIGINT) AS cents, row_number() OVER (ORDER BY o_totalprice DESC) AS rn, count(*) OVER () AS n FROM orders) x WHERE rn <= floor(n * 5 / 100)"),
+    "p24_right_closed_bands": (_bands, f"SELECT {band('CAST(round(o_totalprice * 100) AS BIGINT) * 10', VALUE_BANDS, right=True)} AS value_band, count(*) AS orders FROM orders GROUP BY 1"),
+}
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {k: f for k, (f, _) in _SQL.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: sql for k, (_, sql) in _SQL.items()}
