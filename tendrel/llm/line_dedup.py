@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower, input_rows, text_key
+from .common import SPACES, ascii_lower, cut, input_rows, text_key
 
 
 def line_hash(line: Column) -> Column:
@@ -32,7 +32,8 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id
     )
     lines = F.split(F.col("_text"), "\n", -1)
     hashed = rows.select("_id", "_tk", F.explode(F.array_distinct(F.filter(F.transform(lines, line_hash), lambda h: h.isNotNull()))).alias("_h"))
-    common = hashed.groupBy("_h").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_docs).select("_h")
+    # Written first: both sides of the join are then plain tables, and Spark may split a line that very many documents share.
+    common = cut(hashed.groupBy("_h").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_docs).select("_h"), "common")
     hits = hashed.join(common, "_h", "left_semi").groupBy("_id", "_tk").agg(F.collect_set("_h").alias("_gone"))
     found = rows.alias("r").join(
         hits.alias("c"), F.col("r._id").eqNullSafe(F.col("c._id")) & F.col("r._tk").eqNullSafe(F.col("c._tk")), "left",
