@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tendrel.functions.columns import row_signature
+from tendrel.operators.ranking import ranked
 
 
 def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -50,18 +51,15 @@ def dense_group(df: DataFrame, dims: dict[str, Sequence[str]], aggs: Sequence[Co
 def top_share(df: DataFrame, value: str, percent: float, rounding: str = "floor") -> DataFrame:
     """How many rows the top ``percent`` are, and their sum and share of the whole, without sorting all rows in one task.
 
-    Values are counted by value first; the few largest that reach the cut are found from running counts over ranges of values.
+    Values are counted first; the largest that reach the cut are found from their running counts.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
-    total = counted.agg(F.sum("_n").alias("n"), F.sum(F.col(value) * F.col("_n")).alias("s")).first()
+    placed = ranked(df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n")), [F.desc(value)], "_n")
+    total = placed.agg(F.sum("_n").alias("n"), F.sum(F.col(value) * F.col("_n")).alias("s")).first()
     if not total["n"]:
         return df.sparkSession.createDataFrame([(0, 0.0, None)], "rows long, value double, share double")
     want = int(total["n"] * percent / 100) if rounding == "floor" else max(1, -int(-total["n"] * percent // 100))
-    ranged = counted.repartitionByRange(F.desc(value)).withColumn("_p", F.spark_partition_id())
-    sizes = ranged.groupBy("_p").agg(F.sum("_n").alias("_c")).select("_p", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    running = ranged.join(sizes, "_p").withColumn("_upto", F.col("_before") + F.sum("_n").over(Window.partitionBy("_p").orderBy(F.desc(value))))
-    take = F.greatest(F.least(F.col("_n"), F.lit(want) - (F.col("_upto") - F.col("_n"))), F.lit(0))
-    return running.agg(F.sum(take).alias("rows"), F.sum(F.col(value) * take).cast("double").alias("value")).withColumn("share", F.col("value") * 100 / F.lit(float(total["s"])))
+    take = F.greatest(F.least(F.col("_n"), F.lit(want) - (F.col("running") - F.col("_n"))), F.lit(0))
+    return placed.agg(F.sum(take).alias("rows"), F.sum(F.col(value) * take).cast("double").alias("value")).withColumn("share", F.col("value") * 100 / F.lit(float(total["s"])))
 
 
 def verify_grain(df: DataFrame, keys: Sequence[str], ignore: Sequence[str] = ("source_file",)) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -18,19 +18,22 @@ def _labels(bands: tuple, unknown: bool = False) -> list[str]:
 
 
 def statements(d: Dialect) -> dict[str, str]:
-    by = lambda key: f"SELECT {key}, count(*) AS award_count, coalesce({money('sum(award_value)')}, 0) AS allocated_value, {r2(d.median('award_value'))} AS median_value, {pct('count(*)', 'sum(count(*)) OVER ()')} AS award_share, {pct('coalesce(sum(award_value), 0)', 'sum(sum(award_value)) OVER ()')} AS value_share FROM dataset GROUP BY {key}"
+    by = lambda key: f"SELECT {key}, count(*) AS award_count, coalesce({money('sum(award_value)')}, 0) AS allocated_value, {r2('max(q50)')} AS median_value, {pct('count(*)', 'sum(count(*)) OVER ()')} AS award_share, {pct('coalesce(sum(award_value), 0)', 'sum(sum(award_value)) OVER ()')} AS value_share FROM dataset LEFT JOIN {key}_quantiles ON {key} = k GROUP BY {key}"
     kpi = lambda rows, src: " UNION ALL ".join(f"SELECT '{m}' AS metric, CAST({x} AS DOUBLE) AS value FROM {src}" for m, x in rows.items())
-    check = lambda category, test, sql: f"SELECT '{category}' AS category, '{test}' AS test, CASE WHEN v = 0 THEN 'PASS' ELSE 'FAIL' END AS status, v AS value FROM ({sql}) q_{abs(hash((category, test))) % 1}"
+    check = lambda category, test, sql: f"SELECT '{category}' AS category, '{test}' AS test, CASE WHEN v = 0 THEN 'PASS' ELSE 'FAIL' END AS status, v AS value FROM ({sql}) q"
     orphans = lambda child, parent, keys: f"SELECT count(*) AS v FROM {child} c LEFT JOIN (SELECT DISTINCT {', '.join(keys)} FROM {parent}) p ON {' AND '.join(f'c.{k} = p.{k}' for k in keys)} WHERE p.{keys[0]} IS NULL"
     keys = lambda table, cols: f"SELECT count(*) - count(DISTINCT {' || '.join(f'''coalesce(CAST({c} AS STRING), '<NULL>') || '|' ''' for c in cols)}) + count(CASE WHEN {' OR '.join(f'{c} IS NULL' for c in cols)} THEN 1 END) AS v FROM {table}"
     dims = f"({_rows(_labels(ACTIVITY_BANDS), 'activity_band')}) a JOIN ({_rows(_labels(VALUE_BANDS), 'value_band')}) v ON 1 = 1"
     struct = f"""SELECT structure, count(*) AS awards, coalesce({money('sum(award_value)')}, 0) AS allocated_value, {pct('count(*)', 'sum(count(*)) OVER ()')} AS award_share FROM dataset WHERE structure <> 'No usable supplier' GROUP BY structure"""
     buyers_ranked = f"""SELECT buyer_key, buyer_name, awards, coalesce({money('value')}, 0) AS value, {pct('awards', 'sum(awards) OVER ()')} AS award_share, {pct('value', 'sum(value) OVER ()')} AS value_share,
         rank() OVER (ORDER BY coalesce(value, 0) DESC) AS value_rank, rank() OVER (ORDER BY awards DESC) AS award_rank FROM overview"""
+    if d.spark:
+        buyers_ranked = f"""SELECT o.buyer_key, o.buyer_name, o.awards, coalesce({money('o.value')}, 0) AS value, {pct('o.awards', '(SELECT sum(v * n) FROM ranked_buyer_awards)')} AS award_share, {pct('o.value', '(SELECT sum(v * n) FROM ranked_buyer_values)')} AS value_share,
+            x.running - x.n + 1 AS value_rank, y.running - y.n + 1 AS award_rank FROM overview o JOIN ranked_buyer_values x ON coalesce(o.value, 0) = x.v JOIN ranked_buyer_awards y ON o.awards = y.v"""
     flags = "CASE WHEN award_value IS NULL THEN 1 ELSE 0 END", "CASE WHEN procurement_method IS NULL THEN 1 ELSE 0 END", "CASE WHEN procurement_category IS NULL THEN 1 ELSE 0 END", "CASE WHEN buyer_id IS NULL THEN 1 ELSE 0 END", "CASE WHEN usable_suppliers = 0 THEN 1 ELSE 0 END"
     indicators = f"""SELECT o.buyer_key, o.buyer_name, coalesce(o.value >= t.cut, false) AS top_value, coalesce(CAST(o.single_value AS DOUBLE) / nullif(CAST(o.value AS DOUBLE), 0) >= 0.9, false) AS single_exposure,
         coalesce(CAST(o.direct_value AS DOUBLE) / nullif(CAST(o.value AS DOUBLE), 0) >= 0.25, false) AS direct_exposure, coalesce(o.longest_days / 365.25 >= 10, false) AS long_duration
-        FROM overview o JOIN (SELECT {d.quantile('value', '0.95')} AS cut FROM overview) t ON 1 = 1"""
+        FROM overview o JOIN (SELECT q95 AS cut FROM buyer_value_quantiles) t ON 1 = 1"""
     count_of = "CAST(top_value AS INT) + CAST(single_exposure AS INT) + CAST(direct_exposure AS INT) + CAST(long_duration AS INT)"
     reasons = {"top_value": "Allocated value in the top five percent", "single_exposure": "High single supplier exposure", "direct_exposure": "Direct or limited exposure", "long_duration": "Contract of ten years or more"}
     joined = "concat_ws('; ', " + ", ".join(f"CASE WHEN {k} THEN '{t}' END" for k, t in reasons.items()) + ")"
@@ -40,20 +43,20 @@ def statements(d: Dialect) -> dict[str, str]:
         "j05_orphan_awards": "SELECT s.award_id, s.release_id FROM award_suppliers s LEFT JOIN latest l ON s.award_id = l.award_id AND s.release_id = l.release_id WHERE l.award_id IS NULL",
         "j08_validated_latest": "SELECT l.award_id, p.buyer_name FROM latest l JOIN procurements p ON l.ocid = p.ocid",
         "a07_names_per_release": f"SELECT release_id, {d.joined('supplier_name_normalized', ' | ')} AS names FROM award_suppliers GROUP BY release_id",
-        "a10_value_quantile": f"SELECT {r2(d.quantile('award_value', '0.95'))} AS p95, {r2(d.quantile('award_value', '0.25'))} AS p25 FROM latest",
+        "a10_value_quantile": f"SELECT {r2('q95')} AS p95, {r2('q25')} AS p25 FROM award_quantiles",
         "a13_method_crosstab": f"SELECT category, {', '.join(f'{n(where=f"method_group = {chr(39)}{m}{chr(39)}")} AS {m.lower()}' for m in METHODS)} FROM dataset GROUP BY category",
         "a14_score_combinations": "SELECT value_points, duration_points, method_points, single_supplier_points, count(*) AS awards FROM dataset GROUP BY value_points, duration_points, method_points, single_supplier_points ORDER BY awards DESC, value_points, duration_points, method_points, single_supplier_points LIMIT 20",
         "a15_versions_histogram": "SELECT versions, count(*) AS awards FROM (SELECT award_id, count(*) AS versions FROM award_versions GROUP BY award_id) x GROUP BY versions",
         "w04_versions": "SELECT award_id, release_id, award_version_number, award_version_count, is_latest FROM award_versions",
         "w06_distinct_names_per_id": "SELECT relationship_observation_key, coalesce(supplier_id_name_count, 0) AS supplier_id_name_count FROM award_suppliers",
         "w08_method_share_within_buyer": f"SELECT buyer_key, method_group, count(*) AS awards, {pct('count(*)', 'sum(count(*)) OVER (PARTITION BY buyer_key)')} AS share FROM dataset GROUP BY buyer_key, method_group",
-        "w09_cumulative_supplier_share": f"SELECT supplier_key, rn, {pct('sum(value) OVER (ORDER BY rn ROWS UNBOUNDED PRECEDING)', 'total')} AS cumulative_share FROM supplier_ranks",
+        "w09_cumulative_supplier_share": f"SELECT supplier_key, rn, {pct('running', 'total')} AS cumulative_share FROM supplier_ranks",
         "w10_tag_sequences": ("SELECT sequence, count(*) AS customers FROM (SELECT custkey, array_join(transform(array_sort(collect_list(struct(release_date, release_id, release_tag))), x -> x.release_tag), ' > ') AS sequence FROM releases GROUP BY custkey) x GROUP BY sequence ORDER BY customers DESC, sequence LIMIT 20"
             if d.spark else "SELECT sequence, count(*) AS customers FROM (SELECT custkey, string_agg(release_tag, ' > ' ORDER BY release_date, release_id) AS sequence FROM releases GROUP BY custkey) x GROUP BY sequence ORDER BY customers DESC, sequence LIMIT 20"),
         "u04_exact_duplicates": "SELECT count(*) AS rows_all, count(*) - (SELECT count(*) FROM (SELECT DISTINCT award_id, release_id, award_value FROM raw_awards) x) AS removed FROM raw_awards",
         # data quality
         "d01_null_profile": " UNION ALL ".join(numeric(t, c) for t, c in (("procurements", "buyer_id"), ("procurements", "procurement_method"), ("procurements", "procurement_category"), ("procurements", "tender_value"), ("award_versions", "award_value"), ("award_versions", "contract_end"), ("award_suppliers", "supplier_id"), ("award_suppliers", "supplier_name"))),
-        "d03_describe_values": f"SELECT count(tender_value) AS n, {mean('tender_value')} AS mean_value, {money('min(tender_value)')} AS least, {r2(d.quantile('tender_value', '0.25'))} AS q1, {r2(d.median('tender_value'))} AS median_value, {r2(d.quantile('tender_value', '0.75'))} AS q3, {money('max(tender_value)')} AS most FROM procurements",
+        "d03_describe_values": f"SELECT count(tender_value) AS n, {mean('tender_value')} AS mean_value, {money('min(tender_value)')} AS least, {r2('max(q25)')} AS q1, {r2('max(q50)')} AS median_value, {r2('max(q75)')} AS q3, {money('max(tender_value)')} AS most FROM procurements LEFT JOIN tender_quantiles ON 1 = 1",
         "d04_grain_lineitem": "SELECT count(*) AS repeated_keys, count(CASE WHEN contents = 1 THEN 1 END) AS identical, count(CASE WHEN contents > 1 THEN 1 END) AS conflicting, CAST(sum(n) AS BIGINT) AS rows_in_them FROM (SELECT award_id, release_id, count(*) AS n, count(DISTINCT coalesce(CAST(release_date AS STRING), '') || '|' || coalesce(CAST(award_value AS STRING), '<NULL>') || '|' || CAST(suppkey AS STRING)) AS contents FROM raw_awards GROUP BY award_id, release_id HAVING count(*) > 1) x",
         "d05_conflict_fields": "SELECT award_id, release_id, concat_ws('; ', CASE WHEN a > 1 THEN 'award_value' END, CASE WHEN b > 1 THEN 'contract_end' END, CASE WHEN c > 1 THEN 'contract_start' END) AS fields FROM (SELECT award_id, release_id, count(DISTINCT coalesce(CAST(award_value AS STRING), '<NULL>')) AS a, count(DISTINCT coalesce(CAST(contract_end AS STRING), '<NULL>')) AS b, count(DISTINCT coalesce(CAST(contract_start AS STRING), '<NULL>')) AS c FROM raw_awards GROUP BY award_id, release_id HAVING count(*) > 1) x",
         "d06_ids_with_several_names": "SELECT supplier_id, count(*) AS relationships, count(DISTINCT supplier_name_normalized) AS names FROM award_suppliers WHERE supplier_id IS NOT NULL GROUP BY supplier_id HAVING count(DISTINCT supplier_name_normalized) > 1",
@@ -82,7 +85,7 @@ def statements(d: Dialect) -> dict[str, str]:
         "d38_buyer_quality": kpi({"buyers": "count(*)", "with_id": "count(CASE WHEN buyer_key LIKE 'ID:%' THEN 1 END)", "without_id": "count(CASE WHEN buyer_key LIKE 'NAME:%' THEN 1 END)", "several_names": "count(CASE WHEN names > 1 THEN 1 END)", "missing_values": "sum(missing_values)"}, "buyers"),
         # analyses
         "c01_dataset": f"SELECT award_id, method_group, value_band, duration_band, structure, {', '.join(f'{x} AS missing_{k}' for x, k in zip(flags, ('value', 'method', 'category', 'buyer_id', 'supplier')))} FROM dataset",
-        "c02_value_kpis": f"SELECT count(*) AS awards, {money('sum(award_value)')} AS total, {mean('award_value')} AS average, {r2(d.median('award_value'))} AS median_value, {money('max(award_value)')} AS most FROM dataset",
+        "c02_value_kpis": f"SELECT count(*) AS awards, {money('sum(award_value)')} AS total, {mean('award_value')} AS average, {r2('max(q50)')} AS median_value, {money('max(award_value)')} AS most FROM dataset LEFT JOIN dataset_quantiles ON 1 = 1",
         "c03_allocation": f"SELECT supplier_key, award_id, release_id, supplier_count, {r2('share_value')} AS share_value FROM allocated_once",
         "c04_supplier_summary": f"SELECT supplier_key, name, awards, {r2('value')} AS value, rn AS value_rank, {pct('value', 'total')} AS value_share, {band('value', VALUE_BANDS, right=True)} AS value_band FROM supplier_ranks",
         "c05_supplier_concentration": " UNION ALL ".join(f"SELECT {p} AS percentile, count(*) AS suppliers, {r2('sum(value)')} AS value, {pct('sum(value)', 'max(total)')} AS share FROM supplier_ranks WHERE rn <= greatest(1, ceil(suppliers * {p} / 100.0))" for p in (1, 5, 10, 25, 50)),
@@ -98,15 +101,15 @@ def statements(d: Dialect) -> dict[str, str]:
         "c14_method_by_buyer": f"SELECT buyer_key, method_group, count(*) AS awards, {money('sum(award_value)')} AS value, {pct('sum(award_value)', 'sum(sum(award_value)) OVER (PARTITION BY buyer_key)')} AS value_share FROM dataset GROUP BY buyer_key, method_group",
         "c15_direct_limited_exposure": f"SELECT buyer_key, {n(where=chr(32).join(('method_group IN', str(('Direct', 'Limited')))))} AS awards, {money('max(b.direct_value)')} AS value, {pct('max(b.direct_value)', 'max(b.value)')} AS share FROM dataset JOIN (SELECT buyer_key AS k, direct_value, value FROM buyers) b ON buyer_key = b.k GROUP BY buyer_key HAVING max(b.direct_value) IS NOT NULL",
         "c16_long_duration_exposure": f"SELECT buyer_key, count(*) AS awards, {money('sum(award_value)')} AS value, {r2('max(duration_days) / 365.25')} AS longest_years FROM dataset WHERE duration_days / 365.25 >= 10 GROUP BY buyer_key",
-        "c17_median_segments": f"SELECT o.buyer_key, CASE WHEN o.awards >= m.a THEN 'Higher activity' ELSE 'Lower activity' END || ' / ' || CASE WHEN coalesce(o.value, 0) >= m.v THEN 'higher value' ELSE 'lower value' END AS segment FROM overview o JOIN (SELECT {d.median('awards')} AS a, {d.median('coalesce(value, 0)')} AS v FROM overview) m ON 1 = 1",
+        "c17_median_segments": f"SELECT o.buyer_key, CASE WHEN o.awards >= m.a THEN 'Higher activity' ELSE 'Lower activity' END || ' / ' || CASE WHEN coalesce(o.value, 0) >= m.v THEN 'higher value' ELSE 'lower value' END AS segment FROM overview o JOIN (SELECT (SELECT q50 FROM buyer_award_quantiles) AS a, (SELECT q50 FROM buyer_filled_value_quantiles) AS v) m ON 1 = 1",
         "c18_buyer_review": f"SELECT buyer_key, buyer_name, {count_of} AS indicators, CASE WHEN {count_of} >= 3 THEN 'Higher review attention' WHEN {count_of} = 2 THEN 'Moderate review attention' WHEN {count_of} = 1 THEN 'Lower review attention' ELSE 'No additional indicator' END AS category, {joined} AS rationale FROM ({indicators}) x",
-        "c19_activity_bands": f"SELECT a.activity_band, coalesce(x.buyers, 0) AS buyers, coalesce(x.awards, 0) AS awards, coalesce(x.value, 0) AS value, x.median_awards FROM ({_rows(_labels(ACTIVITY_BANDS), 'activity_band')}) a LEFT JOIN (SELECT activity_band, count(*) AS buyers, CAST(sum(awards) AS BIGINT) AS awards, {money('sum(value)')} AS value, {r2(d.median('awards'))} AS median_awards FROM overview GROUP BY activity_band) x ON a.activity_band = x.activity_band",
+        "c19_activity_bands": f"SELECT a.activity_band, coalesce(x.buyers, 0) AS buyers, coalesce(x.awards, 0) AS awards, coalesce(x.value, 0) AS value, x.median_awards FROM ({_rows(_labels(ACTIVITY_BANDS), 'activity_band')}) a LEFT JOIN (SELECT activity_band, count(*) AS buyers, CAST(sum(awards) AS BIGINT) AS awards, {money('sum(value)')} AS value, {r2('max(q50)')} AS median_awards FROM overview LEFT JOIN activity_band_quantiles ON activity_band = k GROUP BY activity_band) x ON a.activity_band = x.activity_band",
         "c20_activity_value_matrix": f"SELECT a.activity_band, v.value_band, coalesce(x.buyers, 0) AS buyers, coalesce(x.awards, 0) AS awards, coalesce(x.value, 0) AS value FROM {dims} LEFT JOIN (SELECT activity_band, value_band, count(*) AS buyers, CAST(sum(awards) AS BIGINT) AS awards, {money('sum(value)')} AS value FROM overview GROUP BY activity_band, value_band) x ON a.activity_band = x.activity_band AND v.value_band = x.value_band",
         "c21_segment_summary": f"SELECT s.segment, coalesce(x.buyers, 0) AS buyers, coalesce(x.awards, 0) AS awards, coalesce(x.value, 0) AS value FROM ({_rows(SEGMENTS, 'segment')}) s LEFT JOIN (SELECT segment, count(*) AS buyers, CAST(sum(awards) AS BIGINT) AS awards, {money('sum(value)')} AS value FROM overview GROUP BY segment) x ON s.segment = x.segment",
         "c22_buyer_outliers": f"SELECT buyer_key, buyer_name, segment, awards, {money('value')} AS value FROM overview WHERE segment <> '{SEGMENTS[3]}'",
-        "c23_activity_kpis": kpi({"buyers": "count(*)", "awards": "sum(awards)", "value": money("sum(value)"), "single_award_buyers": "count(CASE WHEN awards = 1 THEN 1 END)", "buyers_200": "count(CASE WHEN awards >= 200 THEN 1 END)", "median_awards": r2(d.median("awards")), "most_awards": "max(awards)"}, "overview"),
-        "c24_executive_kpis": kpi({"awards": "count(*)", "value": money("sum(award_value)"), "median_value": r2(d.median("award_value")), "most": money("max(award_value)"), "missing_value": "count(CASE WHEN award_value IS NULL THEN 1 END)", "missing_method": "count(CASE WHEN procurement_method IS NULL THEN 1 END)", "missing_category": "count(CASE WHEN procurement_category IS NULL THEN 1 END)", "missing_supplier": "count(CASE WHEN usable_suppliers = 0 THEN 1 END)",
-            "priority": "count(CASE WHEN score >= 6 THEN 1 END)", "high": "count(CASE WHEN score >= 4 AND score < 6 THEN 1 END)", "most_points": "max(score)", "buyers": "count(DISTINCT buyer_key)"}, "dataset"),
+        "c23_activity_kpis": kpi({"buyers": "count(*)", "awards": "sum(awards)", "value": money("sum(value)"), "single_award_buyers": "count(CASE WHEN awards = 1 THEN 1 END)", "buyers_200": "count(CASE WHEN awards >= 200 THEN 1 END)", "median_awards": r2("max(q50)"), "most_awards": "max(awards)"}, "overview LEFT JOIN buyer_award_quantiles ON 1 = 1"),
+        "c24_executive_kpis": kpi({"awards": "count(*)", "value": money("sum(award_value)"), "median_value": r2("max(q50)"), "most": money("max(award_value)"), "missing_value": "count(CASE WHEN award_value IS NULL THEN 1 END)", "missing_method": "count(CASE WHEN procurement_method IS NULL THEN 1 END)", "missing_category": "count(CASE WHEN procurement_category IS NULL THEN 1 END)", "missing_supplier": "count(CASE WHEN usable_suppliers = 0 THEN 1 END)",
+            "priority": "count(CASE WHEN score >= 6 THEN 1 END)", "high": "count(CASE WHEN score >= 4 AND score < 6 THEN 1 END)", "most_points": "max(score)", "buyers": "count(DISTINCT buyer_key)"}, "dataset LEFT JOIN dataset_quantiles ON 1 = 1"),
         "c25_method_mart": by("method_group"), "c25_value_mart": by("value_band"), "c25_duration_mart": by("duration_band"),
         "c26_review_population": f"SELECT award_id, release_id, ocid, buyer_name, buyer_key, method_group, {money('award_value')} AS award_value, value_band, {r2('duration_days')} AS duration_days, duration_band, structure, score, category, rationale FROM dataset WHERE category IN ('Priority review', 'High review')",
         "c28_score_validation": f"SELECT score, category, count(*) AS awards, {pct('count(*)', 'sum(count(*)) OVER ()')} AS percent FROM dataset GROUP BY score, category",

@@ -11,7 +11,7 @@ TOTAL = money("sum(tender_value)")
 def statements(d: Dialect) -> dict[str, str]:
     years = f"({d.days('contract_start', 'contract_end')} / 365.25)"
     top_share = lambda p: f"""SELECT {p} AS percent, count(*) AS procurements, {money('sum(tender_value)')} AS value, {pct('sum(tender_value)', 'max(total)')} AS value_share FROM (
-        SELECT tender_value, row_number() OVER (ORDER BY tender_value DESC, ocid) AS rn, count(*) OVER () AS n, sum(tender_value) OVER () AS total FROM procurements WHERE tender_value IS NOT NULL) x WHERE rn <= floor(n * {p} / 100)"""
+        SELECT tender_value, rn, (SELECT count(*) FROM ranked_procurements) AS n, (SELECT sum(tender_value) FROM ranked_procurements) AS total FROM ranked_procurements) x WHERE rn <= floor(n * {p} / 100)"""
     name_quality = f"""CASE WHEN canonical_supplier_name IS NULL OR trim(canonical_supplier_name) = '' THEN 'missing' WHEN {like_any('canonical_supplier_name', REDACTED)} THEN 'redacted'
         WHEN {like_any('canonical_supplier_name', CONTAMINATED)} THEN 'contamination' ELSE 'usable' END"""
     high = "latest l JOIN procurements p ON l.ocid = p.ocid"
@@ -34,11 +34,11 @@ def statements(d: Dialect) -> dict[str, str]:
         "q03_08_completeness": f"SELECT count(*) AS procurements, count(tender_value) AS with_value, {pct('count(tender_value)', 'count(*)')} AS percent FROM procurements",
         "q03_09_method_category": f"SELECT coalesce(procurement_method, 'Unknown') AS method, coalesce(procurement_category, 'Unknown') AS category, count(*) AS procurements, {TOTAL} AS total FROM procurements GROUP BY coalesce(procurement_method, 'Unknown'), coalesce(procurement_category, 'Unknown')",
         "q03_10_largest": f"SELECT ocid, tender_title, buyer_name, {money('tender_value')} AS value FROM procurements WHERE tender_value IS NOT NULL ORDER BY tender_value DESC, ocid LIMIT 20",
-        "q03_11_median": f"SELECT {r2(d.median('tender_value'))} AS median_value FROM procurements WHERE tender_value IS NOT NULL",
+        "q03_11_median": f"SELECT {r2('q50')} AS median_value FROM tender_quantiles",
         "q03_12_value_bands": f"SELECT {band('tender_value', VALUE_BANDS)} AS value_band, count(*) AS procurements, {TOTAL} AS total FROM procurements WHERE tender_value IS NOT NULL GROUP BY {band('tender_value', VALUE_BANDS)}",
         "q03_13a_top1": top_share(1), "q03_13b_top5": top_share(5), "q03_13c_top10": top_share(10),
         "q03_14_thresholds": f"SELECT t.threshold, count(p.ocid) AS procurements, coalesce({money('sum(p.tender_value)')}, 0) AS total FROM (SELECT 1000000000 AS threshold UNION ALL SELECT 5000000000 UNION ALL SELECT 10000000000 UNION ALL SELECT 50000000000) t LEFT JOIN procurements p ON p.tender_value >= t.threshold GROUP BY t.threshold",
-        "q03_15_buyer_concentration": f"SELECT buyer_name, {money('total')} AS total, {pct('total', 'every')} AS share FROM (SELECT buyer_name, sum(tender_value) AS total, sum(sum(tender_value)) OVER () AS every FROM procurements WHERE tender_value IS NOT NULL GROUP BY buyer_name) x ORDER BY x.total DESC, buyer_name LIMIT 20",
+        "q03_15_buyer_concentration": f"SELECT buyer_name, {money('total')} AS total, {pct('total', 'every')} AS share FROM (SELECT buyer_name, sum(tender_value) AS total, (SELECT sum(tender_value) FROM procurements) AS every FROM procurements WHERE tender_value IS NOT NULL GROUP BY buyer_name) x ORDER BY x.total DESC, buyer_name LIMIT 20",
         "q03_16_extreme": f"SELECT ocid, buyer_name, procurement_method, {money('tender_value')} AS value FROM procurements WHERE tender_value >= 10000000000",
         "q03_17_extreme_buyer": f"SELECT buyer_name, count(*) AS procurements, {TOTAL} AS total FROM procurements WHERE tender_value >= 10000000000 GROUP BY buyer_name",
         "q03_18_extreme_category": f"SELECT coalesce(procurement_category, 'Unknown') AS category, count(*) AS procurements, {TOTAL} AS total FROM procurements WHERE tender_value >= 10000000000 GROUP BY coalesce(procurement_category, 'Unknown')",

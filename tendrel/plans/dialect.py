@@ -19,12 +19,6 @@ class Dialect:
         """Fractional days between two timestamps."""
         return f"(({self.seconds(end)} - {self.seconds(start)}) / 86400.0D)" if self.spark else f"(({self.seconds(end)} - {self.seconds(start)}) / CAST(86400.0 AS DOUBLE))"
 
-    def median(self, x: str) -> str:
-        return self.quantile(x, "0.5")
-
-    def quantile(self, x: str, p: str) -> str:
-        return f"percentile(CAST({x} AS DOUBLE), {p})" if self.spark else f"quantile_cont(CAST({x} AS DOUBLE), {p})"
-
     def joined(self, x: str, sep: str = ", ") -> str:
         """The distinct values of a group in order, null if there are none."""
         return f"nullif(array_join(array_sort(collect_set({x})), '{sep}'), '')" if self.spark else f"string_agg(DISTINCT {x}, '{sep}' ORDER BY {x})"
@@ -36,9 +30,6 @@ class Dialect:
         """White-space runs as one space, none at the ends."""
         return f"trim(regexp_replace({x}, '[ \\t\\r\\n]+', ' '))" if not self.spark else f"trim(regexp_replace({x}, r'[ \\t\\r\\n]+', ' '))"
 
-    def __getattr__(self, name: str):
-        raise AttributeError(name)
-
 
 SPARK, TWIN = Dialect(True), Dialect(False)
 

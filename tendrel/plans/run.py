@@ -8,7 +8,9 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import analytics, catalog
+from tendrel.operators.ranking import quantiles, ranked, settle
+
+from . import analytics, catalog, ranks
 from .dialect import SPARK, TWIN
 from .tables import with_steps
 
@@ -27,9 +29,19 @@ def run_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     for name in SOURCES:
         if re.search(rf"\b{name}\b", text):
             spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+    for name, (rows, order, weight) in ranks.RANKS.items():
+        if re.search(rf"\b{name}\b", text):
+            ranked(_rows(spark, sf_dir, rows), [F.desc(c.split()[0]) if c.endswith(" DESC") else F.asc(c) for c in order.split(", ")], weight).createOrReplaceTempView(name)
+    for name, (rows, probabilities) in ranks.QUANTILES.items():
+        if re.search(rf"\b{name}\b", text):
+            settle(quantiles(_rows(spark, sf_dir, rows), "x", probabilities, ["k"] if ranks.keyed(rows) else [])).createOrReplaceTempView(name)
     return spark.sql(text)
 
 
+def _rows(spark: SparkSession, sf_dir: str, rows: str) -> DataFrame:
+    return run_sql(spark, sf_dir, with_steps(rows, SPARK))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: (lambda spark, sf_dir, text=text: run_sql(spark, sf_dir, text)) for name, text in spark_sql().items()}
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from . import ranks
 from .dialect import Dialect
 
 # Bands as (code, label, lowest, below); patterns of names that are no supplier's; cuts and labels of the scores.
@@ -125,7 +126,7 @@ def steps(d: Dialect) -> dict[str, str]:
             FROM latest l JOIN usable_links u ON l.award_id = u.award_id AND l.release_id = u.release_id JOIN link_counts c ON l.award_id = c.award_id AND l.release_id = c.release_id WHERE l.award_value >= 0""",
         "allocated_once": "SELECT DISTINCT supplier_key, canonical_supplier_name, award_id, release_id, ocid, award_value, supplier_count, share_value FROM allocated",
         "supplier_totals": "SELECT supplier_key, max(canonical_supplier_name) AS name, count(DISTINCT award_id) AS awards, sum(CAST(share_value AS DECIMAL(30,6))) AS value FROM allocated GROUP BY supplier_key",
-        "supplier_ranks": "SELECT *, row_number() OVER (ORDER BY value DESC, supplier_key) AS rn, count(*) OVER () AS suppliers, sum(value) OVER () AS total FROM supplier_totals",
+        "supplier_ranks": "SELECT *, (SELECT count(*) FROM ranked_suppliers) AS suppliers, (SELECT sum(value) FROM ranked_suppliers) AS total FROM ranked_suppliers",
         "counts6": counts(REF6),
         "counts5": counts(REF5),
         "score_v1": scored(1, f"{both_dates} AND contract_end >= contract_start"),
@@ -145,13 +146,25 @@ def steps(d: Dialect) -> dict[str, str]:
 
 def with_steps(sql: str, d: Dialect) -> str:
     """``sql`` under a WITH of all the steps that it names, in order."""
-    known = steps(d)
+    known = steps(d) | ({} if d.spark else ranks.twin_steps())
     wanted: set[str] = set()
     todo = [sql]
     while todo:
         words = set(re.findall(r"[a-z_0-9]+", todo.pop())) & known.keys()
         todo += [known[w] for w in words - wanted]
         wanted |= words
-    parts = [f"{name} AS ({known[name]})" for name in known if name in wanted]
+    parts, placed = [], set()
+
+    def place(name: str) -> None:
+        if name not in placed:
+            placed.add(name)
+            for w in known:
+                if re.search(rf"\b{w}\b", known[name]) and w != name:
+                    place(w)
+            parts.append(f"{name} AS ({known[name]})")
+
+    for name in known:
+        if name in wanted:
+            place(name)
     text = f"WITH {', '.join(parts)} {sql}" if parts else sql
     return text if d.spark else re.sub(r"\bSTRING\b", "VARCHAR", text)

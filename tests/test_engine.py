@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tendrel.functions import columns as C
-from tendrel.operators import registry
+from tendrel.operators import ranking, registry
 from tendrel.operators import relational as R
 from tendrel.plans import run
 from tendrel.plans.tables import VALUE_BANDS
@@ -79,6 +79,16 @@ def test_relational(spark):
         R.require_columns(df, ["k", "nope"])
 
 
+def test_ranking(spark):
+    df = spark.createDataFrame([(i, "a" if i % 3 else "b", float(i % 7)) for i in range(200)] + [(200, "a", None), (201, None, 4.0)], "id int, k string, x double")
+    rows = ranking.ranked(df, [F.desc("x"), F.col("id")], "x").orderBy("rn").collect()
+    assert [r.id for r in rows] == [r.id for r in df.orderBy(F.desc("x"), "id").collect()] and [r.rn for r in rows] == list(range(1, 203))
+    assert rows[200].running == df.agg(F.sum("x")).first()[0]
+    got = {r.k: tuple(r)[1:] for r in ranking.quantiles(df, "x", (0.25, 0.95), ["k"]).collect()}
+    assert got == {r.k: tuple(r)[1:] for r in df.groupBy("k").agg(F.percentile("x", F.lit(0.25)), F.percentile("x", F.lit(0.95))).collect()}
+    assert ranking.quantiles(df.where("false"), "x", (0.5,)).collect() == [(None,)]
+
+
 def test_ragged_files(spark, tmp_path):
     a, b = tmp_path / "a.csv", tmp_path / "b.csv"
     r = "releases/0/"
