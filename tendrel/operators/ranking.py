@@ -29,16 +29,16 @@ def ranked(df: DataFrame, order: Sequence[Column], weight: str | None = None) ->
     Only one row a range, with its size, is put into one task.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = settle(df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()))
+    dealt = settle(df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()))
     amount = F.sum(weight) if weight else F.lit(0)
-    sizes = dealt.groupBy("_p").agg(F.count("*").alias("_n"), amount.alias("_s"))
-    earlier = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.select("_p", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n"), F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_s"))
-    own = Window.partitionBy("_p").orderBy(*order)
-    out = dealt.join(before, "_p").withColumn("rn", F.col("_n") + F.row_number().over(own))
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_rows_before"), amount.alias("_sum_before"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("_range", F.coalesce(F.sum("_rows_before").over(earlier), F.lit(0)).alias("_rows_before"), F.coalesce(F.sum("_sum_before").over(earlier), F.lit(0)).alias("_sum_before"))
+    own = Window.partitionBy("_range").orderBy(*order)
+    out = dealt.join(before, "_range").withColumn("rn", F.col("_rows_before") + F.row_number().over(own))
     if weight:
-        out = out.withColumn("running", F.col("_s") + F.sum(weight).over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    return out.drop("_p", "_n", "_s")
+        out = out.withColumn("running", F.col("_sum_before") + F.sum(weight).over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    return out.drop("_range", "_rows_before", "_sum_before")
 
 
 def quantiles(df: DataFrame, value: str, probabilities: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:

@@ -74,6 +74,14 @@ def statements(d: Dialect) -> dict[str, str]:
         "d20_relationships": "SELECT relationship_observation_key, supplier_key, supplier_id_quality, supplier_identity_flag, canonical_supplier_name, identity_review_flag FROM award_suppliers",
         "d21_supplier_master": "SELECT supplier_key, supplier_id, canonical_supplier_name, reported_name_count, relationship_count, supplier_id_quality, identity_review_flag FROM suppliers",
         "d22_procurement_master": f"SELECT ocid, buyer_name, buyer_id, procurement_method, procurement_category, {money('tender_value')} AS tender_value FROM procurements",
+        "d23_resolution_log": " UNION ALL ".join(f"SELECT '{issue}' AS issue, '{action}' AS action, {rows} AS rows_removed" for issue, action, rows in (
+            ("release_duplicates", "deduplicated", "(SELECT count(*) FROM releases) - (SELECT count(DISTINCT release_id) FROM releases)"), ("award_versions", "preserved", "(SELECT count(*) FROM raw_awards) - (SELECT count(*) FROM award_versions)"),
+            ("supplier_relationship_duplicates", "deduplicated_exact_only", "(SELECT count(*) FROM raw_links) - (SELECT count(DISTINCT relationship_observation_key) FROM award_suppliers)"), ("unreliable_supplier_ids", "name_based_identity", "CAST(0 AS BIGINT)"),
+            ("supplier_name_variations", "preserved_and_flagged", "CAST(0 AS BIGINT)"), ("award_lifecycle_updates", "preserved", "CAST(0 AS BIGINT)"))),
+        "d24_quality_summary": " UNION ALL ".join(f"SELECT '{metric}' AS metric, count(*) AS value FROM {src}" for metric, src in (
+            ("normalized_releases", "releases"), ("final_releases", "(SELECT DISTINCT release_id FROM releases) x"), ("normalized_awards", "raw_awards"), ("final_award_versions", "award_versions"), ("normalized_relationships", "raw_links"), ("final_relationships", "award_suppliers"),
+            ("procurements", "procurements"), ("suppliers", "suppliers"), ("relationships_for_review", "award_suppliers WHERE supplier_identity_flag = 'id_multiple_names_review'"), ("unreliable_relationships", "award_suppliers WHERE supplier_id_quality = 'unreliable'"))),
+        "d34_structure": " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n, {c} AS columns_used FROM {t}" for t, c in (("procurements", 10), ("award_versions", 10), ("suppliers", 7), ("award_suppliers", 13))),
         "d31_quality_gate": " UNION ALL ".join([
             check("primary key", "procurements.ocid", keys("procurements", ["ocid"])), check("primary key", "award_versions", keys("award_versions", ["award_id", "release_id"])), check("primary key", "suppliers", keys("suppliers", ["supplier_key"])),
             check("grain", "award_suppliers", keys("award_suppliers", ["award_id", "release_id", "supplier_index"])), check("version", "one latest", "SELECT count(*) AS v FROM (SELECT award_id FROM award_versions GROUP BY award_id HAVING sum(CASE WHEN is_latest THEN 1 ELSE 0 END) <> 1) x"),

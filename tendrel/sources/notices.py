@@ -9,7 +9,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tendrel.functions.columns import blank_to_null, to_number, to_utc
+from tendrel.functions.columns import blank_to_null, safe_ratio, to_number, to_utc, whole_days, year_month
+from tendrel.operators.relational import keep_one, presence_flags
 
 RELEASE = "releases/0/"
 # Logical name of each release field, and the paths under a release that may hold it.
@@ -99,3 +100,21 @@ def normalise(df: DataFrame, year: int) -> dict[str, DataFrame]:
     releases = extract_releases(df).where((F.col("release_date") >= F.lit(f"{year}-01-01").cast("timestamp")) & (F.col("release_date") < F.lit(f"{year + 1}-01-01").cast("timestamp"))).dropDuplicates()
     own = releases.select("release_id").distinct()
     return {"releases": releases} | {name: f(df).join(own, "release_id", "left_semi").dropDuplicates() for name, f in (("awards", explode_awards), ("award_suppliers", explode_suppliers))}
+
+
+def unpivot_indexed(df: DataFrame, prefix: str, fields: dict[str, str], keys: list[str]) -> DataFrame:
+    """Columns such as prefix/3/path to one row for each position that has anything in it: keys, position, fields."""
+    places = sorted({int(m[1]) for c in df.columns if (m := re.match(rf"{re.escape(prefix)}/(\d+)/", c))})
+    kinds = [F.struct(F.lit(i).alias("position"), *[_at(df, f"{prefix}/{i}/{p}").alias(n) for n, p in fields.items()]) for i in places or [0]]
+    return df.select(*keys, F.inline(F.array(*kinds))).where(F.coalesce(*[F.col(n) for n in fields]).isNotNull())
+
+
+def clean_records(df: DataFrame) -> DataFrame:
+    """One wide record a procurement: its first award and supplier, parsed and trimmed, with dates taken apart, spans, ratio and flags. Of several rows of one ocid the latest stays."""
+    paths = {n: [RELEASE + p for p in ps] for n, ps in RELEASE_FIELDS.items()} | {n: [f"{RELEASE}awards/0/{p}"] for n, p in AWARD_FIELDS.items()}
+    paths |= {f"supplier_{p}": [f"{RELEASE}awards/0/suppliers/0/{p}"] for p in ("id", "name")}
+    out = df.select(*[_at(df, *ps).alias(n) for n, ps in paths.items()], "source_file").where("ocid IS NOT NULL")
+    out = out.withColumns({c: to_utc(F.col(c)) for c in ("release_date", "award_date", "contract_start", "contract_end")} | {c: to_number(F.col(c)) for c in ("tender_value", "award_value")})
+    out = out.withColumns(year_month(F.col("release_date")) | {"contract_duration_days": whole_days(F.col("contract_start"), F.col("contract_end")), "tender_to_award_days": whole_days(F.col("release_date"), F.col("award_date")), "award_to_tender_ratio": safe_ratio(F.col("award_value"), F.col("tender_value"))})
+    out = presence_flags(out, {"has_award": ["award_id"], "has_supplier": ["supplier_name"], "has_contract_dates": ["contract_start", "contract_end"], "has_award_value": ["award_value"]})
+    return keep_one(out, ["ocid"], [F.desc_nulls_last("release_date"), *[F.asc_nulls_last(c) for c in out.columns if c not in ("ocid", "release_date")]])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tendrel.functions import columns as C
 from tendrel.operators import ranking, registry
 from tendrel.operators import relational as R
-from tendrel.plans import run
+from tendrel.plans import marts, run
 from tendrel.plans.tables import VALUE_BANDS
 from tendrel.sources import notices
 from tendrel.streaming import ingest
@@ -99,6 +99,10 @@ def test_ragged_files(spark, tmp_path):
     assert {(x.ocid, x.buyer_name) for x in out["releases"].collect()} == {("o1", None), ("o2", "Straße")}
     assert {(x.award_id, x.award_index) for x in out["awards"].collect()} == {("A1", 0), ("A2", 0), ("A3", 1)}
     assert {(x.award_id, x.supplier_index, x.supplier_id, x.supplier_name) for x in out["award_suppliers"].collect()} == {("A1", 0, None, "Line\nbreak"), ("A3", 0, "S1", None), ("A3", 1, None, "S2")}
+    pairs = notices.unpivot_indexed(df, "releases/0/awards", {"award_id": "id"}, ["source_file"])
+    assert {(x.source_file, x.position, x.award_id) for x in pairs.collect()} == {("a.csv", 0, "A1"), ("a.csv", 0, "A9"), ("b.csv", 0, "A2"), ("b.csv", 1, "A3"), ("b.csv", 0, "A4")}
+    clean = {x.ocid: x for x in notices.clean_records(df).collect()}
+    assert clean.keys() == {"o1", "o2", "o3"} and (clean["o1"].month_name, clean["o1"].has_supplier, clean["o1"].has_contract_dates, clean["o1"].award_to_tender_ratio) == ("January", True, False, None)
     assert notices.schema_complexity(notices.discover_headers(spark, str(tmp_path / "*.csv"))).count() == 2
 
 
@@ -115,6 +119,32 @@ def test_incremental_ingest(spark, tmp_path):
     assert got == {("A", "r1", 1, 3, False), ("A", "r2", 2, 3, False), ("A", "r3", 3, 3, True), ("B", "r1", 1, 1, True)}
 
 
+def test_small_operators(spark):
+    df = spark.createDataFrame([(1, "a", 5), (1, "b", 5), (1, "b", None), (2, "a", 7), (None, None, 1)], "k int, v string, n int")
+    none = df.where("false")
+    assert R.standardise_names(df.toDF(" K y", "V", "n ")).columns == ["k_y", "v", "n"]
+    assert R.project(df, {"x": "n"}).columns == ["x"] and R.find_column(df, ["q", "v"]) == "v"
+    for bad in (lambda: R.project(df, {"x": "q"}), lambda: R.find_column(df, ["q"]), lambda: R.assert_unique_mapping(df, ["k"], "v")):
+        with pytest.raises(ValueError):
+            bad()
+    assert [tuple(r) for r in R.most_frequent(df, ["k"], "v").orderBy("k").collect()] == [(1, "b", 2), (2, "a", 1)]
+    assert tuple(R.check_pk(df, ["k"]).first()) == (1, 1, 2) and tuple(R.check_pk(none, ["k"]).first()) == (0, 0, 0)
+    assert tuple(R.count_exact_duplicates(df.unionByName(df)).first()) == (10, 5, 5) and tuple(R.count_exact_duplicates(none).first()) == (0, 0, 0)
+    assert [tuple(r) for r in R.threshold_counts(df, "n", [5, 100]).collect()] == [(5, 3, 17.0), (100, 0, 0.0)]
+    assert [tuple(r) for r in R.profile_fields(df, {"N": "n", "Q": "q"}).collect()] == [("N", "n", "int", 4, 1, 20.0, 3), ("Q", "q", "NOT FOUND", None, None, None, None)]
+    assert R.presence_flags(df, {"both": ["v", "n"]}).where("both").count() == 3 and R.missing_flags(df, ["n"]).where("missing_n = 1").count() == 1
+    assert {(r.k, r.share) for r in R.share_within(df, ["k"], "n").collect()} == {(1, 50.0), (1, None), (2, 100.0), (None, 100.0)}
+    texts = spark.createDataFrame([(None,), (" ",), ("REDACTED",), ("See webpage",), ("Acme",)], "s string")
+    out = texts.select(C.name_quality(F.col("s")).alias("q"), C.usable_supplier(F.lit("K"), F.col("s")).alias("u"), C.method_group(F.col("s")).alias("m")).collect()
+    assert [tuple(r) for r in out] == [("missing", False, "Unknown"), ("missing", False, "Unknown"), ("redacted", True, "Other"), ("contamination", False, "Other"), ("usable", True, "Other")]
+
+
+def test_marts(spark, sf_dir, tmp_path):
+    checks = marts.consolidate(spark, sf_dir, str(tmp_path), {"awards": 1}).collect()
+    assert [r.check for r in checks if r.status == "FAIL"] == ["expected awards"]
+    assert spark.read.parquet(str(tmp_path / "manifest")).count() == 20 and run.describe_marts(spark, {"kpis": str(tmp_path / "kpis")}).first().rows == 12
+
+
 def test_catalogue_runner(spark, sf_dir, tmp_path):
     log = run.run_catalog(spark, sf_dir, str(tmp_path), ["q03_01_total", "no_such_query"]).collect()
     assert [(r.name, r.status) for r in log] == [("q03_01_total", "OK"), ("no_such_query", "FAILED")]
