@@ -1,8 +1,8 @@
 """Bringing equal windows of a whole corpus together without shuffling every window.
 
 Every window of W units (words or bytes) gets as its key the least hash of the K-unit grams in it. Equal windows have equal keys, and neighbouring windows
-mostly share theirs: a run of such windows is a segment, so that a text makes one row for about (W-K)/2 windows. Keys that only one document has can hold
-no repeat and go at once. Of the rest, equal segments make a class and need no comparing; classes of one key that differ are compared by a solver, which is
+mostly share theirs: a run of such windows is a segment, so that a text makes one row for about (W-K)/2 windows. Keys that can hold no repeat (only one
+document has them, or only one segment, in which their gram stands once) go at once. Of the rest, equal segments make a class and need no comparing; classes of one key that differ are compared by a solver, which is
 given what the class representatives say. Keys with many classes (a passage in a third of all documents, each time with other surroundings) are not given
 to one task: their windows are hashed one by one, counted with map-side combining, and joined back.
 
@@ -44,13 +44,16 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def window_runs(values: np.ndarray, offsets: np.ndarray, window: int, gram: int, longest: int) -> tuple[np.ndarray, ...]:
-    """Segments as (text, first window, windows, key, hash of the segment). No window crosses texts; ``longest`` bounds the windows of one."""
+    """Segments as (text, first window, windows, key, hash of the segment, whether its key's gram stands in it twice or more). No window crosses texts;
+    ``longest`` bounds the windows of one. Only where that gram repeats can one segment hold equal windows, as in periodic text.
+    """
     counts = np.maximum(np.diff(offsets) - window + 1, 0)
     total = int(counts.sum())
     if not total:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, bool),)
     roll = Rolling(values)
-    least = sliding_min(roll.grams(gram), window - gram + 1)
+    grams, slack = roll.grams(gram), window - gram
+    least = sliding_min(grams, slack + 1)
     text = np.repeat(np.arange(len(counts)), counts)
     first_of = np.concatenate([[0], np.cumsum(counts)])[:-1]
     at = np.arange(total) - np.repeat(first_of - offsets[:-1], counts)
@@ -61,7 +64,15 @@ def window_runs(values: np.ndarray, offsets: np.ndarray, window: int, gram: int,
     place = np.arange(total) - np.repeat(begin, np.diff(np.append(begin, total)))
     begin = np.flatnonzero(place % longest == 0)
     n = np.diff(np.append(begin, total))
-    return text[begin], at[begin] - offsets[text[begin]], n, key[begin], roll.of(at[begin], at[begin] + n + window - 1)
+    first = at[begin]
+    # a gram is the least of some window if it equals the greatest of the least grams of all windows that hold it
+    edge = np.zeros(slack, np.uint64)
+    marks = np.flatnonzero(grams == ~sliding_min(~np.concatenate([edge, least, edge]), slack + 1))
+    lo, hi = np.searchsorted(marks, first), np.searchsorted(marks, first + n + slack)
+    owner = np.repeat(np.arange(len(begin)), hi - lo)
+    mark = marks[np.arange(len(owner)) - np.repeat(np.cumsum(hi - lo) - hi, hi - lo)]
+    again = np.bincount(owner[grams[mark] == key[begin][owner]], minlength=len(begin)) > 1
+    return text[begin], first - offsets[text[begin]], n, key[begin], roll.of(first, first + n + window - 1), again
 
 
 def chunks(texts: pa.Array, most: int = CHUNK) -> Iterator[tuple[int, pa.Array]]:
@@ -83,9 +94,9 @@ def _segments(unit: str, window: int, gram: int, longest: int) -> Callable:
         for b in batches:
             for first, texts in chunks(b.column(2)):
                 values, offsets, *_ = text_units(texts, unit)
-                text, at, n, key, own = window_runs(values, offsets, window, gram, longest)
+                text, at, n, key, own, again = window_runs(values, offsets, window, gram, longest)
                 rows = pa.array(first + text)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), _long(at), _long(n), _long(key), _long(own)], names=["_id", "_tk", "_at", "_n", "_key", "_own"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), _long(at), _long(n), _long(key), _long(own), pa.array(again)], names=["_id", "_tk", "_at", "_n", "_key", "_own", "_self"])
 
     return run
 
@@ -169,9 +180,9 @@ def repeated_windows(rows: DataFrame, solve: Callable, unit: str, window: int, g
     arrow_rows(rows.sparkSession)
     kind = dict(rows.dtypes)["_id"]
     taken = rows.where(F.col("_id").isNotNull()) if earlier else rows
-    segments = cut(taken.mapInArrow(_segments(unit, window, gram, longest), f"_id {kind}, _tk long, _at long, _n long, _key long, _own long"), "segments")
-    per_key = segments.groupBy("_key").agg(F.min("_id").alias("_lo"), F.max("_id").alias("_hi"), F.count("*").alias("_c"))
-    shared = per_key.where((F.col("_hi") > F.col("_lo")) if earlier else (F.col("_c") > 1)).select("_key")
+    segments = cut(taken.mapInArrow(_segments(unit, window, gram, longest), f"_id {kind}, _tk long, _at long, _n long, _key long, _own long, _self boolean"), "segments")
+    per_key = segments.groupBy("_key").agg(F.min("_id").alias("_lo"), F.max("_id").alias("_hi"), F.count("*").alias("_c"), F.bool_or("_self").alias("_self"))
+    shared = per_key.where((F.col("_hi") > F.col("_lo")) if earlier else (F.col("_c") > 1) | F.col("_self")).select("_key")
     # Both sides of the join are plain tables, so Spark may split a key that many segments share.
     met = cut(segments.join(cut(shared, "shared"), "_key", "left_semi"), "met")
     # a class: its least member speaks for it; the others' windows all repeat
@@ -179,10 +190,10 @@ def repeated_windows(rows: DataFrame, solve: Callable, unit: str, window: int, g
     classes = cut(classes.withColumn("_many", F.col("_hi") > F.col("_rep._id") if earlier else F.col("_c") > 1).drop("_hi", "_c"), "classes")
     groups = cut(classes.groupBy("_key").agg(F.count("*").alias("_classes")), "groups")
     known = cut(met.join(classes, ["_key", "_own"]).join(groups, "_key").select(
-        "_id", "_tk", "_at", "_n", "_key", "_classes", "_many",
+        "_id", "_tk", "_at", "_n", "_key", "_classes", "_many", (F.lit(not earlier) & F.col("_self")).alias("_self"),
         F.struct("_id", "_tk", "_at").eqNullSafe(F.col("_rep")).alias("_is_rep"), (F.col("_id") > F.col("_rep._id")).alias("_later")), "known")
     whole = known.where(F.col("_many") & (F.col("_later") if earlier else F.lit(True))).select("_id", "_tk", "_at", "_n")
-    wanted = known.where(F.col("_is_rep") & (F.col("_classes") > 1)).select(
+    wanted = known.where(F.col("_is_rep") & ((F.col("_classes") > 1) | F.col("_self"))).select(
         "_id", "_tk", F.struct("_key", "_at", "_n", (~F.col("_many") | F.lit(earlier)).alias("_single"), (F.col("_classes") > crowd).alias("_crowded")).alias("_want"))
     wanted = wanted.groupBy("_id", "_tk").agg(F.collect_set("_want").alias("_wants"))
     r, w = rows.alias("r"), wanted.alias("w")

@@ -113,6 +113,16 @@ def test_suffix_dedup(docs, crowd):
     assert {r.doc_id: (bytes(r.kept), r.n_bytes, r.n_removed, r.n_spans) for r in out} == want
 
 
+@pytest.mark.parametrize("crowd", [1000, 1])
+def test_suffix_dedup_of_periodic_texts(spark, crowd):
+    draw = random.Random(5)
+    word = lambda n: "".join(draw.choices("abcdefgh", k=n))
+    texts = [word(40) + word(period) * times + word(tail) for period, times, tail in [(1, 90, 30), (7, 12, 0), (25, 4, 70), (45, 2, 9), (59, 3, 5), (61, 2, 80), (130, 2, 0)]]
+    out = suffix_dedup.remove_repeated_bytes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), window=60, gram=12, crowd=crowd).collect()
+    want = brute_bytes(texts, 60)
+    assert {r.doc_id: (bytes(r.kept), r.n_bytes, r.n_removed, r.n_spans) for r in out} == dict(enumerate(want)) and sum(x[2] > 0 for x in want) > 4
+
+
 def test_suffix_dedup_family_and_repeated_rows(spark):
     rows = [{"_key": 1, "_id": k, "_at": 0, "_n": 41, "_single": True, "_units": bytes(random.Random(k % 7).choices(range(3), k=100))} for k in range(30)]
     found = defaultdict(set)
