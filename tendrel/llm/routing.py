@@ -174,7 +174,7 @@ def repeated_windows(rows: DataFrame, solve: Callable, unit: str, window: int, g
     """Repeated windows of ``rows`` (_id, _tk, _text) as (_id, _tk, _at, _n): _n windows from unit _at on.
 
     ``earlier``: a window counts if it also stands in a row with a smaller _id; otherwise if it stands anywhere else, the same row included. ``solve`` gets
-    rows of whole keys (_key, _id, _at, _n, _single, _units), one a class, and yields (index of row, _at, _n); what it says of rows that aren't _single, of which
+    rows of whole keys (_key, _id, _at, _n, _single, _units), one a class (with ``earlier`` all of the class's least _id), and yields (index of row, _at, _n); what it says of rows that aren't _single, of which
     each window is known to repeat, isn't needed.
     """
     arrow_rows(rows.sparkSession)
@@ -185,7 +185,7 @@ def repeated_windows(rows: DataFrame, solve: Callable, unit: str, window: int, g
     shared = per_key.where((F.col("_hi") > F.col("_lo")) if earlier else (F.col("_c") > 1) | F.col("_self")).select("_key")
     # Both sides of the join are plain tables, so Spark may split a key that many segments share.
     met = cut(segments.join(cut(shared, "shared"), "_key", "left_semi"), "met")
-    # a class: its least member speaks for it; the others' windows all repeat
+    # a class: its least member speaks for it; the others' windows all repeat. With ``earlier`` those of members with the same id don't: they speak for themselves
     classes = met.groupBy("_key", "_own").agg(F.min(F.struct("_id", "_tk", "_at")).alias("_rep"), F.max("_id").alias("_hi"), F.count("*").alias("_c"))
     classes = cut(classes.withColumn("_many", F.col("_hi") > F.col("_rep._id") if earlier else F.col("_c") > 1).drop("_hi", "_c"), "classes")
     groups = cut(classes.groupBy("_key").agg(F.count("*").alias("_classes")), "groups")
@@ -193,7 +193,7 @@ def repeated_windows(rows: DataFrame, solve: Callable, unit: str, window: int, g
         "_id", "_tk", "_at", "_n", "_key", "_classes", "_many", (F.lit(not earlier) & F.col("_self")).alias("_self"),
         F.struct("_id", "_tk", "_at").eqNullSafe(F.col("_rep")).alias("_is_rep"), (F.col("_id") > F.col("_rep._id")).alias("_later")), "known")
     whole = known.where(F.col("_many") & (F.col("_later") if earlier else F.lit(True))).select("_id", "_tk", "_at", "_n")
-    wanted = known.where(F.col("_is_rep") & ((F.col("_classes") > 1) | F.col("_self"))).select(
+    wanted = known.where((~F.col("_later") if earlier else F.col("_is_rep")) & ((F.col("_classes") > 1) | F.col("_self"))).select(
         "_id", "_tk", F.struct("_key", "_at", "_n", (~F.col("_many") | F.lit(earlier)).alias("_single"), (F.col("_classes") > crowd).alias("_crowded")).alias("_want"))
     wanted = wanted.groupBy("_id", "_tk").agg(F.collect_set("_want").alias("_wants"))
     r, w = rows.alias("r"), wanted.alias("w")

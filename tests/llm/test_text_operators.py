@@ -88,6 +88,21 @@ def test_substring_dedup(docs, crowd):
     assert sum(r._n_removed for r in out) > 500
 
 
+@pytest.mark.parametrize("crowd", [1000, 1])
+def test_substring_dedup_of_segments_twice_in_a_document(spark, crowd):
+    draw = random.Random(8)
+    some = lambda n: [f"w{draw.randrange(10**6)}" for _ in range(n)]
+    periods = {k: some(k) for k in (1, 3, 8, 16, 32)}
+    passage, left, right = some(45), some(30), some(30)
+    texts = [some(9) + list(p) * (70 // k + 1) + some(4) for k, p in periods.items()]
+    texts += [some(7) + list(p) * (500 // k + 5) + some(9) + list(p) * (300 // k) for k, p in periods.items()]
+    texts += [some(25) + passage + some(25), left + passage + right + some(40) + left + passage + right]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    out = substring_dedup.remove_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), window=20, gram=4, crowd=crowd).collect()
+    want = brute_passages(rows, 20)
+    assert {r.doc_id: WORD.findall(r.text) for r in out} == want and len(want[len(rows) - 1]) == len(texts[-1]) - 90
+
+
 def brute_bytes(texts, window):
     times = Counter()
     for t in texts:
