@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tendrel.llm.common import cut
+from tendrel.llm.jaccard_dedup import near_copies
 from tendrel.llm.line_dedup import drop_common_lines
 from tendrel.llm.packing import default_tokenizer, pack_documents
 from tendrel.llm.quality_classifier import classify
@@ -33,16 +34,26 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _as_documents(drop_common_lines(docs, min_docs=10), docs)
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least id stays, once; so do rows with a null id."""
-    groups = near_duplicates(docs)
-    gone = groups.where(F.col("_component") < F.col("_id")).select(F.col("_id").alias("doc_id")).distinct()
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the ids of ``gone``; of rows that repeat an id one stays."""
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     twice = kept.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 AND doc_id IS NOT NULL").select("doc_id")
     repeated = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.join(twice, "doc_id", "left_anti").unionByName(repeated).select(*docs.columns)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents with near fingerprints (op10's rule alone) the one with the least id stays, once; so do rows with a null id."""
+    groups = near_duplicates(docs)
+    return _without(docs, groups.where(F.col("_component") < F.col("_id")).select(F.col("_id").alias("doc_id")).distinct())
+
+
+def near_copies_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As ``near_dedup``, but documents are also linked if their sets of five-word shingles have a Jaccard similarity of 0.8 or more."""
+    near = cut(near_duplicates(docs).where(F.col("_component") < F.col("_id")).select(F.col("_id").alias("a"), F.col("_component").alias("b")).distinct(), "near")
+    return _without(docs, near_copies(docs, near).where("component < node").select(F.col("node").alias("doc_id")).distinct())
+
+
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more that a document with a smaller id has go."""
     return _as_documents(remove_repeated_passages(docs), docs)
@@ -53,7 +64,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs.select("doc_id", "text"), default_tokenizer(), with_ids=False)
 
 
-STAGES = [("quality", quality), ("lines", lines), ("near_dedup", near_dedup), ("passages", passages), ("packed", packed)]
+STAGES = [("quality", quality), ("lines", lines), ("near_dedup", near_copies_dedup), ("passages", passages), ("packed", packed)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tendrel.llm import ann, line_dedup, packing, piece_dropout, quality_classifier, quality_rules, simhash_dedup, substring_dedup, suffix_dedup, url_filters
+from tendrel.llm import ann, jaccard_dedup, line_dedup, packing, piece_dropout, quality_classifier, quality_rules, simhash_dedup, substring_dedup, suffix_dedup, url_filters
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, source string, _text string, _id int"
@@ -197,6 +197,39 @@ def test_simhash_links_of_near_codes(spark, crowd):
     assert {i: found.get(i, i) for i in points} == want
 
 
+@pytest.mark.parametrize("crowd", [1000, 3])
+def test_near_copies_by_shingles(spark, crowd):
+    draw = random.Random(9)
+    rows = [(900, "one two"), (901, "One  two"), (902, ""), (903, None), (None, "one two"), (904, "one two three")]
+    for k in range(40):
+        words = [f"w{draw.randrange(10**6)}" for _ in range(120)]
+        for j in range(draw.randint(2, 8)):
+            own = list(words)
+            for at in draw.sample(range(120), draw.choice([0, 1, 1, 2, 3, 4])):
+                own[at] = f"x{draw.randrange(10**6)}"
+            rows.append((len(rows), " ".join(own)))
+    sets = {}
+    for i, t in rows:
+        w = (t or "").lower().split()
+        if w and i is not None:
+            sets[i] = {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))}
+    name, pairs = {i: i for i in sets}, 0
+    for a in sets:
+        for b in sets:
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                pairs += 1
+                x, y = sorted((name[a], name[b]))
+                name = {i: x if n == y else n for i, n in name.items()}
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.node: r.component for r in jaccard_dedup.near_copies(table, spark.createDataFrame([], "a long, b long"), crowd=crowd).collect()}
+    assert {i: out.get(i, i) for i in sets} == name and pairs > 100 and out.keys() <= sets.keys()
+    if crowd == 1000:
+        import corpus_pipeline
+
+        stays = {r.doc_id for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, table, "").collect()}
+        assert stays <= {*name.values(), 902, 903, None}
+
+
 def test_gray_index_prunes_and_joins_whole_groups():
     rng = np.random.default_rng(2)
     codes = np.unique(np.concatenate([rng.integers(0, 1 << 63, 4000).astype(np.uint64), np.arange(16, dtype=np.uint64), rng.integers(0, 1 << 12, 3000).astype(np.uint64)]))
