@@ -2,8 +2,10 @@
 
 Texts are split where a run of spaces begins, which no piece of the vocabulary crosses, and each distinct stretch is segmented by an agenda of candidate
 merges: the best-scored adjacent pair that makes a piece is taken, the leftmost first among equals. A candidate is skipped for good when the hash of
-(seed, variant, stretch, span, split) falls below the dropout rate, so results do not depend on partitions, retries or order. The agendas of all distinct
-stretches of a batch are worked off together, one merge of each a round. Which variant a stretch takes is a hash of seed, document and its place in the text.
+(seed, document, place in the text, span, split) falls below the dropout rate, so every occurrence draws for itself and results do not depend on partitions,
+retries or order. What a stretch gives under a set of skipped candidates is kept with the other candidates that come up: an occurrence that skips none of
+those takes it as it is; one that does is looked up again under the larger set, until it skips no more. The agendas of all stretches and sets that a batch
+lacks are worked off together, one merge of each a round.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from .common import BYTE_WORDS, Rolling, arrow_rows, flat_text, input_rows, mixe
 
 SPACE = "▁"
 RAW = 1 << 20  # symbols that are no piece: RAW + code point
-#: Segmented stretches that a task keeps at most.
+#: Segmented stretches that a worker keeps, each under what it skips; with more it begins anew at the next batch.
 CACHE = 300_000
 
 
@@ -47,7 +49,7 @@ class MergeModel:
         order = np.argsort([-sp.get_score(i) for i in range(n)], kind="stable")
         self.rank = np.empty(n, np.int64)
         self.rank[order] = np.arange(n)
-        self.cache: dict[tuple[int, float], bytes] = {}
+        self.cache: dict[int, tuple[bytes, bytes, bytes]] = {}  # by hash of stretch and skipped candidates: piece ids, other candidates, skipped ones
 
     def merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The piece that two symbols make, or -1."""
@@ -55,9 +57,9 @@ class MergeModel:
         at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
         return np.where((self.codes[at] == code) & (left >= 0) & (right >= 0), self.made[at], -1)
 
-    def segment(self, words: list[str], keys: np.ndarray, dropout: float) -> list[bytes]:
-        """Piece ids of each word as int32 bytes; ``keys`` has a hash for each, from which its skipped candidates follow."""
-        out = [b""] * len(words)
+    def segment(self, words: list[str], keys: np.ndarray, barred: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """Of each word its piece ids as int32 bytes and the candidates that came up and weren't ``barred``, as uint64 bytes. ``keys`` has a hash for each."""
+        out = [(b"", b"")] * len(words)
         sizes = np.array([len(w) for w in words], np.int64)
         lo = 0
         for hi in (6, 10, 16, 32, 128, 1 << 40):
@@ -65,14 +67,16 @@ class MergeModel:
             step = max(1, 2_000_000 // int(sizes[own].max(initial=1)))
             for k in range(0, len(own), step):
                 part = own[k : k + step]
-                row, ids = self._together([words[i] for i in part.tolist()], sizes[part], keys[part], dropout)
-                data, cuts = ids.astype(np.int32).tobytes(), (4 * np.searchsorted(row, np.arange(len(part) + 1))).tolist()
-                for i, a, b in zip(part.tolist(), cuts, cuts[1:]):
-                    out[i] = data[a:b]
+                row, ids, seen_row, seen = self._together([words[i] for i in part.tolist()], sizes[part], keys[part], [barred[i] for i in part.tolist()])
+                upto = np.arange(len(part) + 1)
+                data, cuts = ids.astype(np.int32).tobytes(), (4 * np.searchsorted(row, upto)).tolist()
+                spans, ends = seen.tobytes(), (8 * np.searchsorted(seen_row, upto)).tolist()
+                for i, a, b, c, d in zip(part.tolist(), cuts, cuts[1:], ends, ends[1:]):
+                    out[i] = data[a:b], spans[c:d]
             lo = hi
         return out
 
-    def _together(self, words: list[str], sizes: np.ndarray, keys: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
+    def _together(self, words: list[str], sizes: np.ndarray, keys: np.ndarray, barred: list[bytes]) -> tuple[np.ndarray, ...]:
         n, width = len(words), int(sizes.max())
         points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
         distinct, back = np.unique(points, return_inverse=True)
@@ -87,18 +91,26 @@ class MergeModel:
         prv = np.broadcast_to(np.arange(-1, width - 1), (n, width)).copy()
         none = np.iinfo(np.int64).max
         worst = np.full((n, width), none)  # rank of the candidate that begins here
-        limit = np.uint64(int(dropout * (1 << 32)))
+        owner = np.repeat(np.arange(n), [len(x) // 8 for x in barred])
+        skips = np.sort(mixed(keys[owner] ^ mixed(np.frombuffer(b"".join(barred), np.uint64))))
+        seen_rows, seen = [], []
 
         def candidates(row: np.ndarray, at: np.ndarray) -> None:
             then = nxt[row, at]
             ok = (at >= 0) & (then < sizes[row])
             row, at, then = row[ok], at[ok], then[ok]
             piece = self.merged(symbol[row, at], symbol[row, then])
-            rank = np.where(piece >= 0, self.rank[np.maximum(piece, 0)], none)
-            if dropout > 0:
-                span = (at.astype(np.uint64) << np.uint64(42)) | (then.astype(np.uint64) << np.uint64(21)) | nxt[row, then].astype(np.uint64)
-                rank = np.where(mixed(keys[row] ^ mixed(span)) >> np.uint64(32) < limit, none, rank)
-            worst[row, at] = rank
+            worst[row, at] = none
+            ok = piece >= 0
+            row, at, then, piece = row[ok], at[ok], then[ok], piece[ok]
+            span = (at.astype(np.uint64) << np.uint64(42)) | (then.astype(np.uint64) << np.uint64(21)) | nxt[row, then].astype(np.uint64)
+            if len(skips):
+                code = mixed(keys[row] ^ mixed(span))
+                ok = skips[np.minimum(np.searchsorted(skips, code), len(skips) - 1)] != code
+                row, at, piece, span = row[ok], at[ok], piece[ok], span[ok]
+            seen_rows.append(row)
+            seen.append(span)
+            worst[row, at] = self.rank[piece]
 
         rows, ats = np.nonzero(inside)
         candidates(rows, ats)
@@ -129,10 +141,12 @@ class MergeModel:
             times[raw] = [len(x) for x in spelt]
             row, ids = np.repeat(row, times), np.repeat(ids, times)
             ids[ids >= RAW] = self.bytes[[b for x in spelt for b in x]]
-        return row, ids
+        seen_row = np.concatenate(seen_rows)
+        order = np.argsort(seen_row, kind="stable")
+        return row, ids, seen_row[order], np.concatenate(seen)[order]
 
 
-def encode_batch(model: MergeModel, texts: pa.Array, doc_keys: np.ndarray, seed: int, dropout: float, variants: int) -> tuple[np.ndarray, np.ndarray]:
+def encode_batch(model: MergeModel, texts: pa.Array, doc_keys: np.ndarray, seed: int, dropout: float) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids of all texts in a row, and the offsets between them. A text gets a leading space first; null and empty texts have no pieces."""
     raw, offsets = flat_text(texts)
     some = np.flatnonzero(np.diff(offsets) > 0)
@@ -150,21 +164,39 @@ def encode_batch(model: MergeModel, texts: pa.Array, doc_keys: np.ndarray, seed:
     count = np.diff(firsts)
     place = np.arange(len(starts)) - np.repeat(firsts[:-1], count)
     salt = mixed(doc_keys.astype(np.int64).view(np.uint64) ^ mixed(np.array([seed], np.uint64)))
-    variant = mixed(np.repeat(salt, count) + place.astype(np.uint64)) % np.uint64(variants) if dropout > 0 else np.zeros(len(starts), np.uint64)
-    chunk = Rolling(BYTE_WORDS[raw]).of(starts, ends)
-    keys = mixed(chunk ^ mixed(variant + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15)))
-    _, first, back = np.unique(keys, return_index=True, return_inverse=True)
-    cache, wanted = model.cache, keys[first].tolist()
-    new = [i for i, k in enumerate(wanted) if (k, dropout) not in cache]
-    if len(cache) + len(new) > CACHE:
+    draw = mixed(np.repeat(salt, count) + place.astype(np.uint64))  # a key for each occurrence
+    limit, cache, data = np.uint64(int(dropout * (1 << 32))), model.cache, raw.tobytes()
+    if len(cache) > CACHE:
         cache.clear()
-        new = list(range(len(wanted)))
-    if new:
-        data, at = raw.tobytes(), first[new]
-        words = [data[s:e].decode() for s, e in zip(starts[at].tolist(), ends[at].tolist())]
-        for i, ids in zip(new, model.segment(words, keys[at], dropout)):
-            cache[wanted[i], dropout] = ids
-    found = [cache[k, dropout] for k in wanted]
+    state = Rolling(BYTE_WORDS[raw]).of(starts, ends)  # of the stretch, and of what it skips
+    live, before, skipped, cuts = np.arange(len(starts)), None, b"", None
+    while len(live):
+        states, first, back = np.unique(state[live], return_index=True, return_inverse=True)
+        wanted = states.tolist()
+        new = [i for i, k in enumerate(wanted) if k not in cache]
+        if new:
+            at = first[new]
+            words = [data[s:e].decode() for s, e in zip(starts[live[at]].tolist(), ends[live[at]].tolist())]
+            barred = [b""] * len(new) if before is None else [cache[k][2] + skipped[8 * lo : 8 * hi] for k, lo, hi in zip(before[at].tolist(), cuts[at].tolist(), cuts[at + 1].tolist())]
+            for i, x, (ids, others) in zip(new, barred, model.segment(words, states[new], barred)):
+                cache[wanted[i]] = ids, others, x
+        if not limit:
+            break
+        others = [cache[k][1] for k in wanted]
+        n = np.array([len(x) // 8 for x in others], np.int64)
+        spans, begin = np.frombuffer(b"".join(others), np.uint64), (np.cumsum(n) - n)[back]
+        n = n[back]
+        spans = spans[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - begin, n)]
+        owner = np.repeat(live, n)
+        hit = mixed(draw[owner] ^ mixed(spans)) >> np.uint64(32) < limit
+        owner, spans = owner[hit], spans[hit]
+        live, cuts = np.unique(owner, return_index=True)
+        before, skipped = state[live], spans.tobytes()
+        if len(live):
+            state[live] += np.add.reduceat(mixed(spans ^ np.uint64(0x9E3779B97F4A7C15)), cuts)
+        cuts = np.append(cuts, len(owner))
+    states, back = np.unique(state, return_inverse=True)
+    found = [cache[k][0] for k in states.tolist()]
     sizes = np.array([len(x) // 4 for x in found], np.int64)
     flat = np.frombuffer(b"".join(found), np.int32)
     begin = np.concatenate([[0], np.cumsum(sizes)])
@@ -182,7 +214,7 @@ def decode_ids(model: MergeModel, ids: np.ndarray) -> str:
     return b"".join([model.spelt[i] for i in ids.tolist()]).decode("utf-8", "replace")[1:]
 
 
-def encode_documents(docs: DataFrame, model_path: str, seed: int = 1, dropout: float = 0.1, variants: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, model_path: str, seed: int = 1, dropout: float = 0.1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of ``docs``: id, ids (array<int>), and text_ok: whether they decode to the very text.
 
     Null and empty texts have no ids, and decode to the empty text. Rows that repeat id and text get the same ids.
@@ -195,7 +227,7 @@ def encode_documents(docs: DataFrame, model_path: str, seed: int = 1, dropout: f
         worker_state()[f"pieces {model_path}"] = model
         for b in batches:
             texts = b.column(2)
-            ids, offsets = encode_batch(model, texts, b.column(1).to_numpy(zero_copy_only=False), seed, dropout, variants)
+            ids, offsets = encode_batch(model, texts, b.column(1).to_numpy(zero_copy_only=False), seed, dropout)
             good = [decode_ids(model, ids[lo:hi]) == (t or "") for t, lo, hi in zip(texts.to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist())]
             lists = pa.ListArray.from_arrays(offsets.astype(np.int32), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(good)], names=["_id", "ids", "text_ok"])

@@ -316,6 +316,37 @@ def test_merge_dropout(spark, docs):
     assert {r.doc_id: r.text for r in piece_dropout.decode_documents(dropped, path).collect()} == {i: t or "" for i, t in rows}
 
 
+def test_merge_dropout_of_each_occurrence():
+    import pyarrow as pa
+
+    model = piece_dropout.MergeModel(piece_dropout.default_model())
+    draw = random.Random(4)
+    words = ["government"] * 1500 + [draw.choice(["international", "été", "abc漢字", "a▁b", "understanding", "the"]) for _ in range(300)]
+    ids, offsets = piece_dropout.encode_batch(model, pa.array([None, " ".join(words), ""]), np.array([5, 6, 7]), 3, 0.1)
+    assert offsets.tolist() == [0, 0, len(ids), len(ids)]
+    mixed, salt = piece_dropout.mixed, piece_dropout.mixed(np.array([6], np.uint64) ^ piece_dropout.mixed(np.array([3], np.uint64)))
+    want, ways = [], set()
+    for place, word in enumerate(words):
+        key, n = mixed(salt + np.uint64(place)), len(word) + 1
+        parts = [(k, model.char["▁"] if k == 0 else piece_dropout.RAW + ord(c) if c == "▁" else model.char.get(c, piece_dropout.RAW + ord(c))) for k, c in enumerate(" " + word)]
+        while True:
+            ends = [k for k, _ in parts[1:]] + [n]
+            found = []
+            for i in range(len(parts) - 1):
+                piece = int(model.merged(np.array([parts[i][1]]), np.array([parts[i + 1][1]]))[0])
+                span = np.array([parts[i][0] << 42 | parts[i + 1][0] << 21 | ends[i + 1]], np.uint64)
+                if piece >= 0 and int(mixed(key ^ mixed(span))[0]) >> 32 >= int(0.1 * 2**32):
+                    found.append((int(model.rank[piece]), i, piece))
+            if not found:
+                break
+            _, i, piece = min(found)
+            parts[i : i + 2] = [(parts[i][0], piece)]
+        own = [x for _, p in parts for x in (model.bytes[list(chr(p - piece_dropout.RAW).encode())].tolist() if p >= piece_dropout.RAW else [p])]
+        ways |= {tuple(own)} if word == "government" else set()
+        want += own
+    assert ids.tolist() == want and len(ways) > 12
+
+
 def test_url_filters(spark):
     import datetime as dt
 
