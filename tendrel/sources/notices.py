@@ -29,11 +29,12 @@ def _csv(spark: SparkSession, paths: list[str] | str, encoding: str) -> DataFram
 
 
 def discover_headers(spark: SparkSession, glob: str) -> DataFrame:
-    """file, encoding, header of each file: its first line, as UTF-8 if it is that, else as Latin-1. Raises if there is no file."""
-    files = spark.read.format("binaryFile").load(glob).select("path", F.substring("content", 1, 1 << 20).alias("_head"))
-    text = F.try_validate_utf8(F.col("_head").cast("string")) if hasattr(F, "try_validate_utf8") else F.col("_head").cast("string")
-    out = files.select(F.col("path").alias("file"), F.when(text.isNull(), "ISO-8859-1").otherwise("UTF-8").alias("encoding"), F.coalesce(text, F.decode("_head", "ISO-8859-1")).alias("_t"))
-    out = out.select("file", "encoding", F.regexp_replace(F.regexp_extract("_t", r"^([^\r\n]*)", 1), "^﻿", "").alias("header"))
+    """file, encoding, header of each file: its first line, as UTF-8 if the whole file is that, else as Latin-1. Raises if there is no file."""
+    files = spark.read.format("binaryFile").load(glob).select("path", F.col("content").cast("string").alias("_t"))  # bytes as they are; nothing is decoded yet
+    head = F.substring_index(F.substring_index("_t", "\n", 1), "\r", 1)
+    files = files.select(F.col("path").alias("file"), F.when(F.is_valid_utf8("_t"), "UTF-8").otherwise("ISO-8859-1").alias("encoding"), head.alias("_head"))
+    text = F.when(F.col("encoding") == "UTF-8", F.col("_head")).otherwise(F.decode(F.col("_head").cast("binary"), "ISO-8859-1"))
+    out = files.select("file", "encoding", F.regexp_replace(text, "^﻿", "").alias("header"))
     if out.isEmpty():
         raise FileNotFoundError(glob)
     return out

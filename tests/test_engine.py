@@ -106,6 +106,23 @@ def test_ragged_files(spark, tmp_path):
     assert notices.schema_complexity(notices.discover_headers(spark, str(tmp_path / "*.csv"))).count() == 2
 
 
+def test_files_over_a_mebibyte(spark, tmp_path):
+    size, row = 1 << 20, "o{},{}\n"
+    head = "releases/0/ocid,releases/0/buyer/name\n"
+    fill = lambda upto: head + "o1," + "x" * (upto - len(head) - 3)
+    (tmp_path / "a.csv").write_bytes((fill(size - 1) + "é\n" + row.format(2, "Zoë")).encode())
+    (tmp_path / "b.csv").write_bytes((fill(size + 9) + "\n" + row.format(3, "Straße")).encode("latin-1"))
+    wide = "releases/0/ocid," + ",".join(f"c{k}" for k in range(150_000))
+    assert len(wide) > size
+    for name, last in (("c", "releases/0/p"), ("d", "releases/0/q")):
+        (tmp_path / f"{name}.csv").write_text(f"{wide},{last}\r\n")
+    found = {r.file[-5:]: r for r in notices.discover_headers(spark, str(tmp_path / "*.csv")).collect()}
+    assert {k: r.encoding for k, r in found.items()} == {"a.csv": "UTF-8", "b.csv": "ISO-8859-1", "c.csv": "UTF-8", "d.csv": "UTF-8"}
+    assert found["c.csv"].header == f"{wide},releases/0/p" and found["d.csv"].header == f"{wide},releases/0/q"
+    names = {r[0]: r[1][-6:] for r in notices.read_notices(spark, str(tmp_path / "[ab].csv")).where("`releases/0/ocid` <> 'o1'").select("`releases/0/ocid`", "`releases/0/buyer/name`").collect()}
+    assert names == {"o2": "Zoë", "o3": "Straße"}
+
+
 def test_incremental_ingest(spark, tmp_path):
     schema = spark.createDataFrame([], "award_id string, release_id string, release_date timestamp, award_value double").schema
     source, table = tmp_path / "in", str(tmp_path / "table")
