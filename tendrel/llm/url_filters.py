@@ -28,7 +28,8 @@ def url_keys(url: Column, path_depth: int = 2) -> Column:
     labels = F.split(host, r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     parts = F.filter(F.split(F.coalesce(F.regexp_extract(url, PATH, 1), F.lit("")), "/"), lambda x: x != "")
-    paths = F.transform(F.sequence(F.lit(1), F.lit(path_depth)), lambda i: F.when(F.size(parts) >= i, F.concat(host, F.lit("/"), F.array_join(F.slice(parts, 1, i), "/"))))
+    depths = F.slice(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), 1, F.least(F.size(parts), F.lit(path_depth)))
+    paths = F.transform(depths, lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(parts, 1, i), "/")))
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.array_compact(F.concat(F.array(host), parents, paths))))
 
 
@@ -55,7 +56,8 @@ def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str = "page_id"
     last = rows.agg(F.max("_at").alias("_at")).first()["_at"]  # one value: open intervals need no spans beyond it
     spans = validity_intervals(entries).withColumn("_end", F.least(F.coalesce(F.date_sub("valid_to", 1), F.lit(last).cast("date")), F.lit(last).cast("date")))
     spans = spans.where(F.col("_end") >= F.col("valid_from")).select("list", "key", "valid_from", "valid_to", F.explode(F.sequence(span(F.col("valid_from")), span(F.col("_end")))).alias("_span"))
-    seen = rows.where(F.col("_at").isNotNull() & F.col("_url").isNotNull()).distinct().select("*", F.explode(url_keys(F.col("_url"))).alias("key"), span(F.col("_at")).alias("_span"))
+    depth = entries.agg(F.max(F.size(F.split("key", "/")) - 1).alias("n")).first()["n"] or 0  # one value: the most path segments of an entry
+    seen = rows.where(F.col("_at").isNotNull() & F.col("_url").isNotNull()).distinct().select("*", F.explode(url_keys(F.col("_url"), depth)).alias("key"), span(F.col("_at")).alias("_span"))
     active = seen.join(spans, ["key", "_span"]).where((F.col("_at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("_at") < F.col("valid_to"))))
     rank = F.struct(F.length("key").alias("n"), (F.col("list") == "block").cast("int").alias("block"), F.col("key").alias("key"))
     verdicts = active.groupBy("_id", "_url", "_at").agg(F.count("*").alias("n_active"), F.sum((F.col("list") == "block").cast("long")).alias("n_block"), F.max(rank).alias("_top"))

@@ -363,6 +363,19 @@ def test_url_filters(spark):
     assert url_filters.filter_urls(empty, spark.createDataFrame(entries, "list string, key string, at date, action string")).count() == 0
 
 
+def test_url_filters_with_deep_entries(spark):
+    import datetime as dt
+
+    day = dt.date(2024, 1, 1)
+    entries = [("block", "h.org/a/b/c", day, "add"), ("allow", "h.org/a/b/c/d/e", day, "add"), ("block", "flat.org", day, "add")]
+    urls = ["http://h.org/a/b", "http://h.org/a/b/c?q", "http://h.org//a/b/c/x", "http://h.org/a/b/c/d/e/f", "http://flat.org/", "http://flat.org"]
+    captures = spark.createDataFrame([(i, u, day) for i, u in enumerate(urls)], "page_id int, url string, fetched date")
+    got = lambda rows: {r.page_id: (r.decided_by, r.kept) for r in url_filters.filter_urls(captures, spark.createDataFrame(rows, "list string, key string, at date, action string")).collect()}
+    flat = {4: ("flat.org", False), 5: ("flat.org", False)}
+    assert got(entries) == {0: (None, True), 1: ("h.org/a/b/c", False), 2: ("h.org/a/b/c", False), 3: ("h.org/a/b/c/d/e", True)} | flat
+    assert got(entries[2:]) == {i: (None, True) for i in range(4)} | flat
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(4)
     v = rng.normal(size=(1500, 16)).astype(np.float32)
