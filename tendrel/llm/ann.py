@@ -161,7 +161,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     components, ones of another length than most, and rows without an id take no part. Of rows that repeat an id one counts, the least vector.
     """
     spark = vectors.sparkSession
-    arrow_rows(spark, 2000)
+    arrow_rows(spark)
     v = F.col(vector_col).cast("array<double>")
     good = F.col(id_col).isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.where(F.coalesce(good, F.lit(False))).groupBy(F.col(id_col).cast("long").alias("_id")).agg(

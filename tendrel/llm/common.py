@@ -14,22 +14,27 @@ from pyspark.sql import functions as F
 
 #: ASCII white space: [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"
-#: Rows of text that go to Python at once; whole texts may be long.
-ARROW_ROWS = 256
+#: For bytes.translate: A-Z lower-cased, all else as it is.
+LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+#: Bytes of rows that go to Python at once; a single row may have more.
+ARROW_BYTES = 4 << 20
 
 
-def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound what one Arrow batch of whole texts holds."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def arrow_rows(spark: SparkSession) -> None:
+    """Bound Arrow batches by their bytes, so that many short texts go to Python together and long ones alone. All operators set the same bound."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where none is set, as in tests, a temporary one."""
+    """The folder that driver and executors share. Where none is set, a temporary one if all run in one process, as in tests; otherwise an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else None
     if not found:
-        found = tempfile.mkdtemp(prefix="tendrel-")
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="tendrel-")  # one machine, as in tests
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
@@ -56,6 +61,18 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def added(columns: list[str], *names: str) -> list[str]:
+    """``names`` for columns that come on top of ``columns``: one that is taken, in whatever case, gets underscores at its end until it is new."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_key(c: Column) -> Column:
     """Tells apart rows that share an id; identical rows get the same results anyway."""
     return F.xxhash64(c)

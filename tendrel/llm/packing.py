@@ -8,7 +8,9 @@ packed by one task from lengths alone, and the number of groups follows the numb
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, flat_text, input_rows, word_bounds, worker_state
+from .common import LOWER, arrow_rows, flat_text, input_rows, word_bounds, worker_state
 
 WINDOW = 2048
 #: Documents a packing group has on average; sequence ids are group * 2**32 + number.
@@ -47,62 +49,91 @@ def part_marks(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[
 class ChunkEncoder:
     """Token ids of whole texts by a ``tokenizers`` file, one distinct stretch between white space at a time.
 
-    Only for tokenizers that drop white space, never join across it, and part letters, single digits and runs of other characters. A cache of bounded size holds the ids of frequent stretches.
+    Only for tokenizers that drop white space, never join across it, and part letters, single digits and runs of other characters, with a mark in the
+    vocabulary for the last token of such a part. A cache of bounded size holds the ids of frequent stretches. New stretches of letters alone are joined by
+    spaces and tokenized many at a time: each is one part, so it ends at the next token with that mark.
     """
 
-    def __init__(self, path: str, cache_size: int = 400_000):
+    END = "</w>"
+    #: Stretches that are tokenized as one text.
+    JOINED = 500
+
+    def __init__(self, path: str, cache_size: int = 800_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # every core has a task already
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cache, self.cache_size = Tokenizer.from_file(path), {}, cache_size
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(self.END)]] = True
+
+    def _tokens(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        cache, single = self.cache, [w for w in words if not w.isalpha()]
+        letters = [w for w in words if w.isalpha()]
+        groups = [letters[k : k + self.JOINED] for k in range(0, len(letters), self.JOINED)]
+        for group, ids in zip(groups, self._tokens([" ".join(g) for g in groups])):
+            ids = np.array(ids, np.uint32)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(group):  # letters to one library, not all to the other
+                single += group
+                continue
+            data, ends = ids.tobytes(), (4 * cuts).tolist()
+            for w, lo, hi in zip(group, [0, *ends], ends):
+                cache[w] = data[lo:hi]
+        for w, ids in zip(single, self._tokens(single)):
+            cache[w] = array("I", ids).tobytes()
 
     def _ids(self, words: list[str]) -> list[bytes]:
-        cache = self.cache
-        missing = [w for w in words if w not in cache]
+        found = list(map(self.cache.get, words))
+        missing = [w for w, x in zip(words, found) if x is None]
         if missing:
-            if len(cache) + len(missing) > self.cache_size:
-                cache.clear()
-                missing = words
-            for k in range(0, len(missing), 20_000):
-                part = missing[k : k + 20_000]
-                for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                    cache[w] = np.array(e.ids, np.uint32).tobytes()
-        return [cache[w] for w in words]
+            if len(self.cache) + len(missing) > self.cache_size:
+                self.cache.clear()
+            self._learn(missing)
+            new = map(self.cache.__getitem__, missing)
+            found = [next(new) if x is None else x for x in found]
+        return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and the len+1 offsets between them."""
         raw, offsets = flat_text(texts)
-        if not ((raw[:-1] == 60) & (raw[1:] == 124)).any():  # <| may begin a special token that is written out, whose case matters
-            raw = np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint8)
-            starts, stops = part_marks(raw, *word_bounds(raw, offsets)[:2])
-        else:
-            starts, stops, _ = word_bounds(raw, offsets)
-        ink = np.zeros(len(raw) + 1, np.int8)
-        ink[starts] += 1
-        ink[stops] -= 1
+        data = raw.tobytes()
+        special = b"<|" in data  # may begin a special token that is written out, whose case matters
+        if not special:
+            raw = np.frombuffer(data.translate(LOWER), np.uint8)
+        starts, stops, _ = word_bounds(raw, offsets)
+        if not special:
+            starts, stops = part_marks(raw, starts, stops)
+        letters = raw[~((raw == 32) | ((raw >= 9) & (raw <= 13)))]
         cuts = np.concatenate([[0], np.cumsum(stops - starts)])
-        letters = raw[np.cumsum(ink[:-1]).astype(bool)]
         words = pc.dictionary_encode(pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(cuts), pa.py_buffer(letters)))
         found = self._ids(words.dictionary.to_pylist())
-        sizes = np.array([len(x) // 4 for x in found], np.int64)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         flat = np.frombuffer(b"".join(found), np.uint32)
         firsts = np.concatenate([[0], np.cumsum(sizes)])
-        code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        code = words.indices.to_numpy(zero_copy_only=False)
         ends = np.concatenate([[0], np.cumsum(sizes[code])])
-        at = np.arange(ends[-1]) - np.repeat(ends[:-1] - firsts[code], sizes[code])
+        at = np.arange(ends[-1]) + np.repeat(firsts[code] - ends[:-1], sizes[code])
         return flat[at], ends[np.searchsorted(starts, offsets)]
 
 
 def best_fit_decreasing(lengths: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """(window number, offset) of each length, longest first; equal lengths in the given order.
 
-    The leaves of the tree are the remaining capacities 0..window, each with its open windows; an inner node counts those below it. The search goes up from
-    the leaf of the wanted length until there is an open window to the right, and down to the leftmost one.
+    Lengths of a whole window get one each, without a search. The leaves of the tree are the remaining capacities 0..window, each with its open windows; an
+    inner node counts those below it. The search goes up from the leaf of the wanted length until there is an open window to the right, and down to the
+    leftmost one.
     """
     size = 1 << int(window).bit_length()
     count = [0] * (2 * size)
     open_at: list[list[int]] = [[] for _ in range(window + 1)]
-    room: list[int] = []
     number, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+    full = np.flatnonzero(lengths == window)
+    number[full] = np.arange(len(full))
+    room = [0] * len(full)
 
     def change(capacity: int, by: int) -> None:
         k = size + capacity
@@ -110,7 +141,7 @@ def best_fit_decreasing(lengths: np.ndarray, window: int = WINDOW) -> tuple[np.n
             count[k] += by
             k >>= 1
 
-    for i in np.argsort(-lengths, kind="stable").tolist():
+    for i in np.argsort(-lengths, kind="stable")[len(full) :].tolist():
         need = int(lengths[i])
         k = size + need
         if not count[k]:
