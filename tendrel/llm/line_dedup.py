@@ -1,49 +1,48 @@
 """Line dedup: lines that many documents share go from all of them.
 
-The lines of each text are exploded as 128-bit hashes of their normalised form, documents are counted by hash, and the lines whose hash is common are
-dropped while the others keep their order. Only hashes are exploded: the text itself is shuffled once, to meet the common hashes of its document, and its
-lines stay in place in an array, which is the reassembly by position.
+Each text is exploded to its lines, and each line becomes a 128-bit hash of its normalised form with its position, once. Distinct documents are counted by
+hash; the positions of lines whose hash is common are gathered by document, and the text, which is shuffled once, drops these positions and keeps the others
+in order.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower, cut, input_rows, text_key
-
-
-def line_hash(line: Column) -> Column:
-    """128 bits of the normalised line; null where the line is blank, as blank lines never count."""
-    key = ascii_lower(F.btrim(line, F.lit(SPACES)))
-    return F.when(key != "", F.concat(F.hex(F.xxhash64(key)), F.lit("."), F.hex(F.xxhash64(F.lit(7), key))))
+from .common import SPACES, added, ascii_lower, cut, input_rows, text_key
 
 
 def drop_common_lines(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with its text replaced, and with _n_lines and _n_dropped.
+    """``docs`` with its text replaced, and with _n_lines and _n_dropped (under ``common.added`` names where docs has such columns).
 
-    A line counts once for each row that has it, however often it stands there. Each row counts as a document, repeated rows too. A null text is one
-    empty line and comes back as an empty text; a text of common lines alone also ends empty. Null ids are fine. Other columns pass through.
+    A line counts once for each document that has it, however often it stands there; rows of one id are one document. Lines of rows with a null id don't count,
+    but go if they are common. A null text is one empty line and comes back as an empty text; a text of common lines alone also ends empty. Other columns
+    pass through, whatever their names.
     """
     kept = [c for c in docs.columns if c not in (id_col, text_col)]
+    n_lines, n_dropped = added(docs.columns, "_n_lines", "_n_dropped")
     rows = docs.select(
         F.col(id_col).alias("_id"), text_key(F.col(text_col)).alias("_tk"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"),
         F.struct(*kept).alias("_rest") if kept else F.lit(None).cast("int").alias("_rest"),
     )
     lines = F.split(F.col("_text"), "\n", -1)
-    hashed = rows.select("_id", "_tk", F.explode(F.array_distinct(F.filter(F.transform(lines, line_hash), lambda h: h.isNotNull()))).alias("_h"))
-    # Written first: both sides of the join are then plain tables, and Spark may split a line that very many documents share.
-    common = cut(hashed.groupBy("_h").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_docs).select("_h"), "common")
-    hits = hashed.join(common, "_h", "left_semi").groupBy("_id", "_tk").agg(F.collect_set("_h").alias("_gone"))
+    key = ascii_lower(F.btrim("_line", F.lit(SPACES)))
+    # Written once: what follows reads hashes, not texts, and both sides of the joins are plain tables, so that Spark may split a line that very many documents share.
+    hashed = rows.select("_id", "_tk", F.posexplode(lines).alias("_pos", "_line")).select(
+        "_id", "_tk", "_pos", F.xxhash64(key).alias("_h1"), F.xxhash64(F.lit(7), key).alias("_h2"), (F.length(key) > 0).alias("_ink"))
+    hashed = cut(hashed, "lines").where("_ink").drop("_ink")
+    common = cut(hashed.groupBy("_h1", "_h2").agg(F.count_distinct("_id").alias("_n")).where(F.col("_n") >= min_docs).select("_h1", "_h2"), "common")
+    hits = hashed.join(common, ["_h1", "_h2"], "left_semi").groupBy("_id", "_tk").agg(F.collect_list("_pos").alias("_gone"))
     found = rows.alias("r").join(
         hits.alias("c"), F.col("r._id").eqNullSafe(F.col("c._id")) & F.col("r._tk").eqNullSafe(F.col("c._tk")), "left",
     ).select("r.*", "c._gone")
-    stay = F.when(F.col("_gone").isNull(), lines).otherwise(
-        F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("_gone"), line_hash(x)), F.lit(False))))
-    out = found.select("*", F.size(lines).cast("long").alias("_n_lines"), stay.alias("_stay"))
+    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
+    stay = F.when(F.col("_gone").isNull(), lines).otherwise(F.transform(places, lambda i: F.get(F.col("_lines"), i)))
+    out = found.withColumn("_lines", lines).select("_id", "_rest", F.size("_lines").cast("long").alias("_n_lines"), stay.alias("_stay"))
     return out.select(
         F.col("_id").alias(id_col), F.array_join("_stay", "\n").alias(text_col), *[F.col("_rest")[c].alias(c) for c in kept],
-        "_n_lines", (F.col("_n_lines") - F.size("_stay")).alias("_n_dropped"),
+        F.col("_n_lines").alias(n_lines), (F.col("_n_lines") - F.size("_stay")).alias(n_dropped),
     )
 
 

@@ -139,9 +139,9 @@ def test_suffix_dedup_of_periodic_texts(spark, crowd):
 
 
 def test_suffix_dedup_family_and_repeated_rows(spark):
-    rows = [{"_key": 1, "_id": k, "_at": 0, "_n": 41, "_single": True, "_units": bytes(random.Random(k % 7).choices(range(3), k=100))} for k in range(30)]
+    rows = [{"_key": 1, "_own": k, "_least": k, "_c": 1, "_n": 41, "_units": bytes(random.Random(k % 7).choices(range(3), k=100))} for k in range(30)]
     found = defaultdict(set)
-    for i, at, n in suffix_dedup.solve_bytes(rows, 60, 90):
+    for i, at, n, _ in suffix_dedup.solve_bytes(rows, 60, 90):
         found[i] |= set(range(at, at + n))
     assert found == {k: set(range(41)) for k in range(30)}
     twice = spark.createDataFrame([(1, "q" * 20 + "abcdefghij" * 5), (1, "q" * 20 + "abcdefghij" * 5), (None, "zyxwvutsrq"), (None, "zyxwvutsrq")], "doc_id long, text string")
@@ -238,6 +238,18 @@ def test_gray_index_prunes_and_joins_whole_groups():
     near = np.bitwise_count(index.codes[:, None] ^ index.codes[None, :]) <= 2
     for i in range(0, len(codes), 37):
         assert (name[near[i]] == name[i]).all()
+    assert index.pruned > 10_000
+
+
+def test_gray_index_keeps_groups_apart():
+    rng = np.random.default_rng(3)
+    group = np.sort(rng.integers(0, 300, 4000))
+    codes = rng.integers(0, 1 << 9, 4000).astype(np.uint64)
+    index = simhash_dedup.GrayIndex(codes, group)
+    own = group[index.order]
+    name = index.link(1).name
+    near = (np.bitwise_count(index.codes[:, None] ^ index.codes[None, :]) <= 1) & (own[:, None] == own[None, :])
+    assert all((name[near[i]] == name[i]).all() and (own[name[i]] == own[i]) for i in range(4000))
 
 
 def test_quality_rules(spark):
@@ -448,7 +460,9 @@ def test_odd_ids(spark):
     assert sorted(out, key=str) == sorted([(None, 0), (None, 0), (5, 0), (5, 0), (7, 8), (7, 0)], key=str)
     found = simhash_dedup.near_duplicates(table).collect()
     assert {(r._id, r._component) for r in found} == {(None, None), (5, 5), (7, 5)} and len(found) == 6
-    assert line_dedup.drop_common_lines(table, min_docs=5).where("text = ''").count() == 5
+    # rows of one id are one document, and rows without an id none: two documents have the line
+    assert line_dedup.drop_common_lines(table, min_docs=3).where("text = ''").count() == 0
+    assert line_dedup.drop_common_lines(table, min_docs=2).where("text = ''").count() == 5
     assert packing.pack_documents(table, packing.default_tokenizer()).count() == 6
 
 
