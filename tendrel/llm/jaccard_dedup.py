@@ -125,7 +125,7 @@ def bucket_links(rows: list[dict], limit: float) -> Iterator[tuple[int, int]]:
 
 def _compared(limit: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in whole_groups(batches, 1):
+        for rows in whole_groups(batches, 1, "_id"):
             first, found = 0, []
             while first < len(rows):
                 upto = first + 1

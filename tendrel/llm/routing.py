@@ -2,11 +2,16 @@
 
 Every window of W units (words or bytes) gets as its key the least hash of the K-unit grams in it. Equal windows have equal keys, and neighbouring windows
 mostly share theirs: a run of such windows is a segment, so that a text makes one row for about (W-K)/2 windows. Keys that can hold no repeat (only one
-document has them, or only one segment, in which their gram stands once) go at once. Of the rest, equal segments make a class and need no comparing; classes of one key that differ are compared by a solver, which is
-given what the class representatives say. Keys with many classes (a passage in a third of all documents, each time with other surroundings) are not given
-to one task: their windows are hashed one by one, counted with map-side combining, and joined back.
+document has them, or only one segment, in which their gram stands once) go at once. Of the rest, equal segments make a class, and a class goes as one row,
+with its number of members and least document, to the task of its key, where a solver says which of its windows repeat. What it says is joined back to
+the members.
 
-A segment is known by its key and a second 64-bit hash of its units; a window of a crowded key by a 128-bit hash.
+Keys with many classes (a passage in a third of all documents, each time with other surroundings) are not given to one task. Their segments are parted
+again: each window has a place relative to the first of its key's grams in it, windows of one stretch of places go together, and what all windows of such a
+stretch share, the core, is hashed as the new key. Stretches get shorter from level to level until a core is a whole window, so that a key at last holds one
+class, however common the passage is.
+
+A segment is known by its key and a second 64-bit hash of its units.
 """
 
 from __future__ import annotations
@@ -15,13 +20,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import BYTE_WORDS, Rolling, arrow_rows, cut, flat_text, mixed, text_key, word_bounds
 
-#: Classes of one key that a solver may get; a key with more goes by its windows.
+#: Classes of one key that a solver may get; a key with more is parted.
 CROWD = 1000
+#: Places in a stretch, by level, when crowded keys are parted.
+STRETCHES = (64, 8, 1)
 #: Bytes of text that are hashed at once.
 CHUNK = 2_000_000
 
@@ -102,51 +111,65 @@ def _segments(unit: str, window: int, gram: int, longest: int) -> Callable:
 
 
 def _fetch(unit: str, window: int) -> Callable:
-    """Units of the wanted segments; of crowded keys the hashes of their windows instead."""
+    """Units of the wanted segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            wants = b.column(3)
-            for first, texts in chunks(b.column(2)):
+            wants = b.column(1)
+            for first, texts in chunks(b.column(0)):
                 values, offsets, raw, *_ = text_units(texts, unit)
-                rows, keys, at, n, single, units, hash_row, hash_at, hash_1, hash_2 = [], [], [], [], [], [], [], [], [], []
-                roll = None
-                for i in range(len(texts)):
-                    for w in wants[first + i].as_py():
-                        lo = int(offsets[i]) + w["_at"]
-                        if w["_crowded"]:
-                            roll = roll or (Rolling(values), Rolling(mixed(values)))
-                            s = np.arange(lo, lo + w["_n"])
-                            hash_row.append(np.full(len(s), first + i))
-                            hash_at.append(s - offsets[i])
-                            hash_1.append(roll[0].of(s, s + window))
-                            hash_2.append(roll[1].of(s, s + window))
-                            continue
-                        rows.append(first + i)
-                        keys.append(w["_key"])
-                        at.append(w["_at"])
-                        n.append(w["_n"])
-                        single.append(w["_single"])
-                        hi = lo + w["_n"] + window - 1
-                        units.append((raw if unit == "bytes" else values)[lo:hi].tobytes())
-                m, k = len(rows), sum(map(len, hash_row))
-                all_rows = pa.array(np.concatenate([np.array(rows, np.int64), *hash_row]).astype(np.int64))
-                nulls = lambda x, kind: pa.concat_arrays([pa.array(x, kind), pa.nulls(k, kind)])
-                empty = [np.zeros(0, np.uint64)]
-                yield pa.RecordBatch.from_arrays([
-                    b.column(0).take(all_rows), b.column(1).take(all_rows), nulls(keys, pa.int64()), _long(np.concatenate([np.array(at, np.int64), *hash_at])),
-                    nulls(n, pa.int64()), nulls(single, pa.bool_()), nulls(units, pa.binary()),
-                    pa.concat_arrays([pa.nulls(m, pa.int64()), _long(np.concatenate(empty + hash_1))]), pa.concat_arrays([pa.nulls(m, pa.int64()), _long(np.concatenate(empty + hash_2))]),
-                ], names=["_id", "_tk", "_key", "_at", "_n", "_single", "_units", "_h1", "_h2"])
+                own = wants.slice(first, len(texts))
+                flat, row = pc.list_flatten(own), np.repeat(np.arange(len(own)), pc.list_value_length(own).to_numpy(zero_copy_only=False))
+                at, n = (flat.field(x).to_numpy(zero_copy_only=False) for x in ("_at", "_n"))
+                lo = offsets[row] + at
+                data = raw if unit == "bytes" else values
+                units = [data[i:j].tobytes() for i, j in zip(lo.tolist(), (lo + n + window - 1).tolist())]
+                yield pa.RecordBatch.from_arrays([*[flat.field(x) for x in ("_key", "_own", "_least", "_c", "_n")], pa.array(units, pa.binary())], names=["_key", "_own", "_least", "_c", "_n", "_units"])
 
     return run
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], least: int = 2000) -> Iterator[list[dict]]:
-    """Rows that come sorted by _key, as lists of at least ``least`` rows (but for the last) that never part a key."""
+def part_segment(values: np.ndarray, window: int, gram: int, stretch: int) -> Iterator[tuple[int, int, int, int]]:
+    """(first window, windows, new key, hash) of the parts of a segment's units: runs of windows with the same first gram of their key and places in one stretch."""
+    n = len(values) - window + 1
+    roll = Rolling(values)
+    grams = roll.grams(gram)
+    at = np.flatnonzero(grams == sliding_min(grams, window - gram + 1)[0])
+    anchor = at[np.searchsorted(at, np.arange(n))]
+    level = (anchor - np.arange(n)) // stretch
+    begin = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (level[1:] != level[:-1])]))
+    sizes = np.diff(np.append(begin, n))
+    core = anchor[begin] - level[begin] * stretch
+    keys = mixed(roll.of(core, core + window - stretch + 1) + level[begin].astype(np.uint64))
+    yield from zip(begin.tolist(), sizes.tolist(), keys.view(np.int64).tolist(), roll.of(begin, begin + sizes + window - 1).view(np.int64).tolist())
+
+
+def _parted(unit: str, window: int, gram: int, stretch: int) -> Callable:
+    width, kind = (1, np.uint8) if unit == "bytes" else (8, np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, cols = [], ([], [], [], [], [])
+            for i, units in enumerate(b.column(b.schema.get_field_index("_units")).to_pylist()):
+                values = np.frombuffer(units, kind)
+                for at, n, key, own in part_segment(BYTE_WORDS[values] if unit == "bytes" else values, window, gram, stretch):
+                    row.append(i)
+                    for c, x in zip(cols, (at, n, key, own, units[at * width : (at + n + window - 1) * width])):
+                        c.append(x)
+            rows = pa.array(row, pa.int64())
+            get = lambda name: b.column(b.schema.get_field_index(name)).take(rows)
+            yield pa.RecordBatch.from_arrays([get("_key"), get("_own"), *[pa.array(c, pa.int64()) for c in cols[:2]], get("_least"), get("_c"), *[pa.array(c, pa.int64()) for c in cols[2:4]], pa.array(cols[4], pa.binary())], names=["_up_key", "_up_own", "_shift", "_n", "_least", "_c", "_key", "_own", "_units"])
+
+    return run
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], least: int = 2000, name: str = "_own") -> Iterator[list[dict]]:
+    """Rows that come sorted by _key, as lists of at least ``least`` rows (but for the last) that never part a key; a row that repeats the key and ``name`` of the one before goes."""
     held: list[dict] = []
     for b in batches:
-        held += b.to_pylist()
+        for r in b.to_pylist():
+            if not held or r[name] != held[-1][name] or r["_key"] != held[-1]["_key"]:
+                held.append(r)
         if len(held) >= least:
             last, k = held[-1]["_key"], len(held)
             while k and held[k - 1]["_key"] == last:
@@ -158,24 +181,46 @@ def whole_groups(batches: Iterator[pa.RecordBatch], least: int = 2000) -> Iterat
         yield held
 
 
-def _solved(solve: Callable[[list[dict]], Iterator[tuple[int, int, int]]]) -> Callable:
+def _solved(solve: Callable[[list[dict]], Iterator[tuple]], schema: pa.Schema) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_groups(batches):
             found = list(solve(rows))
-            i = [x[0] for x in found]
-            yield pa.RecordBatch.from_pydict({
-                "_id": pa.array([rows[k]["_id"] for k in i]), "_tk": pa.array([rows[k]["_tk"] for k in i], pa.int64()),
-                "_at": pa.array([x[1] for x in found], pa.int64()), "_n": pa.array([x[2] for x in found], pa.int64())}) if i else None
+            if found:
+                own = [rows[x[0]] for x in found]
+                cols = [[r["_key"] for r in own], [r["_own"] for r in own], *[[x[k] for x in found] for k in (1, 2, 3)]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+
+    return run
+
 
-    return lambda batches: (x for x in run(batches) if x is not None)
+def _found(classes: DataFrame, solve: Callable, unit: str, window: int, gram: int, earlier: bool, crowd: int, stretches: tuple[int, ...]) -> DataFrame:
+    """Repeated windows of ``classes`` (_key, _own, _least, _c, _n, _units; one row a class) as (_key, _own, _at, _n, _who), _at from the segment's first on."""
+    kind = dict(classes.dtypes)["_least"]
+    out = to_arrow_schema(classes.select("_key", "_own", F.lit(0).cast("long").alias("_at"), "_n", F.col("_least").alias("_who")).schema)
+    groups = classes.groupBy("_key").agg(F.count("*").alias("_classes"))
+    crowded = cut(groups.where(F.col("_classes") > crowd).select("_key"), "crowded") if stretches else None
+    some = crowded is not None and not crowded.isEmpty()
+    fine = classes.join(crowded, "_key", "left_anti") if some else classes
+    solved = fine.repartition("_key").sortWithinPartitions("_key", "_least", "_own").mapInArrow(_solved(solve, out), f"_key long, _own long, _at long, _n long, _who {kind}")
+    if not some:
+        return solved
+    parts = classes.join(crowded, "_key", "left_semi").mapInArrow(_parted(unit, window, gram, stretches[0]), f"_up_key long, _up_own long, _shift long, _n long, _least {kind}, _c long, _key long, _own long, _units binary")
+    parts = cut(parts.dropDuplicates(["_up_key", "_up_own", "_shift"]), "parts")  # rows that repeat id and text come from the fetch as often
+    finer = parts.groupBy("_key", "_own").agg(F.min("_least").alias("_least"), F.max("_least").alias("_most"), F.sum("_c").alias("_c"), F.first("_n").alias("_n"), F.first("_units").alias("_units"))
+    per_key = finer.groupBy("_key").agg(F.min("_least").alias("_lo"), F.max("_most").alias("_hi"), F.sum("_c").alias("_sum"), F.max("_c").alias("_c"))
+    open_ = cut(per_key.where((F.col("_hi") > F.col("_lo")) | ((F.col("_c") > 1) if earlier else (F.col("_sum") > 1))).select("_key"), "open")
+    finer = cut(finer.drop("_most").join(open_, "_key", "left_semi"), "finer")
+    below = cut(_found(finer, solve, unit, window, gram, earlier, crowd, stretches[1:]), "below")
+    back = parts.select("_up_key", "_up_own", "_shift", "_key", "_own").join(below, ["_key", "_own"])
+    return solved.union(back.select(F.col("_up_key").alias("_key"), F.col("_up_own").alias("_own"), (F.col("_shift") + F.col("_at")).alias("_at"), "_n", "_who"))
 
 
 def repeated_windows(rows: DataFrame, solve: Callable, unit: str, window: int, gram: int, longest: int, earlier: bool, crowd: int = CROWD) -> DataFrame:
     """Repeated windows of ``rows`` (_id, _tk, _text) as (_id, _tk, _at, _n): _n windows from unit _at on.
 
     ``earlier``: a window counts if it also stands in a row with a smaller _id; otherwise if it stands anywhere else, the same row included. ``solve`` gets
-    rows of whole keys (_key, _id, _at, _n, _single, _units), one a class (with ``earlier`` all of the class's least _id), and yields (index of row, _at, _n); what it says of rows that aren't _single, of which
-    each window is known to repeat, isn't needed.
+    the classes of whole keys (_key, _own, _least, _c, _n, _units), with their number of members and least _id, and yields (index of row, _at, _n, _who): runs
+    of windows that stand elsewhere in those classes or in several members, and the least _id that has them. Of a class the members with a larger id lose these.
     """
     arrow_rows(rows.sparkSession)
     kind = dict(rows.dtypes)["_id"]
@@ -185,28 +230,17 @@ def repeated_windows(rows: DataFrame, solve: Callable, unit: str, window: int, g
     shared = per_key.where((F.col("_hi") > F.col("_lo")) if earlier else (F.col("_c") > 1) | F.col("_self")).select("_key")
     # Both sides of the join are plain tables, so Spark may split a key that many segments share.
     met = cut(segments.join(cut(shared, "shared"), "_key", "left_semi"), "met")
-    # a class: its least member speaks for it; the others' windows all repeat. With ``earlier`` those of members with the same id don't: they speak for themselves
-    classes = met.groupBy("_key", "_own").agg(F.min(F.struct("_id", "_tk", "_at")).alias("_rep"), F.max("_id").alias("_hi"), F.count("*").alias("_c"))
-    classes = cut(classes.withColumn("_many", F.col("_hi") > F.col("_rep._id") if earlier else F.col("_c") > 1).drop("_hi", "_c"), "classes")
-    groups = cut(classes.groupBy("_key").agg(F.count("*").alias("_classes")), "groups")
-    known = cut(met.join(classes, ["_key", "_own"]).join(groups, "_key").select(
-        "_id", "_tk", "_at", "_n", "_key", "_classes", "_many", (F.lit(not earlier) & F.col("_self")).alias("_self"),
-        F.struct("_id", "_tk", "_at").eqNullSafe(F.col("_rep")).alias("_is_rep"), (F.col("_id") > F.col("_rep._id")).alias("_later")), "known")
-    whole = known.where(F.col("_many") & (F.col("_later") if earlier else F.lit(True))).select("_id", "_tk", "_at", "_n")
-    wanted = known.where((~F.col("_later") if earlier else F.col("_is_rep")) & ((F.col("_classes") > 1) | F.col("_self"))).select(
-        "_id", "_tk", F.struct("_key", "_at", "_n", (~F.col("_many") | F.lit(earlier)).alias("_single"), (F.col("_classes") > crowd).alias("_crowded")).alias("_want"))
-    wanted = wanted.groupBy("_id", "_tk").agg(F.collect_set("_want").alias("_wants"))
+    classes = met.groupBy("_key", "_own").agg(F.min(F.struct("_id", "_tk", "_at", "_n")).alias("_rep"), F.count("*").alias("_c"))
+    wanted = classes.select(F.col("_rep._id").alias("_id"), F.col("_rep._tk").alias("_tk"), F.struct(
+        "_key", "_own", F.col("_rep._id").alias("_least"), "_c", F.col("_rep._at").alias("_at"), F.col("_rep._n").alias("_n")).alias("_want"))
+    wanted = wanted.groupBy("_id", "_tk").agg(F.collect_list("_want").alias("_wants"))
     r, w = rows.alias("r"), wanted.alias("w")
-    fetched = r.join(w, F.col("r._id").eqNullSafe(F.col("w._id")) & (F.col("r._tk") == F.col("w._tk"))).select("r._id", "r._tk", "r._text", "w._wants").mapInArrow(
-        _fetch(unit, window), f"_id {kind}, _tk long, _key long, _at long, _n long, _single boolean, _units binary, _h1 long, _h2 long")
-    fetched = cut(fetched, "fetched")
-    compared = fetched.where("_units IS NOT NULL").select("_key", "_id", "_tk", "_at", "_n", "_single", "_units")
-    compared = compared.repartition("_key").sortWithinPartitions("_key", "_id", "_at").mapInArrow(_solved(solve), f"_id {kind}, _tk long, _at long, _n long")
-    # Crowded keys, window by window. A class speaks through its representative; in the other mode, one with several members counts as two.
-    loose = fetched.where("_h1 IS NOT NULL")
-    per_window = loose.groupBy("_h1", "_h2").agg(F.min("_id").alias("_lo"), F.count("*").alias("_c"))
-    again = loose.join(per_window, ["_h1", "_h2"]).where((F.col("_id") > F.col("_lo")) if earlier else (F.col("_c") > 1)).select("_id", "_tk", "_at", F.lit(1).cast("long").alias("_n"))
-    return whole.unionByName(compared).unionByName(again)
+    fetched = r.join(w, F.col("r._id").eqNullSafe(F.col("w._id")) & (F.col("r._tk") == F.col("w._tk"))).select("r._text", "w._wants").mapInArrow(
+        _fetch(unit, window), f"_key long, _own long, _least {kind}, _c long, _n long, _units binary")
+    found = cut(_found(cut(fetched, "fetched"), solve, unit, window, gram, earlier, crowd, tuple(x for x in STRETCHES if x < window - gram)), "found")
+    members = met.select("_key", "_own", "_id", "_tk", F.col("_at").alias("_first")).join(found, ["_key", "_own"])
+    members = members.where(F.col("_id") > F.col("_who")) if earlier else members
+    return members.select("_id", "_tk", (F.col("_first") + F.col("_at")).alias("_at"), "_n")
 
 
 def with_repeats(rows: DataFrame, found: DataFrame) -> DataFrame:

@@ -2,9 +2,9 @@
 
 The reference of a document is every document with a smaller id, so the automata of all references together grow with the corpus and can't be sent to every
 task. The reference is therefore sharded by the keys of ``routing``, under which a window and all its equals meet, and each shard's automaton goes to the one
-task that holds the shard: it is built from the distinct reference passages of a key, every state knows the least document of its occurrences, and the
-passages of later documents stream through it for their matching statistics. Windows of equal length or more mark their words; marked words in a row
-form the maximal spans that are removed.
+task that holds the shard: it is built from the distinct passages of a key, every state knows the least document of its occurrences, and all distinct
+passages stream through it for their matching statistics. What it says of a passage holds for every document that has it. Windows of full length mark their
+words; marked words in a row form the maximal spans that are removed.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, input_rows
+from .common import added, arrow_rows, input_rows
 from .routing import CROWD, chunks, covered, keyed, repeated_windows, text_units, with_repeats
 
 WORDS, GRAM, LONGEST = 50, 10, 128
@@ -94,38 +94,38 @@ class SuffixAutomaton:
             yield have, least[s]
 
 
-def solve_words(rows: list[dict], window: int = WORDS) -> Iterator[tuple[int, int, int]]:
-    """For rows sorted by key: the windows of each row that also stand in a row of the same key with a smaller id."""
+def solve_words(rows: list[dict], window: int = WORDS) -> Iterator[tuple[int, int, int, object]]:
+    """For rows sorted by key, one a class of _c members from document _least on: (row, first, windows, least document) of runs of windows that stand in an
+    earlier document, or, in a class of several members, in its least one."""
     first = 0
     while first < len(rows):
         upto = first + 1
         while upto < len(rows) and rows[upto]["_key"] == rows[first]["_key"]:
             upto += 1
-        if rows[first]["_id"] != rows[upto - 1]["_id"]:  # sorted by id within the key
-            words = [np.frombuffer(r["_units"], np.int64).tolist() for r in rows[first:upto]]
-            shard = SuffixAutomaton()
-            for r, w in zip(rows[first:upto], words):
-                shard.add(w, r["_id"])
-            shard.close()
-            for i in range(first, upto):
-                own, begin = rows[i]["_id"], None
-                if own == rows[first]["_id"]:
-                    continue
-                base = rows[i]["_at"] - window + 1
-                for k, (have, who) in enumerate(shard.matches(words[i - first], window)):
-                    hit = have == window and who < own
-                    if hit and begin is None:
-                        begin = k
-                    elif not hit and begin is not None:
-                        yield i, base + begin, k - begin
-                        begin = None
-                if begin is not None:
-                    yield i, base + begin, len(words[i - first]) - begin
+        words = [np.frombuffer(r["_units"], np.int64).tolist() for r in rows[first:upto]]
+        shard = SuffixAutomaton()
+        for r, w in zip(rows[first:upto], words):
+            shard.add(w, r["_least"])
+        shard.close()
+        for i in range(first, upto):
+            own = rows[i]["_least"]
+            if rows[i]["_c"] == 1 and own == rows[first]["_least"]:  # sorted by document within the key: none is earlier
+                continue
+            begin = before = None
+            for k, (have, who) in enumerate(shard.matches(words[i - first], window)):
+                if have < window or (who == own and rows[i]["_c"] == 1):
+                    who = None
+                if who != before:
+                    if before is not None:
+                        yield i, begin - window + 1, k - begin, before
+                    begin, before = k, who
+            if before is not None:
+                yield i, begin - window + 1, len(words[i - first]) - begin, before
         first = upto
 
 
 def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WORDS, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
-    """``docs`` with its text cut, and with _n_words and _n_removed.
+    """``docs`` with its text cut, and with _n_words and _n_removed (under ``common.added`` names where docs has such columns).
 
     A word goes if it lies in ``window`` consecutive words that also begin in a document with a smaller id; this is judged on the texts as they come. The words
     that stay keep what stood between them; where words went, one space stands. A text that loses nothing stays as it is. Rows of one id are one document and
@@ -161,7 +161,8 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
     schema = joined.select(*[c for c in ("_id", "_rest") if c in at], "_text", F.lit(0).cast("long").alias("_n_words"), F.lit(0).cast("long").alias("_n_removed")).schema
     out = joined.mapInArrow(strip, schema)
     back = {id_col: F.col("_id"), text_col: F.col("_text")} | {c: F.col("_rest")[c] for c in rest}
-    return out.select(*[back[c].alias(c) for c in docs.columns], "_n_words", "_n_removed")
+    n_words, n_removed = added(docs.columns, "_n_words", "_n_removed")
+    return out.select(*[back[c].alias(c) for c in docs.columns], F.col("_n_words").alias(n_words), F.col("_n_removed").alias(n_removed))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

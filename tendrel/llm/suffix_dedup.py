@@ -1,9 +1,12 @@
-"""Suffix-array dedup of exact byte strings with a logarithmic family of indexes.
+"""Suffix-array dedup of exact byte strings with logarithmic families of indexes.
 
-Passages reach a task by the keys of ``routing``, under which all equal windows meet. There they come in batches. A batch gets a suffix array: the starts of
-its windows, sorted by the window's bytes. It is merge-scanned against the suffix arrays of the levels that the family holds: both are sorted, so equal
-windows are found in one pass. Then it joins the family, in which levels of equal size merge into one of double size, so that n batches make log n levels.
-Levels of finished keys are dropped, which bounds what a task holds by the passages of one key.
+Passages reach a task by the keys of ``routing``, under which all equal windows meet; equal passages come as one, with their number. A task works off its
+passages in batches of whole ones. A batch gets a suffix array: the starts of its windows, sorted by the bytes that follow. It is scanned against the suffix
+arrays of the levels that the family holds, in which its windows are looked up in order; then it joins the family, where levels of equal size merge into one
+of double size, so that n batches make log n levels. A family takes the passages of several keys, and a new one begins with a new key once it is full, which
+bounds what a task holds by that size and the passages of one key.
+
+The family lives in a task: one index of a whole corpus would hold eight bytes for each of its bytes and be rewritten once a level, beyond any disk.
 """
 
 from __future__ import annotations
@@ -19,75 +22,61 @@ from .common import arrow_rows, flat_text, input_rows
 from .routing import CROWD, chunks, covered, keyed, repeated_windows, with_repeats
 
 BYTES, GRAM, LONGEST = 400, 32, 512
-#: Windows in a batch of the family.
-BATCH = 16_384
+#: Windows in a batch, and in a family before a new one begins.
+BATCH, FAMILY = 8_192, 65_536
 
 
 class SuffixArray:
-    """Windows of ``width`` bytes in ``data`` in the order of their bytes: ``starts`` sorted, ``names`` the number of each."""
+    """Windows of one width in the order of their bytes: ``windows`` sorted, ``names`` the number of each."""
 
-    def __init__(self, data: np.ndarray, starts: np.ndarray, names: np.ndarray, width: int, ordered: bool = False):
-        self.data, self.width = data, width
-        order = slice(None) if ordered else np.argsort(self._text(data, starts, width), kind="stable")
-        self.starts, self.names = starts[order], names[order]
+    def __init__(self, windows: np.ndarray, names: np.ndarray, level: int = 0):
+        self.windows, self.names, self.level = windows, names, level
 
-    @staticmethod
-    def _text(data: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    @classmethod
+    def of(cls, data: np.ndarray, starts: np.ndarray, names: np.ndarray, width: int) -> SuffixArray:
         rows = np.lib.stride_tricks.sliding_window_view(data, width)[starts] if len(starts) else np.zeros((0, width), np.uint8)
-        return np.ascontiguousarray(rows).view(f"S{width}")[:, 0]
-
-    def text(self) -> np.ndarray:
-        """The sorted windows. All are of one width, so that bytes strings compare as the bytes do, zeros at the end included."""
-        return self._text(self.data, self.starts, self.width)
+        # all are of one width, so that bytes strings compare as the bytes do, zeros at the end included
+        windows = np.ascontiguousarray(rows).view(f"S{width}")[:, 0]
+        order = np.argsort(windows, kind="stable")
+        return cls(windows[order], names[order])
 
     def repeats(self) -> np.ndarray:
         """Names of windows that stand here twice or more."""
-        t = self.text()
-        same = np.zeros(len(t) + 1, bool)
-        same[1:-1] = t[1:] == t[:-1]
+        same = np.zeros(len(self.windows) + 1, bool)
+        same[1:-1] = self.windows[1:] == self.windows[:-1]
         return self.names[same[1:] | same[:-1]]
 
     def scan(self, other: SuffixArray) -> np.ndarray:
-        """Names, of either, of windows that stand in both."""
-        a, b = self.text(), other.text()
-        if not len(a) or not len(b):
+        """Names, of this, of windows that stand in both, and of the first equal one of ``other``; more of it are among its ``repeats``."""
+        if not len(self.windows) or not len(other.windows):
             return np.zeros(0, np.int64)
-        in_b = np.minimum(np.searchsorted(b, a), len(b) - 1)
-        in_a = np.minimum(np.searchsorted(a, b), len(a) - 1)
-        return np.concatenate([self.names[b[in_b] == a], other.names[a[in_a] == b]])
+        at = np.minimum(np.searchsorted(other.windows, self.windows), len(other.windows) - 1)
+        both = other.windows[at] == self.windows
+        return np.concatenate([self.names[both], other.names[at[both]]])
 
     def merged(self, other: SuffixArray) -> SuffixArray:
-        """One array of the windows of both: each goes where the other's order puts it."""
-        a, b = self.text(), other.text()
-        at_a = np.arange(len(a)) + np.searchsorted(b, a, "left")
-        at_b = np.arange(len(b)) + np.searchsorted(a, b, "right")
-        starts, names = np.empty(len(a) + len(b), np.int64), np.empty(len(a) + len(b), np.int64)
-        starts[at_a], starts[at_b] = self.starts, other.starts + len(self.data)
-        names[at_a], names[at_b] = self.names, other.names
-        return SuffixArray(np.concatenate([self.data, other.data]), starts, names, self.width, ordered=True)
+        """One array of the windows of both, a level up: two sorted runs, which a stable sort merges."""
+        windows = np.concatenate([self.windows, other.windows])
+        order = np.argsort(windows, kind="stable")
+        return SuffixArray(windows[order], np.concatenate([self.names, other.names])[order], self.level + 1)
 
 
 class IndexFamily:
     """Suffix arrays of geometric sizes; ``add`` returns the names of all windows that a new batch shows to be repeated."""
 
     def __init__(self) -> None:
-        self.levels: list[SuffixArray | None] = []
+        self.levels: list[SuffixArray] = []  # from large to small
 
     def add(self, batch: SuffixArray) -> np.ndarray:
-        found = [batch.repeats(), *[batch.scan(x) for x in self.levels if x is not None]]
-        k = 0
-        while True:
-            if k == len(self.levels):
-                self.levels.append(None)
-            if self.levels[k] is None:
-                self.levels[k] = batch
-                return np.concatenate(found)
-            batch, self.levels[k] = self.levels[k].merged(batch), None
-            k += 1
-
-
-def _groups(rows: list[dict], batch: int) -> Iterator[tuple[int, int]]:
-    """Stretches of whole keys with about ``batch`` windows; one key alone may have more."""
+        found = [batch.repeats(), *[batch.scan(x) for x in self.levels]]
+        while self.levels and self.levels[-1].level == batch.level:
+            batch = self.levels.pop().merged(batch)
+        self.levels.append(batch)
+        return np.concatenate(found)
+
+
+def _families(rows: list[dict], most: int) -> Iterator[tuple[int, int]]:
+    """Stretches of whole keys with about ``most`` windows; one key alone may have more."""
     first, n, k = 0, 0, 0
     while k < len(rows):
         upto = k
@@ -95,7 +84,7 @@ def _groups(rows: list[dict], batch: int) -> Iterator[tuple[int, int]]:
         while upto < len(rows) and rows[upto]["_key"] == rows[k]["_key"]:
             own += rows[upto]["_n"]
             upto += 1
-        if n and n + own > batch:
+        if n and n + own > most:
             yield first, k
             first, n = k, 0
         n += own
@@ -104,34 +93,34 @@ def _groups(rows: list[dict], batch: int) -> Iterator[tuple[int, int]]:
         yield first, len(rows)
 
 
-def solve_bytes(rows: list[dict], window: int = BYTES, batch: int = BATCH) -> Iterator[tuple[int, int, int]]:
-    """For rows sorted by key: the windows of each single row that stand elsewhere under the same key."""
-    for first, upto in _groups(rows, batch):
-        family, found, base = IndexFamily(), [], 0
+def solve_bytes(rows: list[dict], window: int = BYTES, batch: int = BATCH, family_windows: int = FAMILY) -> Iterator[tuple[int, int, int, None]]:
+    """For rows sorted by key, one a class of _c members: (row, first, windows, None) of the windows that stand twice or more in these or in the members."""
+    for first, upto in _families(rows, family_windows):
+        family, found = IndexFamily(), []
         sizes = np.array([r["_n"] for r in rows[first:upto]], np.int64)
         firsts = np.concatenate([[0], np.cumsum(sizes)])
         k = first
         while k < upto:
-            end, n = k, 0
-            while end < upto and (end == k or n + rows[end]["_n"] <= batch):
-                n += rows[end]["_n"]
+            end = k + 1
+            while end < upto and firsts[end + 1 - first] - firsts[k - first] <= batch:
                 end += 1
-            data = np.frombuffer(b"".join(r["_units"] for r in rows[k:end]), np.uint8)
+            data = np.frombuffer(b"".join([r["_units"] for r in rows[k:end]]), np.uint8)
             own = sizes[k - first : end - first]
-            lengths = own + window - 1
-            begin = np.concatenate([[0], np.cumsum(lengths)])[:-1]
-            starts = np.arange(n) + np.repeat(begin - np.concatenate([[0], np.cumsum(own)])[:-1], own)
-            found.append(family.add(SuffixArray(data, starts, base + np.arange(n), window)))
-            base += n
+            base, n = int(firsts[k - first]), int(own.sum())
+            begin = np.cumsum(own + window - 1) - (own + window - 1)
+            starts = np.arange(n) + np.repeat(begin - np.cumsum(own) + own, own)
+            found.append(family.add(SuffixArray.of(data, starts, base + np.arange(n), window)))
             k = end
-        hit = np.zeros(int(firsts[-1]) + 1, bool)
+        hit = np.repeat(np.array([r["_c"] > 1 for r in rows[first:upto]]), sizes)
         hit[np.concatenate(found)] = True
-        for i in range(first, upto):
-            if rows[i]["_single"]:
-                flags = np.concatenate([[0], hit[firsts[i - first] : firsts[i - first + 1]].astype(np.int8), [0]])
-                edge = np.flatnonzero(np.diff(flags))
-                for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
-                    yield i, rows[i]["_at"] + a, b - a
+        edge = np.zeros(len(hit) + 1, bool)
+        edge[firsts] = True
+        edge[1:-1] |= hit[1:] != hit[:-1]
+        cuts = np.flatnonzero(edge)
+        cuts = cuts[:-1][hit[cuts[:-1]]], cuts[1:][hit[cuts[:-1]]]
+        owner = np.searchsorted(firsts, cuts[0], "right") - 1
+        for i, a, b in zip(owner.tolist(), (cuts[0] - firsts[owner]).tolist(), (cuts[1] - cuts[0]).tolist()):
+            yield first + i, a, b, None
 
 
 def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = BYTES, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
