@@ -1,12 +1,13 @@
 """SimHash near-duplicates over a Gray-ordered hierarchical index.
 
-Equal fingerprints are one entry. Entries are routed by pairs of their six blocks of bits: of two fingerprints that differ in four bits at most, at least two
-blocks agree, so they meet under one of the 15 pairs of blocks. Under a key, fingerprints are sorted by Gray rank, in which neighbours share long patterns
-of bits; nodes of the index hold the bits that all their fingerprints share (a mask and a pattern), and upper nodes those that their nodes share. From the top
-down, differences between the shared patterns of two nodes add up; above the limit the whole pair of groups is pruned. Where a pair can't exceed the
-limit, or is linked already, it is joined without looking at its members.
-
-A key with too many fingerprints for one task (near copies of one text) is routed once more, by four of eight blocks.
+Equal fingerprints are one entry. Entries are routed by the five blocks of their bits: of two fingerprints that differ in four bits at most, at least one
+block agrees, so they meet under one of five keys. The keys of a task make one index: under each key, fingerprints are sorted by Gray rank, in which
+neighbours share long patterns of bits; nodes hold the bits that all their fingerprints share (a mask and a pattern), and upper nodes those that their nodes
+share. From the top of each key down, nodes are held against each other: if their shared bits differ in more places than the limit, the whole pair of groups
+is pruned, and if all their members must be within the limit, they are joined without looking at these. Every link is found by this descent.
+
+A key with too many fingerprints for one task (near copies of one text) is routed again, by two of six blocks, then four of eight, then twelve of sixteen. Under the
+last, 48 bits are given, so that a key has 65,536 fingerprints at most.
 """
 
 from __future__ import annotations
@@ -28,6 +29,10 @@ BITS = 4
 #: Fingerprints of one key that a task compares; keys with more are routed by finer blocks.
 CROWD = 20_000
 LEAF, FAN = 32, 16
+#: (blocks, of which so many agree), from key to finer key. For any, blocks less agreeing ones are at least the limit.
+ROUTES = ((5, 1), (6, 2), (8, 4), (16, 12))
+#: Pairs of nodes or fingerprints that are compared at once.
+PAIRS = 2_000_000
 
 
 def fingerprints(texts: pa.Array, shingle: int = 4) -> np.ndarray:
@@ -93,57 +98,70 @@ class _Sets:
                 self.name = self.name[self.name]
 
 
+def _products(first_a: np.ndarray, n_a: np.ndarray, first_b: np.ndarray, n_b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All (x, y) with x among the ``n_a`` numbers from ``first_a`` on and y among the ``n_b`` from ``first_b``, for each place; in parts of bounded size."""
+    sizes = n_a * n_b
+    upto = np.cumsum(sizes)
+    k = 0
+    while k < len(sizes):
+        end = max(k + 1, int(np.searchsorted(upto, upto[k] - sizes[k] + PAIRS, "right")))
+        own = np.repeat(np.arange(k, end), sizes[k:end])
+        at = np.arange(len(own)) - np.repeat(upto[k:end] - sizes[k:end] - (upto[k] - sizes[k]), sizes[k:end])
+        yield first_a[own] + at // n_b[own], first_b[own] + at % n_b[own]
+        k = end
+
+
 class GrayIndex:
-    """Fingerprints in Gray order under a tree of shared bit patterns: ``ones`` and ``zeros`` are the bits that all fingerprints of a node have set, or clear."""
+    """Fingerprints in Gray order under a tree of shared bit patterns, one tree for each group: ``ones`` and ``zeros`` are the bits that all fingerprints of a
+    node have set, or clear. A level is (ones, zeros, first child, children); ``group`` has sorted numbers."""
 
-    def __init__(self, codes: np.ndarray):
-        self.order = np.argsort(gray_rank(codes), kind="stable")
+    def __init__(self, codes: np.ndarray, group: np.ndarray | None = None):
+        group = np.zeros(len(codes), np.int64) if group is None else group
+        self.order = np.lexsort((gray_rank(codes), group))
         self.codes = codes[self.order]
-        self.levels = []
-        ones, zeros, width = self.codes, ~self.codes, LEAF
+        self.levels: list[tuple[np.ndarray, ...]] = []
+        self.pruned = 0
+        ones, zeros, owner, width = self.codes, ~self.codes, group, LEAF
         while True:
-            at = np.arange(0, len(ones), width)
-            ones, zeros = np.bitwise_and.reduceat(ones, at), np.bitwise_and.reduceat(zeros, at)
-            self.levels.append((ones, zeros))
-            if len(ones) == 1:
+            begin = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            place = np.arange(len(owner)) - np.repeat(begin, np.diff(np.append(begin, len(owner))))
+            at = np.flatnonzero(place % width == 0)
+            if self.levels and len(at) == len(owner):  # one node a group
                 return
-            width = FAN
+            ones, zeros = np.bitwise_and.reduceat(ones, at), np.bitwise_and.reduceat(zeros, at)
+            self.levels.append((ones, zeros, at, np.diff(np.append(at, len(owner)))))
+            owner, width = owner[at], FAN
 
-    def _bounds(self, level: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The least and the most bits in which members of the nodes can differ."""
-        ones, zeros = self.levels[level]
-        apart = np.bitwise_count((ones[a] & zeros[b]) | (zeros[a] & ones[b]))
-        alike = np.bitwise_count((ones[a] & ones[b]) | (zeros[a] & zeros[b]))
-        return apart, 64 - alike
+    def _span(self, level: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first fingerprint of each node, and how many it has."""
+        first, last = nodes, nodes
+        for k in range(level, -1, -1):
+            begin, n = self.levels[k][2:]
+            first, last = begin[first], begin[last] + n[last] - 1
+        return first, last - first + 1
 
     def link(self, limit: int) -> _Sets:
         """Sets of fingerprints (in Gray order) that links of ``limit`` bits or fewer join; not all links are looked at."""
         sets = _Sets(len(self.codes))
-        a = b = np.zeros(1, np.int64)
+        a = b = np.arange(len(self.levels[-1][0]))
         for level in range(len(self.levels) - 1, -1, -1):
-            least, most = self._bounds(level, a, b)
-            sure = most <= limit
-            span = LEAF * FAN**level
-            for start in (a[sure], b[sure]):  # all members of both nodes belong together
-                members = start[:, None] * span + np.arange(span)
-                inside = members < len(self.codes)
-                sets.join(members[inside], np.broadcast_to(a[sure][:, None] * span, members.shape)[inside])
-            go = (least <= limit) & ~sure
-            a, b = a[go], b[go]
+            ones, zeros, begin, n = self.levels[level]
+            least = np.bitwise_count((ones[a] & zeros[b]) | (zeros[a] & ones[b]))  # in which members of the nodes differ at least
+            alike = np.bitwise_count((ones[a] & ones[b]) | (zeros[a] & zeros[b]))
+            sure, go = alike >= 64 - limit, least <= limit
+            self.pruned += int((~go).sum())
+            for nodes in (a[sure], b[sure]):  # all members of both nodes belong together
+                first, size = self._span(level, nodes)
+                for x, y in _products(first, size, self._span(level, a[sure])[0], np.ones(len(first), np.int64)):
+                    sets.join(x, y)
+            a, b = a[go & ~sure], b[go & ~sure]
+            below = [(x[x <= y], y[x <= y]) for x, y in _products(begin[a], n[a], begin[b], n[b])] if level else []
             if level:
-                below = len(self.levels[level - 1][0])
-                ca, cb = (a[:, None] * FAN + np.arange(FAN)), (b[:, None] * FAN + np.arange(FAN))
-                pa_, pb_ = np.broadcast_to(ca[:, :, None], (len(a), FAN, FAN)).reshape(-1), np.broadcast_to(cb[:, None, :], (len(a), FAN, FAN)).reshape(-1)
-                ok = (pa_ < below) & (pb_ < below) & (pa_ <= pb_)
-                a, b = pa_[ok], pb_[ok]
-        for k in range(0, len(a), 500):
-            i = a[k : k + 500, None] * LEAF + np.arange(LEAF)
-            j = b[k : k + 500, None] * LEAF + np.arange(LEAF)
-            ii, jj = np.minimum(i, len(self.codes) - 1), np.minimum(j, len(self.codes) - 1)
-            near = np.bitwise_count(self.codes[ii][:, :, None] ^ self.codes[jj][:, None, :]) <= limit
-            near &= (i < len(self.codes))[:, :, None] & (j < len(self.codes))[:, None, :] & (sets.name[ii][:, :, None] != sets.name[jj][:, None, :])
-            r, x, y = np.nonzero(near)
-            sets.join(i[r, x], j[r, y])
+                a, b = (np.concatenate([np.zeros(0, np.int64), *[p[k] for p in below]]) for k in (0, 1))
+                continue
+            for x, y in _products(begin[a], n[a], begin[b], n[b]):
+                near = (np.bitwise_count(self.codes[x] ^ self.codes[y]) <= limit) & (x < y)
+                sets.join(x[near], y[near])
         return sets
 
 
@@ -169,33 +187,14 @@ def _linked(limit: int):
     """Links, as (rep, least rep of its set), of rows that come sorted by pair and key. Sets of one batch of keys are joined first, so that few links leave."""
 
     def solve(pair: np.ndarray, key: np.ndarray, codes: np.ndarray, reps: np.ndarray) -> pa.RecordBatch | None:
-        n = len(codes)
-        fresh = np.ones(n, bool)
+        fresh = np.ones(len(codes), bool)
         fresh[1:] = (pair[1:] != pair[:-1]) | (key[1:] != key[:-1])
-        begin = np.flatnonzero(fresh)
-        sizes = np.diff(np.append(begin, n))
-        group = np.repeat(np.arange(len(begin)), sizes)
-        a_all, b_all = [], []
-        small = sizes <= LEAF
-        rows = np.flatnonzero(small[group])
-        for d in range(1, min(int(sizes[small].max(initial=0)), LEAF)):
-            i = rows[rows + d < n]
-            i = i[group[i] == group[i + d]]
-            if not len(i):
-                break
-            near = np.bitwise_count(codes[i] ^ codes[i + d]) <= limit
-            a_all.append(i[near])
-            b_all.append(i[near] + d)
-        for g in np.flatnonzero(~small).tolist():
-            lo, hi = int(begin[g]), int(begin[g] + sizes[g])
-            index = GrayIndex(codes[lo:hi])
-            root = index.link(limit).name
-            moved = np.flatnonzero(root != np.arange(hi - lo))
-            a_all.append(lo + index.order[moved])
-            b_all.append(lo + index.order[root[moved]])
-        if not a_all or not sum(map(len, a_all)):
+        index = GrayIndex(codes, np.cumsum(fresh))
+        root = index.link(limit).name
+        moved = np.flatnonzero(root != np.arange(len(codes)))
+        if not len(moved):
             return None
-        ends = np.unique(np.stack([reps[np.concatenate(a_all)], reps[np.concatenate(b_all)]]), axis=1)
+        ends = np.unique(np.stack([reps[index.order[moved]], reps[index.order[root[moved]]]]), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(ends[0]), pa.array(ends[1])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,14 +221,19 @@ def near_links(entries: DataFrame, limit: int = BITS, crowd: int = CROWD) -> Dat
     """Links (a, b) between the _rep of fingerprints (_fp, _rep; each _fp once) that join all that differ in ``limit`` <= 4 bits or fewer into the right sets."""
     route = "_pair int, _key long, _fp long, _rep long"
     compare = lambda rows: rows.repartition("_pair", "_key").sortWithinPartitions("_pair", "_key").mapInArrow(_linked(limit), "a long, b long")
-    arrow_rows(entries.sparkSession, 10_000)
-    routed = cut(entries.mapInArrow(_routed(6, 2), route), "routed")
-    crowded = cut(routed.groupBy("_pair", "_key").count().where(F.col("count") > crowd).select("_pair", "_key"), "crowded")
-    links = compare(routed.join(crowded, ["_pair", "_key"], "left_anti"))
-    dense = routed.join(crowded, ["_pair", "_key"], "left_semi").select("_fp", "_rep").distinct()
-    links = cut(links.union(compare(dense.mapInArrow(_routed(8, 4), route))).distinct(), "near")
     arrow_rows(entries.sparkSession)
-    return links
+    links = None
+    for k, (blocks, agree) in enumerate(ROUTES):
+        routed = cut(entries.mapInArrow(_routed(blocks, agree), route), "routed")
+        last = k == len(ROUTES) - 1
+        crowded = None if last else cut(routed.groupBy("_pair", "_key").count().where(F.col("count") > crowd).select("_pair", "_key"), "crowded")
+        none = last or crowded.isEmpty()
+        found = compare(routed if none else routed.join(crowded, ["_pair", "_key"], "left_anti"))
+        links = found if links is None else links.union(found)
+        if none:
+            break
+        entries = cut(routed.join(crowded, ["_pair", "_key"], "left_semi").select("_fp", "_rep").distinct(), "dense")
+    return cut(links.distinct(), "near")
 
 
 def _fingerprinted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
