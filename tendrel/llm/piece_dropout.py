@@ -3,9 +3,9 @@
 Texts are split where a run of spaces begins, which no piece of the vocabulary crosses, and each distinct stretch is segmented by an agenda of candidate
 merges: the best-scored adjacent pair that makes a piece is taken, the leftmost first among equals. A candidate is skipped for good when the hash of
 (seed, document, place in the text, span, split) falls below the dropout rate, so every occurrence draws for itself and results do not depend on partitions,
-retries or order. What a stretch gives under a set of skipped candidates is kept with the other candidates that come up: an occurrence that skips none of
-those takes it as it is; one that does is looked up again under the larger set, until it skips no more. The agendas of all stretches and sets that a batch
-lacks are worked off together, one merge of each a round.
+retries or order. A batch of texts first segments each distinct stretch without skips; an occurrence that skips none of the candidates which came up takes
+that as it is, and one that does is segmented again under what it skips, along with all others of the same stretch and set, until it skips no more. The
+agendas of all distinct stretches and sets are worked off together, one merge of each a round.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from .common import BYTE_WORDS, Rolling, arrow_rows, flat_text, input_rows, mixe
 
 SPACE = "▁"
 RAW = 1 << 20  # symbols that are no piece: RAW + code point
-#: Segmented stretches that a worker keeps, each under what it skips; with more it begins anew at the next batch.
-CACHE = 300_000
+#: Characters of stretches whose agendas are worked off together.
+TOGETHER = 100_000
 
 
 class MergeModel:
@@ -44,55 +44,84 @@ class MergeModel:
             p = self.pieces[i]
             pairs += [(a << 32 | b, i) for k in range(1, len(p)) if (a := symbol(p[:k])) >= 0 and (b := symbol(p[k:])) >= 0]
         pairs.sort()
-        self.codes = np.array([c for c, _ in pairs], np.int64)
-        self.made = np.array([i for _, i in pairs], np.int64)
+        self._index(np.array([c for c, _ in pairs], np.int64), np.array([i for _, i in pairs], np.int64))
         order = np.argsort([-sp.get_score(i) for i in range(n)], kind="stable")
-        self.rank = np.empty(n, np.int64)
+        self.rank = np.empty(n, np.int32)
         self.rank[order] = np.arange(n)
-        self.cache: dict[int, tuple[bytes, bytes, bytes]] = {}  # by hash of stretch and skipped candidates: piece ids, other candidates, skipped ones
+        self.symbol_of = np.arange(RAW, RAW + 0x110000, dtype=np.int32)  # by code point
+        for p, i in self.char.items():
+            self.symbol_of[ord(p)] = i
+        self.symbol_of[[32, ord(SPACE)]] = self.char[SPACE], RAW + ord(SPACE)  # a mark that stands in the text itself goes as its bytes, so that it comes back
+
+    def _index(self, codes: np.ndarray, made: np.ndarray) -> None:
+        """A table of pairs by hash, with room for each pair in one of a few places: ``merged`` looks them up without a search."""
+        size = 1 << (4 * len(codes)).bit_length()
+        self.mask, self.table, self.made = np.int64(size - 1), np.full(size + 64, -1, np.int64), np.full(size + 64, -1, np.int32)
+        left, home, self.probes = np.arange(len(codes)), self._home(codes), 0
+        while len(left):
+            at = home[left] + self.probes
+            free = self.table[at] < 0
+            _, first = np.unique(at, return_index=True)
+            first = first[free[first]]
+            self.table[at[first]], self.made[at[first]] = codes[left[first]], made[left[first]]
+            left = np.delete(left, first)
+            self.probes += 1
+
+    def _home(self, code: np.ndarray) -> np.ndarray:
+        return (code * np.int64(-7046029254386353131) >> np.int64(33)) & self.mask
 
     def merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """The piece that two symbols make, or -1."""
-        code = left << 32 | right
-        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-        return np.where((self.codes[at] == code) & (left >= 0) & (right >= 0), self.made[at], -1)
-
-    def segment(self, words: list[str], keys: np.ndarray, barred: list[bytes]) -> list[tuple[bytes, bytes]]:
-        """Of each word its piece ids as int32 bytes and the candidates that came up and weren't ``barred``, as uint64 bytes. ``keys`` has a hash for each."""
-        out = [(b"", b"")] * len(words)
-        sizes = np.array([len(w) for w in words], np.int64)
+        """The piece that two symbols make, or -1. Symbols of -1 make none."""
+        code = left.astype(np.int64) << 32 | right
+        at = self._home(code)
+        found = self.table[at]
+        piece = np.where(found == code, self.made[at], -1)
+        open_ = np.flatnonzero((found != code) & (found >= 0) & (code >= 0))
+        for k in range(1, self.probes):
+            if not len(open_):
+                break
+            at = self._home(code[open_]) + k
+            found = self.table[at]
+            hit = found == code[open_]
+            piece[open_[hit]] = self.made[at[hit]]
+            open_ = open_[~hit & (found >= 0)]
+        return piece
+
+    def segment(self, symbols: np.ndarray, begin: np.ndarray, upto: np.ndarray, keys: np.ndarray, barred: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of each stretch ``symbols[begin:upto]`` its piece ids and the candidates that came up and weren't barred, as (ids, first, size, spans, first, size).
+
+        ``barred`` has the skipped candidates of all stretches, parted at ``cuts``; ``keys`` a hash for each stretch with what it skips.
+        """
+        sizes, n = upto - begin, len(begin)
+        places = np.zeros((4, n), np.int64)
+        all_ids, all_seen, done, seen_done = [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)], 0, 0
         lo = 0
         for hi in (6, 10, 16, 32, 128, 1 << 40):
             own = np.flatnonzero((sizes > lo) & (sizes <= hi))
-            step = max(1, 2_000_000 // int(sizes[own].max(initial=1)))
+            step = max(1, TOGETHER // int(sizes[own].max(initial=1)))
             for k in range(0, len(own), step):
                 part = own[k : k + step]
-                row, ids, seen_row, seen = self._together([words[i] for i in part.tolist()], sizes[part], keys[part], [barred[i] for i in part.tolist()])
-                upto = np.arange(len(part) + 1)
-                data, cuts = ids.astype(np.int32).tobytes(), (4 * np.searchsorted(row, upto)).tolist()
-                spans, ends = seen.tobytes(), (8 * np.searchsorted(seen_row, upto)).tolist()
-                for i, a, b, c, d in zip(part.tolist(), cuts, cuts[1:], ends, ends[1:]):
-                    out[i] = data[a:b], spans[c:d]
+                times = cuts[part + 1] - cuts[part]
+                spans = barred[np.arange(times.sum()) + np.repeat(cuts[part] - np.cumsum(times) + times, times)]
+                row, ids, seen_row, seen = self._together(symbols, begin[part], sizes[part], keys[part], spans, np.repeat(np.arange(len(part)), times))
+                at, seen_at = np.searchsorted(row, np.arange(len(part) + 1)), np.searchsorted(seen_row, np.arange(len(part) + 1))
+                places[:, part] = done + at[:-1], np.diff(at), seen_done + seen_at[:-1], np.diff(seen_at)
+                all_ids.append(ids.astype(np.int32))
+                all_seen.append(seen)
+                done, seen_done = done + len(ids), seen_done + len(seen)
             lo = hi
-        return out
-
-    def _together(self, words: list[str], sizes: np.ndarray, keys: np.ndarray, barred: list[bytes]) -> tuple[np.ndarray, ...]:
-        n, width = len(words), int(sizes.max())
-        points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
-        distinct, back = np.unique(points, return_inverse=True)
-        special = {32: self.char[SPACE], ord(SPACE): RAW + ord(SPACE)}  # a mark that stands in the text itself goes as its bytes, so that it comes back
-        to = np.array([special.get(c) or self.char.get(chr(c), RAW + c) for c in distinct.tolist()], np.int64)
+        return np.concatenate(all_ids), places[0], places[1], np.concatenate(all_seen), places[2], places[3]
+
+    def _together(self, symbols: np.ndarray, begin: np.ndarray, sizes: np.ndarray, keys: np.ndarray, barred: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, ...]:
+        n, width = len(begin), int(sizes.max())
         inside = np.arange(width)[None, :] < sizes[:, None]
-        symbol = np.full((n, width), -1, np.int64)
-        symbol[inside] = to[back]
-        point = np.zeros((n, width), np.int64)
-        point[inside] = points
-        nxt = np.broadcast_to(np.arange(1, width + 1), (n, width)).copy()  # the place of the symbol after this one; width or beyond the end: none
-        prv = np.broadcast_to(np.arange(-1, width - 1), (n, width)).copy()
-        none = np.iinfo(np.int64).max
-        worst = np.full((n, width), none)  # rank of the candidate that begins here
-        owner = np.repeat(np.arange(n), [len(x) // 8 for x in barred])
-        skips = np.sort(mixed(keys[owner] ^ mixed(np.frombuffer(b"".join(barred), np.uint64))))
+        symbol = np.full((n, width), -1, np.int32)
+        symbol[inside] = symbols[np.arange(sizes.sum()) + np.repeat(begin - np.cumsum(sizes) + sizes, sizes)]
+        nxt = np.broadcast_to(np.arange(1, width + 1, dtype=np.int32), (n, width)).copy()  # the place of the symbol after this one; width or beyond the end: none
+        prv = np.broadcast_to(np.arange(-1, width - 1, dtype=np.int32), (n, width)).copy()
+        none = np.iinfo(np.int32).max
+        worst = np.full((n, width), none, np.int32)  # rank of the candidate that begins here
+        skips = np.sort(mixed(keys[owner] ^ mixed(barred)))
         seen_rows, seen = [], []
 
         def candidates(row: np.ndarray, at: np.ndarray) -> None:
@@ -165,44 +194,42 @@ def encode_batch(model: MergeModel, texts: pa.Array, doc_keys: np.ndarray, seed:
     place = np.arange(len(starts)) - np.repeat(firsts[:-1], count)
     salt = mixed(doc_keys.astype(np.int64).view(np.uint64) ^ mixed(np.array([seed], np.uint64)))
     draw = mixed(np.repeat(salt, count) + place.astype(np.uint64))  # a key for each occurrence
-    limit, cache, data = np.uint64(int(dropout * (1 << 32))), model.cache, raw.tobytes()
-    if len(cache) > CACHE:
-        cache.clear()
+    limit = np.uint64(int(dropout * (1 << 32)))
+    symbols = model.symbol_of[np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32)]
+    chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+    begin, upto = chars[starts], chars[ends]
     state = Rolling(BYTE_WORDS[raw]).of(starts, ends)  # of the stretch, and of what it skips
-    live, before, skipped, cuts = np.arange(len(starts)), None, b"", None
+    live, owner, skipped = np.arange(len(starts)), np.zeros(0, np.int64), np.zeros(0, np.uint64)  # skipped: by owner, in order
+    chosen, pieces, firsts_of, sizes_of, known, done = np.zeros(len(starts), np.int64), [], [], [], 0, 0
     while len(live):
         states, first, back = np.unique(state[live], return_index=True, return_inverse=True)
-        wanted = states.tolist()
-        new = [i for i, k in enumerate(wanted) if k not in cache]
-        if new:
-            at = first[new]
-            words = [data[s:e].decode() for s, e in zip(starts[live[at]].tolist(), ends[live[at]].tolist())]
-            barred = [b""] * len(new) if before is None else [cache[k][2] + skipped[8 * lo : 8 * hi] for k, lo, hi in zip(before[at].tolist(), cuts[at].tolist(), cuts[at + 1].tolist())]
-            for i, x, (ids, others) in zip(new, barred, model.segment(words, states[new], barred)):
-                cache[wanted[i]] = ids, others, x
+        some = live[first]
+        lo, hi = np.searchsorted(owner, some), np.searchsorted(owner, some, "right")
+        barred = skipped[np.arange((hi - lo).sum()) + np.repeat(lo - np.cumsum(hi - lo) + hi - lo, hi - lo)]
+        ids, at, size, spans, span_at, n = model.segment(symbols, begin[some], upto[some], states, barred, np.concatenate([[0], np.cumsum(hi - lo)]))
+        chosen[live] = known + back
+        pieces.append(ids)
+        firsts_of.append(done + at)
+        sizes_of.append(size)
+        known, done = known + len(some), done + len(ids)
         if not limit:
             break
-        others = [cache[k][1] for k in wanted]
-        n = np.array([len(x) // 8 for x in others], np.int64)
-        spans, begin = np.frombuffer(b"".join(others), np.uint64), (np.cumsum(n) - n)[back]
         n = n[back]
-        spans = spans[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - begin, n)]
-        owner = np.repeat(live, n)
-        hit = mixed(draw[owner] ^ mixed(spans)) >> np.uint64(32) < limit
-        owner, spans = owner[hit], spans[hit]
-        live, cuts = np.unique(owner, return_index=True)
-        before, skipped = state[live], spans.tobytes()
+        spans = spans[np.arange(n.sum()) + np.repeat(span_at[back] - np.cumsum(n) + n, n)]
+        who = np.repeat(live, n)
+        hit = mixed(draw[who] ^ mixed(spans)) >> np.uint64(32) < limit
+        who, spans = who[hit], spans[hit]
+        live, cuts = np.unique(who, return_index=True)
         if len(live):
             state[live] += np.add.reduceat(mixed(spans ^ np.uint64(0x9E3779B97F4A7C15)), cuts)
-        cuts = np.append(cuts, len(owner))
-    states, back = np.unique(state, return_inverse=True)
-    found = [cache[k][0] for k in states.tolist()]
-    sizes = np.array([len(x) // 4 for x in found], np.int64)
-    flat = np.frombuffer(b"".join(found), np.int32)
-    begin = np.concatenate([[0], np.cumsum(sizes)])
-    upto = np.concatenate([[0], np.cumsum(sizes[back])])
-    at = np.arange(upto[-1]) - np.repeat(upto[:-1] - begin[back], sizes[back])
-    return flat[at], upto[firsts]
+        goes_on = np.isin(owner, live)
+        owner, skipped = np.concatenate([owner[goes_on], who]), np.concatenate([skipped[goes_on], spans])
+        order = np.argsort(owner, kind="stable")
+        owner, skipped = owner[order], skipped[order]
+    flat, at, size = (np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (pieces, firsts_of, sizes_of))
+    size = size[chosen]
+    ends_of = np.concatenate([[0], np.cumsum(size)])
+    return flat[np.arange(ends_of[-1]) + np.repeat(at[chosen] - ends_of[:-1], size)], ends_of[firsts]
 
 
 def decode_ids(model: MergeModel, ids: np.ndarray) -> str:
