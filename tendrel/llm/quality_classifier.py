@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE_WORDS, Rolling, arrow_rows, cut, flat_text, input_rows, mixed, word_bounds
+from .common import BYTE_WORDS, Rolling, added, arrow_rows, cut, flat_text, input_rows, mixed, word_bounds
 
 #: Sizes of the scorer: hashed dimensions, and the documents that it is trained on at most (about this many, chosen by hash of the id).
 DIMS, TRAIN_DOCS = 1 << 13, 6000
@@ -153,7 +153,7 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             dims = pa.ListArray.from_arrays(cuts, pa.array(dim[order].astype(np.int32)))
             values = pa.ListArray.from_arrays(cuts, pa.array(value[order].astype(np.float32)))
             pattern = votes(signals(texts)[0]).astype(np.int64) @ (3 ** np.arange(len(LABELLERS)))
-            yield pa.RecordBatch.from_arrays([pa.array(pattern), dims, values], names=["_pattern", "_dims", "_values"])
+            yield pa.RecordBatch.from_arrays([b.column(2).slice(first, len(texts)), pa.array(pattern), dims, values], names=["_order", "_pattern", "_dims", "_values"])
 
 
 def decode(codes: np.ndarray) -> np.ndarray:
@@ -186,18 +186,21 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_d
     arrow_rows(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = dict(rows.dtypes)["_id"]
-    counted = rows.mapInArrow(_vote_batches, f"_id {kind}, _pattern long").groupBy("_pattern").count().toPandas()
+    counted = rows.mapInArrow(_vote_batches, f"_id {kind}, _pattern long").groupBy("_pattern").count().orderBy("_pattern").toPandas()
     counts = counted["count"].to_numpy(np.float64)
     prior, rates = fit_labellers(decode(counted["_pattern"].to_numpy(np.int64)), counts)
     share = min(1.0, train_docs / max(counts.sum(), 1))
-    picked = rows if share == 1 else rows.where(F.pmod(F.xxhash64("_id", "_text"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    sample = picked.mapInArrow(_feature_batches, "_pattern long, _dims array<int>, _values array<float>").toPandas()
+    rows = rows.select("_id", "_text", F.xxhash64("_id", "_text").alias("_order"))
+    picked = rows if share == 1 else rows.where(F.pmod("_order", F.lit(1 << 30)) < int(share * (1 << 30)))
+    sample = picked.mapInArrow(_feature_batches, "_order long, _pattern long, _dims array<int>, _values array<float>").toPandas()
+    sample = sample.sort_values("_order", kind="stable").reset_index(drop=True)  # sums come out alike however the rows were dealt
     w, bias = train_scorer(sample, posterior(decode(sample["_pattern"].to_numpy(np.int64)), prior, rates))
     return {"weights": w, "bias": bias, "clean_share": prior, "rates": rates}
 
 
 def score_documents(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with _quality (0 to 1) and _n_words. The model is a few ten thousand numbers; it goes with the tasks."""
+    """``docs`` with _quality (0 to 1) and _n_words (``common.added`` names). The model is a few ten thousand numbers; it goes with the tasks."""
+    quality, n_words = added(docs.columns, "_quality", "_n_words")
     arrow_rows(docs.sparkSession)
     w, bias = model["weights"], float(model["bias"])
     at = docs.columns.index(text_col)
@@ -209,20 +212,21 @@ def score_documents(docs: DataFrame, model: dict, id_col: str = "doc_id", text_c
                 text, dim, value = features(texts)
                 out[first : first + len(texts)] = np.bincount(text, weights=w[dim] * value, minlength=len(texts)) + bias
                 n[first : first + len(texts)] = np.diff(word_bounds(*flat_text(texts))[2])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-np.clip(out, -30, 30)))), pa.array(n)], names=[*b.schema.names, "_quality", "_n_words"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-np.clip(out, -30, 30)))), pa.array(n)], names=[*b.schema.names, quality, n_words])
 
-    schema = docs.select("*", F.lit(0.0).alias("_quality"), F.lit(0).cast("long").alias("_n_words")).schema
+    schema = docs.select("*", F.lit(0.0).alias(quality), F.lit(0).cast("long").alias(n_words)).schema
     return docs.mapInArrow(scored, schema)
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, train_docs: int = TRAIN_DOCS) -> DataFrame:
-    """``docs`` with _quality, _n_words and _kept.
+    """``docs`` with _quality, _n_words and _kept; where docs has such a column itself, the added one gets the name that ``common.added`` gives.
 
     A text without a word (null or empty too) gets no vote; it is scored like any other but kept only with a word in it. Whole texts count. An empty table
     gives an empty table. Repeated rows get the same score.
     """
     model = fit(docs, id_col, text_col, train_docs)
-    return score_documents(docs, model, id_col, text_col).withColumn("_kept", (F.col("_quality") >= threshold) & (F.col("_n_words") > 0))
+    quality, n_words, kept = added(docs.columns, "_quality", "_n_words", "_kept")
+    return score_documents(docs, model, id_col, text_col).withColumn(kept, (F.col(quality) >= threshold) & (F.col(n_words) > 0))
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
