@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tendrel.llm.common import cut
+from tendrel.llm.common import added, cut, text_key
 from tendrel.llm.jaccard_dedup import near_copies
 from tendrel.llm.line_dedup import drop_common_lines
 from tendrel.llm.packing import default_tokenizer, pack_documents
@@ -26,7 +26,8 @@ def _as_documents(out: DataFrame, docs: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps. Null and empty texts go."""
-    return classify(docs).where("_kept").select(*docs.columns)
+    kept = added(docs.columns, "_quality", "_n_words", "_kept")[2]
+    return classify(docs).where(kept).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,24 +35,32 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _as_documents(drop_common_lines(docs, min_docs=10), docs)
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` without the ids of ``gone``; of rows that repeat an id one stays."""
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    twice = kept.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 AND doc_id IS NOT NULL").select("doc_id")
-    repeated = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(twice, "doc_id", "left_anti").unionByName(repeated).select(*docs.columns)
+def _one_of_each(docs: DataFrame, shingles: bool) -> DataFrame:
+    """``docs`` without the rows that are linked to another one of a smaller id (of one id, of a smaller hash of the text). Each row is a document of its own,
+    whatever its id: rows of one id with different texts stay. Rows without an id come after all others."""
+    node = added(docs.columns, "_node")[0]
+    rows = cut(docs.withColumn(node, F.monotonically_increasing_id()), "rows")  # written, so that the numbers stay
+    near = near_duplicates(rows, id_col=node).where(F.col("_component") < F.col("_id"))
+    near = cut(near.select(F.col("_id").alias("a"), F.col("_component").alias("b")).distinct(), "near")
+    if shingles:
+        groups = near_copies(rows, near, id_col=node)
+    else:
+        groups = near.select(F.col("a").alias("node"), F.col("b").alias("component")).union(near.select("b", "b").distinct())
+    ids = rows.select(F.col(node).alias("node"), F.struct(F.col("doc_id").isNull(), "doc_id", text_key(F.col("text")), node).alias("place"))
+    named = cut(groups.join(ids, "node"), "groups")
+    first = named.groupBy("component").agg(F.min("place").alias("first"))
+    gone = named.join(first, "component").where("place > first").select(F.col("node").alias(node))
+    return rows.join(gone, node, "left_anti").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents with near fingerprints (op10's rule alone) the one with the least id stays, once; so do rows with a null id."""
-    groups = near_duplicates(docs)
-    return _without(docs, groups.where(F.col("_component") < F.col("_id")).select(F.col("_id").alias("doc_id")).distinct())
+    """Of each group of documents with near fingerprints (op10's rule alone) the one with the least id stays."""
+    return _one_of_each(docs, shingles=False)
 
 
 def near_copies_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As ``near_dedup``, but documents are also linked if their sets of five-word shingles have a Jaccard similarity of 0.8 or more."""
-    near = cut(near_duplicates(docs).where(F.col("_component") < F.col("_id")).select(F.col("_id").alias("a"), F.col("_component").alias("b")).distinct(), "near")
-    return _without(docs, near_copies(docs, near).where("component < node").select(F.col("node").alias("doc_id")).distinct())
+    return _one_of_each(docs, shingles=True)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
