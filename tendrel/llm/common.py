@@ -47,6 +47,12 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sized(table: DataFrame, rows: int = 2_000_000) -> DataFrame:
+    """A written table of a few numbers a row, for a join with texts: broadcast if it has ``rows`` rows at most, so that the texts stay where they are; a larger
+    one is left to a shuffled join."""
+    return F.broadcast(table) if table.count() <= rows else table
+
+
 def worker_state() -> dict:
     """What a Python worker keeps from task to task: models and caches by name."""
     return vars(sys.modules.setdefault("_tendrel_worker", types.ModuleType("_tendrel_worker")))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_WORDS, Rolling, arrow_rows, cut, flat_text, mixed, text_key, word_bounds
+from .common import BYTE_WORDS, Rolling, arrow_rows, cut, flat_text, mixed, sized, text_key, word_bounds
 from .components import components
 from .routing import chunks, whole_groups
 
@@ -155,8 +155,8 @@ def near_copies(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_
     alike = buckets.groupBy("_m1", "_m2", "_n", "_lo").agg(F.min(F.struct("_band", "_at", "_c")).alias("e"))
     alike = cut(alike.select("_n", "e._band", "e._at", F.col("e._c._id").alias("_other"), F.col("e._c._tk").alias("_otk")), "buckets")
     met = cut(members.join(alike, ["_band", "_at"]), "met")
-    wanted = met.select("_id", "_tk").distinct()
-    sets = cut(rows.join(wanted, ["_id", "_tk"]).dropDuplicates(["_id", "_tk"]).select("_id", "_tk", "_text").mapInArrow(_sets(shingle), "_id long, _tk long, _set binary"), "sets")
+    wanted = cut(met.select("_id", "_tk").distinct(), "wanted")
+    sets = cut(rows.join(sized(wanted), ["_id", "_tk"]).select("_id", "_tk", "_text").mapInArrow(_sets(shingle), "_id long, _tk long, _set binary").dropDuplicates(["_id", "_tk"]), "sets")
     pairs = met.where("_id <> _other OR _tk <> _otk").select("_id", "_tk", "_other", "_otk").distinct()
     pairs = pairs.join(sets, ["_id", "_tk"]).join(sets.select(F.col("_id").alias("_other"), F.col("_tk").alias("_otk"), F.col("_set").alias("_with")), ["_other", "_otk"])
     links = cut(links.union(pairs.select("_id", "_set", "_other", "_with").mapInArrow(_checked(limit), "a long, b long")).distinct(), "linked")
