@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tendrel.llm.common import added, cut, text_key
+from tendrel.llm.common import added, cut, sized, text_key
 from tendrel.llm.jaccard_dedup import near_copies
 from tendrel.llm.line_dedup import drop_common_lines
 from tendrel.llm.packing import default_tokenizer, pack_documents
@@ -48,9 +48,9 @@ def _one_of_each(docs: DataFrame, shingles: bool) -> DataFrame:
         groups = near.select(F.col("a").alias("node"), F.col("b").alias("component")).union(near.select("b", "b").distinct())
     ids = rows.select(F.col(node).alias("node"), F.struct(F.col("doc_id").isNull(), "doc_id", text_key(F.col("text")), node).alias("place"))
     named = cut(groups.join(ids, "node"), "groups")
-    first = named.groupBy("component").agg(F.min("place").alias("first"))
-    gone = named.join(first, "component").where("place > first").select(F.col("node").alias(node))
-    return rows.join(gone, node, "left_anti").select(*docs.columns)
+    first = cut(named.groupBy("component").agg(F.min("place").alias("first")), "first")
+    gone = cut(named.join(first, "component").where("place > first").select(F.col("node").alias(node)), "gone")
+    return rows.join(sized(gone), node, "left_anti").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
