@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tendrel.plans.tables import CONTAMINATED, CUTS, LONG_YEARS, PLACEHOLDER_IDS, REDACTED, REF6, YEAR_DAYS
+from tendrel.plans.tables import CONTAMINATED, CUTS, LONG_YEARS, NAME_QUALITY, PLACEHOLDER_IDS, REDACTED, REF6, YEAR_DAYS
 
 # Company suffixes and their short forms.
 SUFFIXES = {"LIMITED": "LTD", "INCORPORATED": "INC", "CORPORATION": "CORP"}
@@ -122,7 +122,7 @@ def method_group(c: Column) -> Column:
 
 def name_quality(c: Column) -> Column:
     has = lambda words: F.lower(c).rlike("|".join(words))
-    return F.when(blank_to_null(c).isNull(), "missing").when(has(REDACTED), "redacted").when(has(CONTAMINATED), "contamination").otherwise("usable")
+    return F.when(blank_to_null(c).isNull(), NAME_QUALITY[0]).when(has(REDACTED), NAME_QUALITY[1]).when(has(CONTAMINATED), NAME_QUALITY[2]).otherwise(NAME_QUALITY[3])
 
 
 def usable_supplier(key: Column, name: Column, patterns: Sequence[str] = REF6) -> Column:
@@ -170,7 +170,7 @@ def indicator_category(count: Column) -> Column:
 
 
 def segment(awards: Column, value: Column, min_awards: float = 50, min_value: float = 100_000_000) -> Column:
-    return F.concat_ws(" / ", F.when(awards >= min_awards, "High activity").otherwise("Lower activity"), F.when(value >= min_value, "high value").otherwise("lower value"))
+    return F.concat_ws(" / ", F.when(awards >= min_awards, "High activity").otherwise("Lower activity"), F.when(value >= min_value, "High value").otherwise("Lower value"))
 
 
 def concat_distinct(c: Column, sep: str = ", ", where: Column | None = None) -> Column:

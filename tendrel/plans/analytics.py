@@ -6,7 +6,7 @@ from .dialect import Dialect, mean, money, n, pct, r2
 from .tables import ACTIVITY_BANDS, DURATION_BANDS, REF6, VALUE_BANDS, band, like_any
 
 METHODS = ("Direct", "Limited", "Selective", "Open", "Other", "Unknown")
-SEGMENTS = ("High activity / high value", "High activity / lower value", "Lower activity / high value", "Lower activity / lower value")
+SEGMENTS = ("High activity / High value", "High activity / Lower value", "Lower activity / High value", "Lower activity / Lower value")
 
 
 def _rows(values, name: str) -> str:

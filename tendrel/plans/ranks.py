@@ -5,6 +5,7 @@ from __future__ import annotations
 # Name: (rows, ORDER BY, what is summed up to each row).
 RANKS = {
     "ranked_suppliers": ("SELECT * FROM supplier_totals", "value DESC, supplier_key", "value"),
+    "ranked_allocations": ("SELECT supplier_key, value FROM usable_allocations", "value DESC, supplier_key", "value"),
     "ranked_procurements": ("SELECT ocid, tender_value FROM procurements WHERE tender_value IS NOT NULL", "tender_value DESC, ocid", "tender_value"),
     "ranked_buyer_values": ("SELECT coalesce(value, 0) AS v, count(*) AS n FROM overview GROUP BY coalesce(value, 0)", "v DESC", "n"),
     "ranked_buyer_awards": ("SELECT awards AS v, count(*) AS n FROM overview GROUP BY awards", "v DESC", "n"),

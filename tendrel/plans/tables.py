@@ -8,11 +8,16 @@ from . import ranks
 from .dialect import Dialect
 
 # Bands as (code, label, lowest, below); patterns of names that are no supplier's; cuts and labels of the scores.
-VALUE_BANDS = (("1", "Under 100K", None, 100_000), ("2", "100K to under 1M", 100_000, 1_000_000), ("3", "1M to under 10M", 1_000_000, 10_000_000),
-               ("4", "10M to under 100M", 10_000_000, 100_000_000), ("5", "100M to under 1B", 100_000_000, 1_000_000_000), ("6", "1B and over", 1_000_000_000, None))
-DURATION_BANDS = (("1", "Under 1 year", None, 1), ("2", "1 to under 3 years", 1, 3), ("3", "3 to under 5 years", 3, 5), ("4", "5 to under 10 years", 5, 10), ("5", "10 to under 20 years", 10, 20), ("6", "20 years and over", 20, None))
-ACTIVITY_BANDS = (("1", "1 award", None, 2), ("2", "2 to 9 awards", 2, 10), ("3", "10 to 49 awards", 10, 50), ("4", "50 to 199 awards", 50, 200), ("5", "200 awards and over", 200, None))
-SUPPLIER_COUNT_BANDS = (("1", "1", None, 2), ("2", "2", 2, 3), ("3", "3", 3, 4), ("4", "4 to 5", 4, 6), ("5", "6 to 10", 6, 11), ("6", "11 and over", 11, None))
+VALUE_BANDS = (("1", "<£100K", None, 100_000), ("2", "£100K-<£1M", 100_000, 1_000_000), ("3", "£1M-<£10M", 1_000_000, 10_000_000),
+               ("4", "£10M-<£100M", 10_000_000, 100_000_000), ("5", "£100M-<£1B", 100_000_000, 1_000_000_000), ("6", "£1B+", 1_000_000_000, None))
+TENDER_BANDS = (("1", "< £100K", None, 100_000), ("2", "£100K - < £1M", 100_000, 1_000_000), ("3", "£1M - < £10M", 1_000_000, 10_000_000),
+                ("4", "£10M - < £100M", 10_000_000, 100_000_000), ("5", "£100M - < £1B", 100_000_000, 1_000_000_000), ("6", "£1B+", 1_000_000_000, None))
+SUPPLIER_VALUE_BANDS = (("1", "< 100K", None, 100_000), ("2", "100K-< 1M", 100_000, 1_000_000), ("3", "1M-< 10M", 1_000_000, 10_000_000),
+                        ("4", "10M-< 100M", 10_000_000, 100_000_000), ("5", "100M-< 1B", 100_000_000, 1_000_000_000), ("6", "1B+", 1_000_000_000, None))
+DURATION_BANDS = (("1", "<1 year", None, 1), ("2", "1-<3 years", 1, 3), ("3", "3-<5 years", 3, 5), ("4", "5-<10 years", 5, 10), ("5", "10-<20 years", 10, 20), ("6", "20+ years", 20, None))
+ACTIVITY_BANDS = (("1", "1 award", None, 2), ("2", "2-9 awards", 2, 10), ("3", "10-49 awards", 10, 50), ("4", "50-199 awards", 50, 200), ("5", "200+ awards", 200, None))
+SUPPLIER_COUNT_BANDS = (("1", "Single supplier", None, 2), ("2", "2 suppliers", 2, 3), ("3", "3 suppliers", 3, 4), ("4", "4-5 suppliers", 4, 6), ("5", "6-10 suppliers", 6, 11), ("6", "11+ suppliers", 11, None))
+NAME_QUALITY = ("Missing supplier name", "Redacted / unavailable", "Source-text contamination", "Usable supplier name")
 REF1 = ("successful supplier",)
 REF5 = ("successful supplier", "supplier list", "see webpage", "contract award details", "attachments")
 REF6 = (*REF5, "please see")
@@ -36,6 +41,12 @@ def usable_name(x: str, patterns: tuple = REF6) -> str:
     return f"({x} IS NOT NULL AND trim({x}) <> '' AND NOT {like_any(x, patterns)})"
 
 
+def name_quality(x: str) -> str:
+    missing, redacted, contaminated, usable = NAME_QUALITY
+    return (f"CASE WHEN {x} IS NULL OR trim({x}) = '' THEN '{missing}' WHEN {like_any(x, REDACTED)} THEN '{redacted}' "
+            f"WHEN {like_any(x, CONTAMINATED)} THEN '{contaminated}' ELSE '{usable}' END")
+
+
 def method_group(x: str) -> str:
     return (f"CASE WHEN {x} IS NULL OR trim({x}) = '' THEN 'Unknown' WHEN lower({x}) LIKE '%direct%' THEN 'Direct' WHEN lower({x}) LIKE '%limited%' THEN 'Limited' "
             f"WHEN lower({x}) LIKE '%selective%' THEN 'Selective' WHEN lower({x}) LIKE '%open%' THEN 'Open' ELSE 'Other' END")
@@ -79,26 +90,31 @@ def steps(d: Dialect) -> dict[str, str]:
     total = lambda version: " + ".join(score_v(version, d))
     counts = lambda names: f"""SELECT award_id, release_id, count(DISTINCT CASE WHEN {usable_name('canonical_supplier_name', names)} THEN supplier_key END) AS usable_suppliers,
         count(CASE WHEN identity_review_flag = 'review_name_variation' THEN 1 END) AS review, count(CASE WHEN supplier_id_quality = 'unreliable' THEN 1 END) AS unreliable,
-        count(CASE WHEN {like_any('supplier_name', names)} THEN 1 END) AS reference_texts FROM award_suppliers GROUP BY award_id, release_id"""
+        count(CASE WHEN {like_any('supplier_name', names)} THEN 1 END) AS reference_texts, {d.joined('canonical_supplier_name')} AS supplier_names,
+        count(CASE WHEN {like_any('canonical_supplier_name', REF6)} THEN 1 END) AS reference_names FROM award_suppliers GROUP BY award_id, release_id"""
     scored = lambda version, where: f"""SELECT *, {total(version)} AS score, {score_category(total(version), version)} AS category, {score_rationale(total(version), version)} AS rationale FROM (
         SELECT l.award_id, l.release_id, l.ocid, l.award_value, l.contract_start, l.contract_end, {d.days('l.contract_start', 'l.contract_end')} AS duration_days, p.buyer_name, p.buyer_id,
-          p.procurement_method, p.procurement_category, coalesce(c.usable_suppliers, 0) AS usable_suppliers, coalesce(c.review, 0) AS review, coalesce(c.unreliable, 0) AS unreliable, coalesce(c.reference_texts, 0) AS reference_texts, {base(version)}
-        FROM (SELECT * FROM latest WHERE {where}) l JOIN procurements p ON l.ocid = p.ocid LEFT JOIN {'counts5' if version == 2 else 'counts6'} c ON l.award_id = c.award_id AND l.release_id = c.release_id) x"""
+          p.procurement_method, p.procurement_category, coalesce(c.usable_suppliers, 0) AS usable_suppliers, coalesce(c.review, 0) AS review, coalesce(c.unreliable, 0) AS unreliable, coalesce(c.reference_texts, 0) AS reference_texts,
+          coalesce(c.reference_names, 0) AS reference_names, c.supplier_names, l.release_date, l.award_status, l.award_date, l.award_currency, l.award_title, p.tender_title, p.tender_status, p.cpv_code,
+          p.tender_value, p.tender_currency, {base(version)}
+        FROM (SELECT * FROM latest WHERE {where}) l LEFT JOIN procurements p ON l.ocid = p.ocid LEFT JOIN {'counts5' if version == 2 else 'counts6'} c ON l.award_id = c.award_id AND l.release_id = c.release_id) x"""
     both_dates = "contract_start IS NOT NULL AND contract_end IS NOT NULL"
     return {
         "procurements": f"""SELECT CAST(o_orderkey AS STRING) AS ocid, 'Order ' || CAST(o_orderkey AS STRING) AS tender_title, o_orderstatus AS tender_status,
             CASE WHEN o_orderkey % 4 = 1 THEN upper(c_name) ELSE c_name END AS buyer_name, CASE WHEN o_custkey % 50 = 0 THEN NULL ELSE CAST(o_custkey AS STRING) END AS buyer_id,
             CASE o_orderpriority WHEN '1-URGENT' THEN 'direct' WHEN '2-HIGH' THEN 'limited' WHEN '3-MEDIUM' THEN 'selective' WHEN '5-LOW' THEN 'open' END AS procurement_method,
             CASE WHEN c_mktsegment = 'MACHINERY' THEN NULL ELSE lower(c_mktsegment) END AS procurement_category,
-            CAST(CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE CAST(o_totalprice AS DECIMAL(14,2)) * {factor('o_orderkey', 7, 6)} END AS DECIMAL(20,2)) AS tender_value, 'GBP' AS tender_currency
-            FROM orders JOIN customer ON o_custkey = c_custkey""",
+            CAST(CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE CAST(o_totalprice AS DECIMAL(14,2)) * {factor('o_orderkey', 7, 6)} END AS DECIMAL(20,2)) AS tender_value, 'GBP' AS tender_currency,
+            CAST(45000000 + o_custkey % 1000 AS STRING) AS cpv_code
+            FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 97 <> 13""",
         "releases": "SELECT CAST(o_orderkey AS STRING) AS release_id, CAST(o_orderkey AS STRING) AS ocid, o_orderdate AS release_date, CASE o_orderstatus WHEN 'F' THEN 'award' WHEN 'O' THEN 'tender' WHEN 'P' THEN 'awardUpdate' END AS release_tag, o_custkey AS custkey FROM orders",
         "raw_awards": f"""SELECT CAST(l_orderkey AS STRING) AS award_id, CAST(l_orderkey AS STRING) AS ocid, CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) AS release_id, l_shipdate AS release_date, l_linenumber AS award_index,
             CAST(CASE WHEN l_partkey % 97 = 0 THEN NULL ELSE CAST(l_extendedprice AS DECIMAL(14,2)) * {factor('l_partkey', 6, 6)} END AS DECIMAL(20,2)) AS award_value, l_shipdate AS contract_start,
-            CASE WHEN l_tax = 0.08 THEN NULL WHEN l_discount = 0 AND l_quantity < 5 THEN {d.plus_days('l_shipdate', '-30')} ELSE {d.plus_days('l_shipdate', 'l_quantity * 160')} END AS contract_end, l_partkey AS partkey, l_suppkey AS suppkey FROM lineitem""",
+            CASE WHEN l_tax = 0.08 THEN NULL WHEN l_discount = 0 AND l_quantity < 5 THEN {d.plus_days('l_shipdate', '-30')} ELSE {d.plus_days('l_shipdate', 'l_quantity * 160')} END AS contract_end, l_partkey AS partkey, l_suppkey AS suppkey, {d.plus_days('l_shipdate', '-14')} AS award_date,
+            CASE l_linestatus WHEN 'F' THEN 'complete' ELSE 'active' END AS award_status, 'GBP' AS award_currency, 'Award ' || CAST(l_orderkey AS STRING) AS award_title FROM lineitem""",
         "one_release": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY award_id, release_id ORDER BY release_date DESC, partkey, suppkey) AS rn FROM raw_awards) x WHERE rn = 1",
         "award_versions": """SELECT *, award_version_number = award_version_count AS is_latest FROM (
-            SELECT award_id, release_id, ocid, release_date, award_index, award_value, contract_start, contract_end, row_number() OVER (PARTITION BY award_id ORDER BY release_date NULLS FIRST, release_id) AS award_version_number,
+            SELECT award_id, release_id, ocid, release_date, award_index, award_value, contract_start, contract_end, award_date, award_status, award_currency, award_title, row_number() OVER (PARTITION BY award_id ORDER BY release_date NULLS FIRST, release_id) AS award_version_number,
               count(*) OVER (PARTITION BY award_id) AS award_version_count FROM one_release) x""",
         "latest": "SELECT * FROM award_versions WHERE is_latest",
         "raw_links": """SELECT award_id, release_id, ocid, row_number() OVER (PARTITION BY award_id, release_id ORDER BY release_date, partkey, suppkey) - 1 AS supplier_index,
@@ -126,6 +142,11 @@ def steps(d: Dialect) -> dict[str, str]:
             FROM latest l JOIN usable_links u ON l.award_id = u.award_id AND l.release_id = u.release_id JOIN link_counts c ON l.award_id = c.award_id AND l.release_id = c.release_id WHERE l.award_value >= 0""",
         "allocated_once": "SELECT DISTINCT supplier_key, canonical_supplier_name, award_id, release_id, ocid, award_value, supplier_count, share_value FROM allocated",
         "supplier_totals": "SELECT supplier_key, max(canonical_supplier_name) AS name, count(DISTINCT award_id) AS awards, sum(CAST(share_value AS DECIMAL(30,6))) AS value FROM allocated GROUP BY supplier_key",
+        "award_counts": "SELECT award_id, count(DISTINCT supplier_key) AS supplier_count FROM award_suppliers GROUP BY award_id",
+        "allocations": """SELECT a.supplier_key, count(DISTINCT a.award_id) AS award_count, sum(CAST(coalesce(CAST(l.award_value AS DOUBLE) / c.supplier_count, 0) AS DECIMAL(30,6))) AS value
+            FROM award_suppliers a JOIN award_counts c ON a.award_id = c.award_id JOIN latest l ON a.award_id = l.award_id GROUP BY a.supplier_key""",
+        "usable_allocations": f"""SELECT x.*, s.canonical_supplier_name, s.identity_review_flag FROM allocations x JOIN suppliers s ON x.supplier_key = s.supplier_key
+            WHERE {name_quality('s.canonical_supplier_name')} = '{NAME_QUALITY[3]}'""",
         "supplier_ranks": "SELECT *, (SELECT count(*) FROM ranked_suppliers) AS suppliers, (SELECT sum(value) FROM ranked_suppliers) AS total FROM ranked_suppliers",
         "counts6": counts(REF6),
         "counts5": counts(REF5),
@@ -139,7 +160,7 @@ def steps(d: Dialect) -> dict[str, str]:
             sum(CASE WHEN method_group IN ('Direct', 'Limited') THEN award_value END) AS direct_value, count(CASE WHEN award_value IS NULL THEN 1 END) AS missing_values, count(DISTINCT buyer_name) AS names FROM dataset GROUP BY buyer_key""",
         "buyer_names": "SELECT buyer_key, buyer_name FROM (SELECT buyer_key, buyer_name, row_number() OVER (PARTITION BY buyer_key ORDER BY count(*) DESC, buyer_name) AS rn FROM dataset WHERE buyer_name IS NOT NULL GROUP BY buyer_key, buyer_name) x WHERE rn = 1",
         "overview": f"""SELECT b.*, n.buyer_name, {band('b.awards', ACTIVITY_BANDS)} AS activity_band, {band('b.value', VALUE_BANDS)} AS value_band,
-            CASE WHEN b.awards >= 50 AND b.value >= 100000000 THEN 'High activity / high value' WHEN b.awards >= 50 THEN 'High activity / lower value' WHEN b.value >= 100000000 THEN 'Lower activity / high value' ELSE 'Lower activity / lower value' END AS segment
+            CASE WHEN b.awards >= 50 AND b.value >= 100000000 THEN 'High activity / High value' WHEN b.awards >= 50 THEN 'High activity / Lower value' WHEN b.value >= 100000000 THEN 'Lower activity / High value' ELSE 'Lower activity / Lower value' END AS segment
             FROM buyers b LEFT JOIN buyer_names n ON b.buyer_key = n.buyer_key""",
     }
 

@@ -65,7 +65,7 @@ def test_columns(spark):
     out = df.select(C.norm_suffix(F.col("name")).alias("n"), C.is_placeholder_id(F.col("id")).alias("p"), C.supplier_key(F.col("id"), F.col("name"), F.lit("A"), F.lit(2)).alias("k"), C.to_number(F.col("v")).cast("string").alias("v"), C.reference_text(F.col("name")).alias("r")).collect()
     assert [tuple(r) for r in out] == [("ACME LTD", True, "NAME:ACME LIMITED.", "12.35", False), (None, False, "SUP_ID:GB-COH-7", None, False), ("", True, "UNKNOWN:A:2", None, False)]
     bands = spark.createDataFrame([(100_000,), (99_999,), (None,), (2_000_000_000,)], "x long").select(C.band(F.col("x"), VALUE_BANDS).alias("l"), C.band(F.col("x"), VALUE_BANDS, right=True).alias("r")).collect()
-    assert [tuple(r) for r in bands] == [("100K to under 1M", "Under 100K"), ("Under 100K", "Under 100K"), ("Unknown", "Unknown"), ("1B and over", "1B and over")]
+    assert [tuple(r) for r in bands] == [("£100K-<£1M", "<£100K"), ("<£100K", "<£100K"), ("Unknown", "Unknown"), ("£1B+", "£1B+")]
 
 
 def test_relational(spark):
@@ -153,7 +153,9 @@ def test_small_operators(spark):
     assert {(r.k, r.share) for r in R.share_within(df, ["k"], "n").collect()} == {(1, 50.0), (1, None), (2, 100.0), (None, 100.0)}
     texts = spark.createDataFrame([(None,), (" ",), ("REDACTED",), ("See webpage",), ("Acme",)], "s string")
     out = texts.select(C.name_quality(F.col("s")).alias("q"), C.usable_supplier(F.lit("K"), F.col("s")).alias("u"), C.method_group(F.col("s")).alias("m")).collect()
-    assert [tuple(r) for r in out] == [("missing", False, "Unknown"), ("missing", False, "Unknown"), ("redacted", True, "Other"), ("contamination", False, "Other"), ("usable", True, "Other")]
+    assert [tuple(r) for r in out] == [
+        ("Missing supplier name", False, "Unknown"), ("Missing supplier name", False, "Unknown"), ("Redacted / unavailable", True, "Other"),
+        ("Source-text contamination", False, "Other"), ("Usable supplier name", True, "Other")]
 
 
 def test_marts(spark, sf_dir, tmp_path):
