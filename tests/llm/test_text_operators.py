@@ -306,6 +306,20 @@ def test_packing(spark, docs):
     assert all(len(r.ids) == 256 or r.n_ids == len(r.ids) and len(r.ids) & (len(r.ids) - 1) == 0 for r in full)
 
 
+def test_encoder_equals_the_tokenizer_on_odd_strings():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path, rng = packing.default_tokenizer(), random.Random(2)
+    encoder, whole = packing.ChunkEncoder(path), Tokenizer.from_file(path)
+    signs = [*"abcXYZéßİŉǆﬁé0127'’.,!?-<|> \n\t\x0b漢字ª²½😀Σσςᾼ\x00\x85", "\u0301", "\u200d", "\u00a0", "<|endoftext|>", "'s", "don't"]
+    for _ in range(12):
+        texts = ["".join(rng.choices(signs, k=rng.randint(0, 60))) for _ in range(200)]
+        ids, cuts = encoder.encode(pa.array(texts, pa.string()))
+        want = [e.ids for e in whole.encode_batch_fast(texts, add_special_tokens=False)]
+        assert [ids[a:b].tolist() for a, b in zip(cuts, cuts[1:])] == want
+
+
 def test_best_fit_takes_the_tightest_window():
     number, offset = packing.best_fit_decreasing(np.array([6, 5, 4, 3, 2]), 10)
     assert number.tolist() == [0, 1, 0, 1, 1] and offset.tolist() == [0, 0, 6, 5, 8]
