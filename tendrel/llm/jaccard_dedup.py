@@ -159,8 +159,9 @@ def near_copies(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_
     sets = cut(rows.join(sized(wanted), ["_id", "_tk"]).select("_id", "_tk", "_text").mapInArrow(_sets(shingle), "_id long, _tk long, _set binary").dropDuplicates(["_id", "_tk"]), "sets")
     pairs = met.where("_id <> _other OR _tk <> _otk").select("_id", "_tk", "_other", "_otk").distinct()
     pairs = pairs.join(sets, ["_id", "_tk"]).join(sets.select(F.col("_id").alias("_other"), F.col("_tk").alias("_otk"), F.col("_set").alias("_with")), ["_other", "_otk"])
-    links = cut(links.union(pairs.select("_id", "_set", "_other", "_with").mapInArrow(_checked(limit), "a long, b long")).distinct(), "linked")
-    named = cut(met.join(components(links), F.col("_id") == F.col("node"), "left").select("_band", "_at", "_n", "_id", "_tk", F.coalesce("component", "_id").alias("_comp")), "named")
+    links = cut(links.union(pairs.select("_id", "_set", "_other", "_with").mapInArrow(_checked(limit), "a long, b long")), "linked")
+    joined = components(links)
+    named = cut(met.join(joined, F.col("_id") == F.col("node"), "left").select("_band", "_at", "_n", "_id", "_tk", F.coalesce("component", "_id").alias("_comp")), "named")
     apart = named.groupBy("_band", "_at").agg(F.min("_comp").alias("_lo"), F.max("_comp").alias("_hi")).where("_lo < _hi").select("_band", "_at")
     blocks = F.ceil(F.col("_n") / crowd).cast("int")
     block = F.pmod(F.xxhash64("_tk", "_id", F.lit(2)), blocks).cast("int")
@@ -168,5 +169,4 @@ def near_copies(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_
     left = named.join(apart, ["_band", "_at"]).select("_id", "_tk", "_comp", F.col("_band"), F.col("_at"), F.explode(both).alias("_b"))
     left = left.join(sets, ["_id", "_tk"]).select(F.concat_ws(" ", "_band", "_at", "_b.i", "_b.j").alias("_key"), "_id", "_comp", "_set")
     more = left.repartition("_key").sortWithinPartitions("_key").mapInArrow(_compared(limit), "a long, b long")
-    more = cut(more.distinct(), "linked")
-    return components(links.union(more))
+    return components(more.union(joined.where("node <> component")))

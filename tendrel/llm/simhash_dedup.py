@@ -218,7 +218,8 @@ def _linked(limit: int):
 
 
 def near_links(entries: DataFrame, limit: int = BITS, crowd: int = CROWD) -> DataFrame:
-    """Links (a, b) between the _rep of fingerprints (_fp, _rep; each _fp once) that join all that differ in ``limit`` <= 4 bits or fewer into the right sets."""
+    """Links (a, b) between the _rep of fingerprints (_fp, _rep; each _fp once) that join all that differ in ``limit`` <= 4 bits or fewer into the right sets.
+    A link may come more than once."""
     route = "_pair int, _key long, _fp long, _rep long"
     compare = lambda rows: rows.repartition("_pair", "_key").sortWithinPartitions("_pair", "_key").mapInArrow(_linked(limit), "a long, b long")
     arrow_rows(entries.sparkSession)
@@ -233,7 +234,7 @@ def near_links(entries: DataFrame, limit: int = BITS, crowd: int = CROWD) -> Dat
         if none:
             break
         entries = cut(routed.join(crowded, ["_pair", "_key"], "left_semi").select("_fp", "_rep").distinct(), "dense")
-    return cut(links.distinct(), "near")
+    return links
 
 
 def _fingerprinted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

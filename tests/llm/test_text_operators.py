@@ -14,6 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tendrel.llm import ann, jaccard_dedup, line_dedup, packing, piece_dropout, quality_classifier, quality_rules, simhash_dedup, substring_dedup, suffix_dedup, url_filters
+from tendrel.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, source string, _text string, _id int"
@@ -230,6 +231,17 @@ def test_near_copies_by_shingles(spark, crowd):
         assert stays <= {*name.values(), 902, 903, None}
 
 
+@pytest.mark.parametrize("links", [[], [(7, 7), (None, 3)], [(5, 1), (1, 5), (9, 1), (5, 1)], [(k, k + 1) for k in range(90)], [(k * 37 % 61, k * 53 % 67) for k in range(50)]])
+def test_components_of_stars_chains_and_tangles(spark, links):
+    want = {x: x for link in links if None not in link and link[0] != link[1] for x in link}
+    for _ in want:
+        for a, b in links:
+            if a in want and b in want:
+                want[a] = want[b] = min(want[a], want[b])
+    rows = components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert {r.node: r.component for r in rows} == want and len(rows) == len(want)
+
+
 def test_gray_index_prunes_and_joins_whole_groups():
     rng = np.random.default_rng(2)
     codes = np.unique(np.concatenate([rng.integers(0, 1 << 63, 4000).astype(np.uint64), np.arange(16, dtype=np.uint64), rng.integers(0, 1 << 12, 3000).astype(np.uint64)]))
