@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import BYTE_WORDS, Rolling, added, arrow_rows, cut, flat_text, input_rows, mixed, word_bounds
+from .routing import chunks
 
 #: Sizes of the scorer: hashed dimensions, and the documents that it is trained on at most (about this many, chosen by hash of the id).
 DIMS, TRAIN_DOCS = 1 << 13, 6000
@@ -127,26 +128,17 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return cells // DIMS, cells % DIMS, value
 
 
-def _chunks(texts: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, pa.Array]]:
-    """Slices of a few MB of text; one text alone may be longer."""
-    ends, first = np.cumsum([len(x) if x else 0 for x in texts.to_pylist()]), 0
-    while first < len(texts):
-        upto = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + most, "right")))
-        yield first, texts.slice(first, upto - first)
-        first = upto
-
-
 def _vote_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     base = 3 ** np.arange(len(LABELLERS))
     for b in batches:
-        for first, texts in _chunks(b.column(1)):
+        for first, texts in chunks(b.column(1)):
             codes = votes(signals(texts)[0]).astype(np.int64) @ base
             yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(texts)), pa.array(codes)], names=["_id", "_pattern"])
 
 
 def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for first, texts in _chunks(b.column(1)):
+        for first, texts in chunks(b.column(1)):
             text, dim, value = features(texts)
             order = np.argsort(text, kind="stable")
             cuts = np.searchsorted(text[order], np.arange(len(texts) + 1)).astype(np.int32)
@@ -208,7 +200,7 @@ def score_documents(docs: DataFrame, model: dict, id_col: str = "doc_id", text_c
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out, n = np.zeros(b.num_rows), np.zeros(b.num_rows, np.int64)
-            for first, texts in _chunks(b.column(at)):
+            for first, texts in chunks(b.column(at)):
                 text, dim, value = features(texts)
                 out[first : first + len(texts)] = np.bincount(text, weights=w[dim] * value, minlength=len(texts)) + bias
                 n[first : first + len(texts)] = np.diff(word_bounds(*flat_text(texts))[2])

@@ -31,8 +31,8 @@ from .common import BYTE_WORDS, Rolling, arrow_rows, cut, flat_text, mixed, text
 CROWD = 1000
 #: Places in a stretch, by level, when crowded keys are parted.
 STRETCHES = (64, 8, 1)
-#: Bytes of text that are hashed at once.
-CHUNK = 2_000_000
+#: Bytes of text that are looked at at once; arrays of eight bytes and more for each of them are made, by every task of an executor.
+CHUNK = 500_000
 
 
 def text_units(texts: pa.Array, unit: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None, np.ndarray | None]:
