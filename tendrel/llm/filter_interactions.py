@@ -1,8 +1,8 @@
 """What filters remove by themselves and after each other, from a sparse matrix of documents and words.
 
-Texts are counted in blocks, each with the words of its own; all distinct words get numbers 0, 1, ... of one dictionary, a table that is joined to the words of
-the blocks, and every block becomes a CSR shard of the whole matrix: where each document begins, its word numbers, their counts. Row sums are numbers of words,
-nonzero counts numbers of distinct words. With the flags of the other filters this gives one of 32 patterns of failure a document; all 120 orders of filters
+Texts are counted in blocks, each with the words of its own in order. The words of all blocks are dealt by word and numbered where they meet, which is the
+dictionary of the whole corpus, and the numbers go back to the blocks: every block becomes a CSR shard of the whole matrix, where each document begins, its word
+numbers, their counts. Row sums are numbers of words, nonzero counts numbers of distinct words. With the flags of the other filters this gives one of 32 patterns of failure a document; all 120 orders of filters
 are worked out from the number of documents by part and pattern, never from the documents.
 """
 
@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -56,10 +57,14 @@ class _Block:
         rows = pa.StructArray.from_arrays(
             [pa.array(ids, self.id_type), pa.array(parts, pa.string()), pa.array(keys, pa.binary()), pa.array(capitals), pa.array(marks)],
             ["id", "part", "text_key", "c", "d"])
+        words = list(self.words)
+        order = sorted(range(len(words)), key=words.__getitem__)  # in order, words take less room on their way
+        place = np.empty(len(words), np.int32)
+        place[order] = np.arange(len(words), dtype=np.int32)
         one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
         return pa.RecordBatch.from_arrays(
-            [pa.array([self.number]), one(rows), one(pa.array(list(self.words), pa.binary())), pa.array([np.array(self.starts, np.int64).tobytes()], pa.binary()),
-             pa.array([np.concatenate(self.columns).tobytes()], pa.binary()), pa.array([np.concatenate(self.times).tobytes()], pa.binary())],
+            [pa.array([self.number]), one(rows), one(pa.array([words[k] for k in order], pa.binary())), pa.array([np.array(self.starts, np.int64).tobytes()], pa.binary()),
+             pa.array([place[np.concatenate(self.columns)].tobytes()], pa.binary()), pa.array([np.concatenate(self.times).tobytes()], pa.binary())],
             ["block", "docs", "words", "starts", "columns", "times"])
 
 
@@ -76,16 +81,31 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield block.batch()
 
 
-def dictionary(words: DataFrame) -> DataFrame:
-    """(word, number): the distinct values of ``word``, numbered 0, 1, ... without gaps."""
-    dealt = cut(words.select("word").distinct().withColumn("range", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "words")
-    sizes = dealt.groupBy("range").agg(F.count("*").alias("n"))  # one row a partition
-    before = sizes.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
-    return dealt.join(F.broadcast(before), "range").select("word", (F.col("before") + F.col("place")).alias("number"))
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, place, word) in order of word to (block, place, number)."""
+    number, last = (TaskContext.get().partitionId() << 33) - 1, None
+    for b in batches:
+        words = b.column(2)
+        if b.num_rows:
+            new = np.empty(b.num_rows, np.int64)
+            new[0] = last is None or words[0].as_py() != last
+            new[1:] = pc.not_equal(words.slice(1), words.slice(0, b.num_rows - 1)).to_numpy(zero_copy_only=False)
+            numbers = number + np.cumsum(new)
+            number, last = int(numbers[-1]), words[b.num_rows - 1].as_py()
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(numbers)], ["block", "place", "number"])
+
+
+def dictionary_numbers(words: DataFrame) -> DataFrame:
+    """(block, place, word) to (block, place, number): equal words have equal numbers, others don't, whatever the block.
+
+    Words are dealt by hash and sorted, and each task numbers those that it has, from a range of its own. Sorted, the numbers are the same if a task is repeated.
+    """
+    dealt = words.repartition("word").sortWithinPartitions("word").select("block", "place", "word")
+    return dealt.mapInArrow(_numbered, "block long, place int, number long")
 
 
 def csr_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source") -> DataFrame:
-    """The document-term matrix in shards: block, docs (id, part, text_key, c, d of each row), starts, columns (word numbers of the whole corpus), times.
+    """The document-term matrix in shards: block, docs (id, part, text_key, c, d of each row), starts, columns (word numbers of the whole corpus, as `dictionary_numbers` gives them), times.
 
     The last three are little-endian int64, int64 and int32 arrays as binaries. A null text is empty; a null part is an empty string; each row of ``docs`` is a
     row of the matrix, repeated ones too.
@@ -96,8 +116,7 @@ def csr_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     listed = f"array<struct<id: {kind}, part: string, text_key: binary, c: boolean, d: boolean>>"
     blocks = cut(rows.mapInArrow(_blocks, f"block long, docs {listed}, words array<binary>, starts binary, columns binary, times binary"), "blocks")
     words = blocks.select("block", F.posexplode("words").alias("place", "word"))
-    numbered = words.join(dictionary(words), "word")
-    numbers = numbered.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("place", "number"))).alias("pairs")).select("block", F.col("pairs.number").alias("numbers"))
+    numbers = dictionary_numbers(words).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("place", "number"))).alias("pairs")).select("block", F.col("pairs.number").alias("numbers"))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -204,14 +204,17 @@ def test_matrix(docs, monkeypatch):
     texts = defaultdict(list)
     for i, text, *_ in corpus():
         texts[i].append(text or "")
-    seen, numbers = Counter(), set()
+    seen, numbers, times_of = Counter(), set(), Counter()
     for s in shards:
         starts, columns, times = np.frombuffer(s.starts, np.int64), np.frombuffer(s.columns, np.int64), np.frombuffer(s.times, np.int32)
         for k, d in enumerate(s.docs):
             seen[d.id] += 1
             own = times[starts[k] : starts[k + 1]]
             numbers |= set(columns[starts[k] : starts[k + 1]].tolist())
+            times_of.update(dict(zip(columns[starts[k] : starts[k + 1]].tolist(), own.tolist())))
             assert sorted(own.tolist()) == sorted(Counter(WORD.findall(texts[d.id][0])).values())
     assert len(shards) > 5 and seen == Counter({i: len(t) for i, t in texts.items()})
     words = {w for ts in texts.values() for t in ts for w in WORD.findall(t)}
-    assert numbers == set(range(len(words)))
+    assert len(numbers) == len(words)
+    every = Counter(w for ts in texts.values() for t in ts for w in WORD.findall(t))
+    assert sorted(times_of.values()) == sorted(every.values())  # a word has one number in all shards
