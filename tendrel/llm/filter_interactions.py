@@ -2,8 +2,8 @@
 
 Texts are counted in blocks, each with the words of its own in order. The words of all blocks are dealt by word and numbered where they meet, which is the
 dictionary of the whole corpus, and the numbers go back to the blocks: every block becomes a CSR shard of the whole matrix, where each document begins, its word
-numbers, their counts. Row sums are numbers of words, nonzero counts numbers of distinct words. With the flags of the other filters this gives one of 32 patterns of failure a document; all 120 orders of filters
-are worked out from the number of documents by part and pattern, never from the documents.
+numbers, their counts. Row sums are numbers of words, nonzero counts numbers of distinct words. With the flags of the other filters this gives one of 32 patterns
+of failure a document; all 120 orders of filters are worked out from the number of documents by part and pattern, never from the documents.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -59,13 +60,26 @@ class _Block:
             ["id", "part", "text_key", "c", "d"])
         words = list(self.words)
         order = sorted(range(len(words)), key=words.__getitem__)  # in order, words take less room on their way
-        place = np.empty(len(words), np.int32)
-        place[order] = np.arange(len(words), dtype=np.int32)
+        place = np.empty(len(words), np.int64)
+        place[order] = np.arange(len(words))
+        starts = np.array(self.starts, np.int64)
+        cells = np.repeat(np.arange(len(self.rows)), np.diff(starts)) * len(words) + place[np.concatenate(self.columns)]
+        by_column = np.argsort(cells)  # within each document; where documents begin stays
         one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
         return pa.RecordBatch.from_arrays(
-            [pa.array([self.number]), one(rows), one(pa.array([words[k] for k in order], pa.binary())), pa.array([np.array(self.starts, np.int64).tobytes()], pa.binary()),
-             pa.array([place[np.concatenate(self.columns)].tobytes()], pa.binary()), pa.array([np.concatenate(self.times).tobytes()], pa.binary())],
-            ["block", "docs", "words", "starts", "columns", "times"])
+            [pa.array([self.number]), one(rows), one(pa.array([words[k] for k in order], pa.binary())),
+             *[pa.array([x], pa.binary()) for x in (packed(starts), packed(cells[by_column]), zlib.compress(np.concatenate(self.times)[by_column].tobytes(), 1))]],
+            ["block", "docs", "words", "starts", "cells", "times"])
+
+
+def packed(rising: np.ndarray) -> bytes:
+    """Whole numbers that rise, as their differences, in little room."""
+    return zlib.compress(np.diff(rising, prepend=0).astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(zlib.decompress(data), np.uint8)
+    return np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).view(np.int64).ravel())
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,8 +96,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, place, word) in order of word to (block, place, number)."""
-    number, last = (TaskContext.get().partitionId() << 33) - 1, None
+    """(block, place, word) in order of word to (block, places, numbers), the words of a block together."""
+    number, last, waiting, size = (TaskContext.get().partitionId() << 33) - 1, None, [], 0
     for b in batches:
         words = b.column(2)
         if b.num_rows:
@@ -92,43 +106,63 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new[1:] = pc.not_equal(words.slice(1), words.slice(0, b.num_rows - 1)).to_numpy(zero_copy_only=False)
             numbers = number + np.cumsum(new)
             number, last = int(numbers[-1]), words[b.num_rows - 1].as_py()
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(numbers)], ["block", "place", "number"])
+            waiting.append((b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.int64), numbers))
+            size += b.num_rows
+            if size > 1_000_000:
+                yield _by_block(waiting)
+                waiting, size = [], 0
+    if waiting:
+        yield _by_block(waiting)
+
+
+def _by_block(waiting: list) -> pa.RecordBatch:
+    blocks, places, numbers = (np.concatenate(x) for x in zip(*waiting))
+    order = np.lexsort((places, blocks))
+    blocks, places, numbers = blocks[order], places[order], numbers[order]
+    first = np.flatnonzero(np.diff(blocks, prepend=-1))
+    upto = [*first[1:], len(blocks)]
+    return pa.RecordBatch.from_arrays([
+        pa.array(blocks[first]), pa.array([packed(places[a:b]) for a, b in zip(first, upto)], pa.binary()), pa.array([packed(numbers[a:b]) for a, b in zip(first, upto)], pa.binary()),
+    ], ["block", "places", "numbers"])
 
 
 def dictionary_numbers(words: DataFrame) -> DataFrame:
-    """(block, place, word) to (block, place, number): equal words have equal numbers, others don't, whatever the block.
+    """(block, place, word) to (block, places, numbers): equal words have equal numbers, others don't, whatever the block. Several rows a block, packed.
 
     Words are dealt by hash and sorted, and each task numbers those that it has, from a range of its own. Sorted, the numbers are the same if a task is repeated.
     """
     dealt = words.repartition("word").sortWithinPartitions("word").select("block", "place", "word")
-    return dealt.mapInArrow(_numbered, "block long, place int, number long")
+    return dealt.mapInArrow(_numbered, "block long, places binary, numbers binary")
 
 
 def csr_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source") -> DataFrame:
-    """The document-term matrix in shards: block, docs (id, part, text_key, c, d of each row), starts, columns (word numbers of the whole corpus, as `dictionary_numbers` gives them), times.
+    """The document-term matrix in shards: block, docs (id, part, text_key, c, d of each row), starts, columns, times.
 
-    The last three are little-endian int64, int64 and int32 arrays as binaries. A null text is empty; a null part is an empty string; each row of ``docs`` is a
-    row of the matrix, repeated ones too.
+    The last three are little-endian int64, int64 and int32 arrays as binaries: where each document begins, its words' numbers in ``dictionary_numbers``, how
+    often each stands there. A null text is empty; a null part is an empty string; each row of ``docs`` is a row of the matrix, repeated ones too.
     """
     arrow_rows(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     kind = dict(rows.dtypes)["id"]
     listed = f"array<struct<id: {kind}, part: string, text_key: binary, c: boolean, d: boolean>>"
-    blocks = cut(rows.mapInArrow(_blocks, f"block long, docs {listed}, words array<binary>, starts binary, columns binary, times binary"), "blocks")
+    blocks = cut(rows.mapInArrow(_blocks, f"block long, docs {listed}, words array<binary>, starts binary, cells binary, times binary"), "blocks")
     words = blocks.select("block", F.posexplode("words").alias("place", "word"))
-    numbers = dictionary_numbers(words).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("place", "number"))).alias("pairs")).select("block", F.col("pairs.number").alias("numbers"))
+    numbers = dictionary_numbers(words).groupBy("block").agg(F.collect_list(F.struct("places", "numbers")).alias("found"))  # a row a task at most, but for large tasks
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
             for k in range(b.num_rows):
-                found = b.column(5)[k].values
-                own = np.frombuffer(b.column(3)[k].as_py(), np.int32)
-                out.append((found.to_numpy(zero_copy_only=False)[own] if found is not None and len(own) else own.astype(np.int64)).astype(np.int64).tobytes())
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, pa.binary()), b.column(4)], ["block", "docs", "starts", "columns", "times"])
-
-    joined = blocks.drop("words").join(numbers, "block", "left").select("block", "docs", "starts", "columns", "times", "numbers")
-    return joined.mapInArrow(lambda it: encoded(b.select(["block", "docs", "starts", "columns", "times", "numbers"]) for b in it), f"block long, docs {listed}, starts binary, columns binary, times binary")
+                pieces = [(unpacked(x["places"]), unpacked(x["numbers"])) for x in b.column(4)[k].as_py() or ()]
+                number = np.zeros(sum(len(places) for places, _ in pieces), np.int64)
+                for places, found in pieces:
+                    number[places] = found
+                columns = unpacked(b.column(2)[k].as_py())
+                columns = number[columns % len(number)] if len(columns) else columns
+                new = [unpacked(b.column(1)[k].as_py()).tobytes(), columns.astype(np.int64).tobytes(), zlib.decompress(b.column(3)[k].as_py())]
+                yield pa.RecordBatch.from_arrays([b.column(5).slice(k, 1), b.column(0).slice(k, 1), *[pa.array([x], pa.binary()) for x in new]], ["block", "docs", "starts", "columns", "times"])
+
+    joined = blocks.drop("words").join(numbers, "block", "left").select("docs", "starts", "cells", "times", "found", "block")
+    return joined.mapInArrow(encoded, f"block long, docs {listed}, starts binary, columns binary, times binary")
 
 
 def document_flags(shards: DataFrame, least_words: int = 50, least_distinct: int = 65) -> DataFrame:
