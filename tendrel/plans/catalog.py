@@ -111,7 +111,8 @@ def statements(d: Dialect) -> dict[str, str]:
             FROM usable_allocations GROUP BY {band('value', SUPPLIER_VALUE_BANDS)}""",
         "q04_16_concentration": " UNION ALL ".join(f"""SELECT 'Top {p}%' AS supplier_group, {pct('sum(value)', 'max(total)')} AS allocated_award_value_share_pct FROM (
             SELECT value, rn, (SELECT count(*) FROM ranked_allocations) AS n, (SELECT sum(value) FROM ranked_allocations) AS total FROM ranked_allocations) x
-            WHERE rn <= ceil(n * {p} / 100.0)""" for p in (1, 5, 10)),
+            WHERE rn <= ceil(n * {p} / 100.0)""" for p in (1, 5, 10)) + f""" UNION ALL SELECT 'Remaining 90%' AS supplier_group, {pct("max(total) - sum(CASE WHEN rn <= ceil(n * 10 / 100.0) THEN value ELSE 0 END)", 'max(total)')} AS allocated_award_value_share_pct
+            FROM (SELECT value, rn, (SELECT count(*) FROM ranked_allocations) AS n, (SELECT sum(value) FROM ranked_allocations) AS total FROM ranked_allocations) x""",
         "q04_17_latest_category": latest_by("coalesce(p.procurement_category, 'Unknown')", "procurement_category"),
         "q04_18_latest_method": latest_by("coalesce(p.procurement_method, 'Unknown')", "procurement_method"),
         "q04_19_large_exposures": f"""SELECT supplier_key, canonical_supplier_name, award_count, {r2('value')} AS allocated_award_value, identity_review_flag FROM usable_allocations x
@@ -166,7 +167,7 @@ def statements(d: Dialect) -> dict[str, str]:
             usable_suppliers AS usable_supplier_count, supplier_names, {points}, score AS pri_score FROM score_v3 WHERE score >= 4""",
         "q05_19_score_v3": f"""SELECT award_id, release_id, ocid, release_date, award_status, award_date, {money('award_value')} AS award_value, award_currency, award_title, contract_start, contract_end,
             tender_title, tender_status, buyer_name, buyer_id, procurement_method, procurement_category, cpv_code, {money('tender_value')} AS tender_value, tender_currency,
-            {r2('duration_days')} AS contract_duration_days, {r2('duration_days / 365.25')} AS contract_duration_years, usable_suppliers AS usable_supplier_count, supplier_names,
+            {r2('duration_days')} AS contract_duration_days, {r2('duration_days / 365.25')} AS contract_duration_years, usable_suppliers AS usable_supplier_count, usable_names AS supplier_names,
             {flag('reference_texts')} AS supplier_reference_text_flag, {flag('review')} AS supplier_identity_review_flag, {points}, {verdict} FROM score_v3""",
         "q06_01_coverage": f"SELECT count(DISTINCT l.award_id) AS latest_awards, count(DISTINCT a.award_id) AS awards_with_supplier_relationships FROM {in_latest.replace(' JOIN', ' LEFT JOIN')}",
         "q06_02_relationship_quality": f"""SELECT count(*) AS relationship_rows, {counts(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tendrel.operators.ranking import quantiles, ranked, settle
 
-from . import analytics, catalog, ranks
+from . import analytics, catalog, oracles, ranks
 from .dialect import SPARK, TWIN
 from .tables import with_steps
 
@@ -22,7 +22,7 @@ def spark_sql() -> dict[str, str]:
 
 
 def twin_sql() -> dict[str, str]:
-    return {k: with_steps(v, TWIN) for part in (catalog, analytics) for k, v in part.statements(TWIN).items()}
+    return {k: with_steps(v, TWIN) for part in (catalog, analytics) for k, v in part.statements(TWIN).items()} | oracles.statements()
 
 
 def run_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:

@@ -88,16 +88,19 @@ def steps(d: Dialect) -> dict[str, str]:
     norm = f"upper({d.squeezed('supplier_name')})"
     base = lambda version: ", ".join(f"{sql} AS {name}" for name, sql in score_v(version, d).items())
     total = lambda version: " + ".join(score_v(version, d))
-    counts = lambda names: f"""SELECT award_id, release_id, count(DISTINCT CASE WHEN {usable_name('canonical_supplier_name', names)} THEN supplier_key END) AS usable_suppliers,
-        count(CASE WHEN identity_review_flag = 'review_name_variation' THEN 1 END) AS review, count(CASE WHEN supplier_id_quality = 'unreliable' THEN 1 END) AS unreliable,
-        count(CASE WHEN {like_any('supplier_name', names)} THEN 1 END) AS reference_texts, {d.joined('canonical_supplier_name')} AS supplier_names,
+    usable_as = {1: "(canonical_supplier_name IS NOT NULL AND supplier_identity_flag = 'confirmed_id')", 2: usable_name("canonical_supplier_name", REF5), 3: usable_name("canonical_supplier_name", REF6)}
+    for_review = {1: "identity_review_flag = 'review_name_variation'", 2: "supplier_identity_flag = 'id_multiple_names_review'", 3: "supplier_identity_flag = 'id_multiple_names_review'"}
+    counts = lambda version: f"""SELECT award_id, release_id, count(DISTINCT CASE WHEN {usable_as[version]} THEN supplier_key END) AS usable_suppliers,
+        count(CASE WHEN {for_review[version]} THEN 1 END) AS review, count(CASE WHEN supplier_id_quality = 'unreliable' THEN 1 END) AS unreliable,
+        count(CASE WHEN {like_any('canonical_supplier_name', REF6 if version == 3 else REF1)} THEN 1 END) AS reference_texts, {d.joined('canonical_supplier_name')} AS supplier_names,
+        {d.joined(f"CASE WHEN {usable_as[version]} THEN canonical_supplier_name END")} AS usable_names,
         count(CASE WHEN {like_any('canonical_supplier_name', REF6)} THEN 1 END) AS reference_names FROM award_suppliers GROUP BY award_id, release_id"""
     scored = lambda version, where: f"""SELECT *, {total(version)} AS score, {score_category(total(version), version)} AS category, {score_rationale(total(version), version)} AS rationale FROM (
         SELECT l.award_id, l.release_id, l.ocid, l.award_value, l.contract_start, l.contract_end, {d.days('l.contract_start', 'l.contract_end')} AS duration_days, p.buyer_name, p.buyer_id,
           p.procurement_method, p.procurement_category, coalesce(c.usable_suppliers, 0) AS usable_suppliers, coalesce(c.review, 0) AS review, coalesce(c.unreliable, 0) AS unreliable, coalesce(c.reference_texts, 0) AS reference_texts,
-          coalesce(c.reference_names, 0) AS reference_names, c.supplier_names, l.release_date, l.award_status, l.award_date, l.award_currency, l.award_title, p.tender_title, p.tender_status, p.cpv_code,
+          coalesce(c.reference_names, 0) AS reference_names, c.supplier_names, c.usable_names, l.release_date, l.award_status, l.award_date, l.award_currency, l.award_title, p.tender_title, p.tender_status, p.cpv_code,
           p.tender_value, p.tender_currency, {base(version)}
-        FROM (SELECT * FROM latest WHERE {where}) l LEFT JOIN procurements p ON l.ocid = p.ocid LEFT JOIN {'counts5' if version == 2 else 'counts6'} c ON l.award_id = c.award_id AND l.release_id = c.release_id) x"""
+        FROM (SELECT * FROM latest WHERE {where}) l LEFT JOIN procurements p ON l.ocid = p.ocid LEFT JOIN counts_v{version} c ON l.award_id = c.award_id AND l.release_id = c.release_id) x"""
     both_dates = "contract_start IS NOT NULL AND contract_end IS NOT NULL"
     return {
         "procurements": f"""SELECT CAST(o_orderkey AS STRING) AS ocid, 'Order ' || CAST(o_orderkey AS STRING) AS tender_title, o_orderstatus AS tender_status,
@@ -119,7 +122,7 @@ def steps(d: Dialect) -> dict[str, str]:
         "latest": "SELECT * FROM award_versions WHERE is_latest",
         "raw_links": """SELECT award_id, release_id, ocid, row_number() OVER (PARTITION BY award_id, release_id ORDER BY release_date, partkey, suppkey) - 1 AS supplier_index,
             CASE WHEN suppkey % 10 = 0 THEN 'GB-COH-0' WHEN suppkey % 10 = 1 THEN NULL ELSE 'GB-COH-' || CAST(suppkey AS STRING) END AS supplier_id,
-            CASE WHEN suppkey % 25 = 3 THEN 'See attachments' WHEN suppkey % 25 = 4 THEN 'Please see supplier list' WHEN suppkey % 25 = 5 THEN 'REDACTED under FOIA' WHEN suppkey % 41 = 11 THEN NULL
+            CASE WHEN suppkey % 25 = 3 THEN 'See attachments' WHEN suppkey % 25 = 4 THEN 'Please see supplier list' WHEN suppkey % 25 = 5 THEN 'REDACTED under FOIA' WHEN suppkey % 25 = 6 AND partkey % 2 = 0 THEN 'Successful supplier below' WHEN suppkey % 41 = 11 THEN NULL
               WHEN partkey % 3 = 0 THEN upper(s_name) || ' LIMITED' ELSE s_name || ' Ltd.' END AS supplier_name FROM raw_awards JOIN supplier ON suppkey = s_suppkey""",
         "keyed_links": f"""SELECT *, {norm} AS supplier_name_normalized, CASE WHEN {placeholder} THEN 'unreliable' ELSE 'usable' END AS supplier_id_quality,
             CASE WHEN NOT {placeholder} THEN 'SUP_ID:' || upper(trim(supplier_id)) WHEN {norm} IS NOT NULL AND {norm} <> '' THEN 'NAME:' || {norm}
@@ -148,8 +151,9 @@ def steps(d: Dialect) -> dict[str, str]:
         "usable_allocations": f"""SELECT x.*, s.canonical_supplier_name, s.identity_review_flag FROM allocations x JOIN suppliers s ON x.supplier_key = s.supplier_key
             WHERE {name_quality('s.canonical_supplier_name')} = '{NAME_QUALITY[3]}'""",
         "supplier_ranks": "SELECT *, (SELECT count(*) FROM ranked_suppliers) AS suppliers, (SELECT sum(value) FROM ranked_suppliers) AS total FROM ranked_suppliers",
-        "counts6": counts(REF6),
-        "counts5": counts(REF5),
+        "counts_v1": counts(1),
+        "counts_v2": counts(2),
+        "counts_v3": counts(3),
         "score_v1": scored(1, f"{both_dates} AND contract_end >= contract_start"),
         "score_v2": scored(2, f"{both_dates} AND contract_end >= contract_start"),
         "score_v3": scored(3, both_dates),
