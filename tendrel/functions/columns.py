@@ -55,6 +55,11 @@ def row_signature(columns: Sequence[Column]) -> Column:
     return F.sha2(F.to_json(F.struct(*[F.coalesce(c.cast("string"), F.lit("<NULL>")).alias(f"c{k}") for k, c in enumerate(columns)])), 256)
 
 
+def hash_key(columns: Sequence[Column]) -> Column:
+    """SHA-256 of all columns in order: nulls are told apart from every text, and parts can't run into each other."""
+    return F.sha2(F.to_json(F.struct(*[c.cast("string").alias(f"c{k}") for k, c in enumerate(columns)]), {"ignoreNullFields": "false"}), 256)
+
+
 def to_number(c: Column, kind: str = "decimal(20,2)") -> Column:
     return F.trim(c).try_cast(kind)
 

@@ -11,10 +11,14 @@ from pyspark.sql import functions as F
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the folder that the cluster shares (a temporary one only where none is set) and read it back, so that what partitions hold stays as it is."""
+    """Write ``df`` to the folder that the cluster shares and read it back, so that what partitions hold stays as it is. Where none is set, a temporary one serves
+    a session in one process, as in tests; elsewhere that is an error."""
     spark = df.sparkSession
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="tendrel-")
         spark.conf.set("spark.checkpoint.dir", where)
     path = f"{where.rstrip('/')}/tendrel/ranked-{uuid.uuid4().hex}"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tendrel.operators.ranking import quantiles, ranked, settle
 
-from . import analytics, catalog, oracles, ranks
+from . import analytics, catalog, oracles, ranks, resolved
 from .dialect import SPARK, TWIN
 from .tables import with_steps
 
@@ -22,7 +22,7 @@ def spark_sql() -> dict[str, str]:
 
 
 def twin_sql() -> dict[str, str]:
-    return {k: with_steps(v, TWIN) for part in (catalog, analytics) for k, v in part.statements(TWIN).items()} | oracles.statements()
+    return {k: with_steps(v, TWIN) for part in (catalog, analytics) for k, v in part.statements(TWIN).items()} | oracles.statements() | resolved.oracle_sql()
 
 
 def run_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
@@ -43,7 +43,7 @@ def _rows(spark: SparkSession, sf_dir: str, rows: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, sf_dir, text=text: run_sql(spark, sf_dir, text)) for name, text in spark_sql().items()}
+    return {name: (lambda spark, sf_dir, text=text: run_sql(spark, sf_dir, text)) for name, text in spark_sql().items()} | resolved.queries()
 
 
 def run_catalog(spark: SparkSession, sf_dir: str, out: str, names: Iterable[str] | None = None) -> DataFrame:
