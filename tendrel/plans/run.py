@@ -1,24 +1,19 @@
-"""Running the catalogue: views over the given tables, then one SQL text a query."""
+"""Running the catalogue: one statement a query over the layer of shared steps."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tendrel.operators.ranking import quantiles, ranked, settle
-
-from . import analytics, catalog, oracles, ranks, resolved
+from . import analytics, catalog, oracles, resolved
 from .dialect import SPARK, TWIN
+from .layer import Layer
 from .tables import with_steps
 
-SOURCES = ("orders", "lineitem", "customer", "supplier")
-
-
 def spark_sql() -> dict[str, str]:
-    return {k: with_steps(v, SPARK) for part in (catalog, analytics) for k, v in part.statements(SPARK).items()}
+    return {k: v for part in (catalog, analytics) for k, v in part.statements(SPARK).items()}
 
 
 def twin_sql() -> dict[str, str]:
@@ -26,20 +21,7 @@ def twin_sql() -> dict[str, str]:
 
 
 def run_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    for name in SOURCES:
-        if re.search(rf"\b{name}\b", text):
-            spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
-    for name, (rows, order, weight) in ranks.RANKS.items():
-        if re.search(rf"\b{name}\b", text):
-            ranked(_rows(spark, sf_dir, rows), [F.desc(c.split()[0]) if c.endswith(" DESC") else F.asc(c) for c in order.split(", ")], weight).createOrReplaceTempView(name)
-    for name, (rows, probabilities) in ranks.QUANTILES.items():
-        if re.search(rf"\b{name}\b", text):
-            settle(quantiles(_rows(spark, sf_dir, rows), "x", probabilities, ["k"] if ranks.keyed(rows) else [])).createOrReplaceTempView(name)
-    return spark.sql(text)
-
-
-def _rows(spark: SparkSession, sf_dir: str, rows: str) -> DataFrame:
-    return run_sql(spark, sf_dir, with_steps(rows, SPARK))
+    return Layer(spark, sf_dir).frame(text)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
