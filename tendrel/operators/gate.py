@@ -41,7 +41,7 @@ class Checks:
 
     def missing(self, column: str) -> None:
         self.count(f"_null_{column}", F.col(column).isNull())
-        share = (F.col(f"_null_{column}") * 100 / F.col("rows")).cast("decimal(30,8)")
+        share = F.try_divide(F.col(f"_null_{column}") * 100, F.col("rows")).cast("decimal(30,8)")
         self.add(COMPLETENESS, f"{self.name}.{column}.missing", f"_null_{column}", "INFO", "source-dependent",
                  F.concat(F.coalesce(F.round(share, 2).cast("decimal(10,2)"), F.lit(0).cast("decimal(10,2)")).cast("string"), F.lit("% missing")))
 

@@ -138,7 +138,7 @@ def profile_fields(df: DataFrame, fields: Mapping[str, str]) -> DataFrame:
 def top_missing(df: DataFrame, n: int = 15) -> DataFrame:
     """field, missing, missing_percent of the ``n`` columns with most nulls, by one aggregate; columns without any are left out, ties go by name."""
     one = df.agg(F.count("*").alias("_all"), *[F.count_if(F.col(f"`{c}`").isNull()).alias(f"m{k}") for k, c in enumerate(df.columns)])
-    share = lambda m: F.round((m * 100 / F.col("_all")).cast("decimal(30,8)"), 2).cast("double")
+    share = lambda m: F.round(F.try_divide(m * 100, F.col("_all")).cast("decimal(30,8)"), 2).cast("double")
     rows = one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"m{k}").alias("missing"), share(F.col(f"m{k}")).alias("missing_percent")) for k, c in enumerate(df.columns)])))
     return rows.where("missing > 0").orderBy(F.desc("missing"), "field").limit(n)
 

@@ -69,16 +69,17 @@ class Layer:
     def frame(self, statement: str) -> DataFrame:
         """The statement's result. Runs the jobs that write its steps; the views made for them are dropped again."""
         try:
-            wanted = self.written(statement)
-            for name in self.needed(statement):
+            wanted, needed = self.written(statement), self.needed(statement)
+            for name in needed:
                 if name in wanted:
-                    self.write(name, statement)
+                    self.write(name, [statement, *[self.texts[x] for x in needed if x != name], *[ranks.RANKS[x][1] for x in needed if x in ranks.RANKS]])
             return self.sql(statement)
         finally:
             for view in self.views.values():
                 self.spark.catalog.dropTempView(view)
 
-    def write(self, name: str, statement: str) -> None:
+    def write(self, name: str, others: list[str]) -> None:
+        """Write a step with those of its columns that the ``others`` of the statement name."""
         rows = self.sql(self.texts[name])
         if name in ranks.RANKS:
             _, order, weight = ranks.RANKS[name]
@@ -86,8 +87,7 @@ class Layer:
         elif name in ranks.QUANTILES:
             rows = settle(quantiles(rows, "x", ranks.QUANTILES[name][1], ["k"] if ranks.keyed(self.texts[name]) else []))
         else:
-            others = " ".join([statement, *[self.texts[x] for x in self.texts if x != name], *[order for _, order, _ in ranks.RANKS.values()]])
-            words = set(re.findall(r"[a-z_0-9]+", others))
+            words = set(re.findall(r"[a-z_0-9]+", " ".join(others)))
             rows = settle(rows.select(*[c for c in rows.columns if c in words]))
         self.view(name, rows)
 

@@ -9,50 +9,39 @@ from pyspark.sql import functions as F
 
 from .run import queries
 
-# Mart, the query that fills it, what it is for.
+# Mart: the query that fills it, the columns that tell its rows apart.
 MARTS = (
-    ("kpis", "c24_executive_kpis", "Executive KPI cards"),
-    ("procurement_method", "c25_method_mart", "Procurement method mix"),
-    ("value_distribution", "c25_value_mart", "Award value distribution"),
-    ("duration_distribution", "c25_duration_mart", "Contract duration distribution"),
-    ("supplier_structure", "c09_structure_summary", "Single and multiple supplier structure"),
-    ("supplier_concentration", "c05_supplier_concentration", "Supplier concentration"),
-    ("supplier_value_distribution", "c06_supplier_value_distribution", "Allocated value of suppliers by band"),
-    ("supplier_summary", "c04_supplier_summary", "Suppliers with rank, share and band"),
-    ("buyer_overview", "c11_buyer_overview", "Buyers with shares and ranks"),
-    ("buyer_activity_bands", "c19_activity_bands", "Buyers by activity band"),
-    ("buyer_segments", "c21_segment_summary", "Buyers by activity and value segment"),
-    ("buyer_activity_value_matrix", "c20_activity_value_matrix", "Activity bands by value bands"),
-    ("buyer_outliers", "c22_buyer_outliers", "Buyers of the three high segments"),
-    ("top_buyers_by_value", "c13_top_buyers_by_value", "Largest buyers by value"),
-    ("top_buyers_by_count", "c13_top_buyers_by_count", "Largest buyers by awards"),
-    ("buyer_procurement_method", "c14_method_by_buyer", "Methods within each buyer"),
-    ("buyer_direct_limited", "c15_direct_limited_exposure", "Direct and limited exposure of buyers"),
-    ("buyer_long_duration", "c16_long_duration_exposure", "Long contracts of buyers"),
-    ("buyer_data_quality", "d38_buyer_quality", "Data quality of buyers"),
-    ("review_population", "c26_review_population", "Awards of high and priority review"),
-)
-# Metric, category, unit, what it is, what to mind.
+    ("kpis", "c24_executive_kpis", "metric"),
+    ("procurement_method", "c25_method_mart", "method_group"), ("value_distribution", "c25_value_mart", "value_band"), ("duration_distribution", "c25_duration_mart", "duration_band"),
+    ("supplier_structure", "c09_structure_summary", "structure"), ("supplier_concentration", "c05_supplier_concentration", "percentile"),
+    ("supplier_value_distribution", "c06_supplier_value_distribution", "value_band"), ("supplier_summary", "c04_supplier_summary", "supplier_key"),
+    ("buyer_overview", "c11_buyer_overview", "buyer_key"), ("buyer_activity_bands", "c19_activity_bands", "activity_band"), ("buyer_segments", "c21_segment_summary", "segment"),
+    ("buyer_activity_value_matrix", "c20_activity_value_matrix", "activity_band, value_band"), ("buyer_outliers", "c22_buyer_outliers", "buyer_key"),
+    ("top_buyers_by_value", "c13_top_buyers_by_value", "buyer_key"), ("top_buyers_by_count", "c13_top_buyers_by_count", "buyer_key"),
+    ("buyer_procurement_method", "c14_method_by_buyer", "buyer_key, method_group"), ("buyer_direct_limited", "c15_direct_limited_exposure", "buyer_key"),
+    ("buyer_long_duration", "c16_long_duration_exposure", "buyer_key"), ("buyer_data_quality", "d38_buyer_quality", "metric"), ("review_population", "c26_review_population", "award_id"),
+)
+_DATED = "latest versions of awards with a start and an end"
+# What each figure of the KPI, structure, concentration, buyer and review marts is made of: mart, column or metric, unit, how it is worked out, over which rows.
 METRICS = (
-    ("allocated_award_value", "Financial", "GBP", "Value of all awards in the dataset", "Not payments made"),
-    ("allocated_supplier_value", "Supplier", "GBP", "Award value shared among usable suppliers", "Shared equally among the suppliers of an award"),
-    ("supplier_concentration_top_1_percent", "Supplier", "%", "Share of allocated value held by the largest one percent of suppliers", "Only awards with usable suppliers"),
-    ("buyer_activity", "Buyer", "Count", "Awards of a buyer", "Buyers are told apart by buyer_key, not by name"),
-    ("buyer_allocated_value", "Buyer", "GBP", "Value of a buyer's awards", "Not payments made"),
-    ("pri_score", "Review", "Score", "Points of the review indicator", "A screening aid, no sign of wrongdoing"),
-    ("pri_category", "Review", "Category", "Category of the points", "Marks what to look at, proves nothing"),
-    ("procurement_method", "Procurement", "Category", "Recorded method", "Missing ones count as Unknown"),
-    ("contract_duration_years", "Contract", "Years", "Length from start to end", "A long contract alone is no problem"),
-    ("supplier_identity_review_flag", "Data quality", "Flag", "Supplier with varying names", "Suppliers are not merged by themselves"),
-)
+    ("kpis", "awards", "rows", "count of rows", _DATED), ("kpis", "value", "GBP", "sum of award_value, nulls left out", _DATED), ("kpis", "median_value", "GBP", "exact median of award_value", f"{_DATED} and a value"),
+    ("kpis", "most", "GBP", "largest award_value", f"{_DATED} and a value"), ("kpis", "missing_value", "rows", "rows with a null award_value", _DATED),
+    ("kpis", "missing_method", "rows", "rows with a null procurement_method", _DATED), ("kpis", "missing_category", "rows", "rows with a null procurement_category", _DATED),
+    ("kpis", "missing_supplier", "rows", "rows without a supplier whose canonical name passes the six patterns", _DATED), ("kpis", "priority", "rows", "rows with a third score of 6 or more", _DATED),
+    ("kpis", "high", "rows", "rows with a third score of 4 or 5", _DATED), ("kpis", "most_points", "points", "largest third score: value 0 to 3, length 0 to 2, method 0 to 2, single supplier 0 to 1", _DATED),
+    ("kpis", "buyers", "keys", "distinct buyer_key: the id, or the upper-cased name where there is none", _DATED),
+    ("supplier_concentration", "share", "%", "value of the first ceil(n * percentile / 100) suppliers by value, by that of all", "award_value of 0 or more, parted equally among the usable suppliers of an award version"),
+    ("supplier_summary", "value", "GBP", "sum of the supplier's parts", "award_value of 0 or more, parted equally among the usable suppliers of an award version"),
+    ("buyer_overview", "value_rank", "place", "1 plus the number of buyers of a larger value, null as 0", "all buyer keys"), ("buyer_long_duration", "longest_years", "years", "largest length in days by 365.25", "awards of ten years or more"),
+)
 
 
 def metric_dictionary(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(METRICS, "metric string, category string, unit string, definition string, caveat string")
+    return spark.createDataFrame(METRICS, "mart string, metric string, unit string, formula string, population string")
 
 
 def manifest(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(MARTS, "mart string, query string, purpose string")
+    return spark.createDataFrame(MARTS, "mart string, query string, grain string")
 
 
 def consolidate(spark: SparkSession, sf_dir: str, out: str, expected: Mapping[str, float] | None = None, rtol: float = 1e-9, atol: float = 1.0) -> DataFrame:

@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
 from tendrel.operators import gate
 from tendrel.operators import resolution as R
 from tendrel.operators.ranking import settle
 from tendrel.operators.relational import top_missing, validated_join
+from tendrel.sources.tables import load_table
+from tendrel.streaming import ingest
 
 
 def _seen(times, first, again):
@@ -97,6 +100,32 @@ def _missing(spark, sf_dir):
     return top_missing(awards.join(R.build_procurements(R.resolve_releases(raw_releases(spark, sf_dir))).drop("tender_title"), "ocid", "left"), 15)
 
 
+_LINE = StructType([StructField("l_quantity", IntegerType()), StructField("l_orderkey", LongType(), False), StructField("l_shipdate", TimestampType()), StructField("l_returnflag", StringType(), False)])
+
+
+def _texts(spark, sf_dir):
+    """Lines as texts, some of which are no numbers, no dates, or blank."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    key, text = F.col("l_orderkey"), lambda c: F.col(c).cast("string")
+    return rows.select(
+        F.when(key % 11 == 0, "many").otherwise(F.col("l_quantity").cast("int").cast("string")).alias("l_quantity"), F.when(key % 13 > 0, F.concat(F.lit(" "), text("l_orderkey"))).otherwise(" ").alias("l_orderkey"),
+        F.when(key % 17 == 0, "soon").otherwise(text("l_shipdate")).alias("l_shipdate"), F.col("l_returnflag"), F.lit("left out").alias("comment"))
+
+
+def _rejects(spark, sf_dir):
+    return load_table(_texts(spark, sf_dir), _LINE)[1].groupBy("column", "reason").agg(F.count("*").alias("rows"))
+
+
+def _ingested(spark, sf_dir):
+    """The award versions of three batches, of which the last has what the first has."""
+    rows = raw_awards(spark, sf_dir)
+    table = f"{settle(spark.range(1)).inputFiles()[0].rsplit('/', 1)[0]}-table"
+    for part in (0, 1, 2, 0):
+        ingest.upsert_versions(spark, rows.where(F.crc32(F.concat("release_id", "award_status")) % 3 == part), table)
+    out = _doubles(ingest.read_versions(spark, table))
+    return out.groupBy("award_id").agg(F.count("*").alias("rows"), F.max("version_count").alias("versions"), F.count_if("is_latest").alias("latest"), F.max("version_number").alias("last"), F.sum(F.round(F.col("award_value") * 100).cast("long")).alias("pence"))
+
+
 _ORDERS = """(SELECT CAST(o_orderkey AS VARCHAR) AS release_id, 'ocid-' || CAST(o_orderkey // 3 AS VARCHAR) AS ocid, CASE WHEN o_orderkey % 50 > 0 THEN o_orderdate END AS release_date,
   'Order ' || CAST(o_orderkey AS VARCHAR) AS tender_title, o_orderstatus AS tender_status, CASE WHEN o_custkey % 50 > 0 THEN CAST(o_custkey AS VARCHAR) END AS buyer_id, o_orderpriority AS procurement_method,
   CASE WHEN o_orderkey % 6 > 0 THEN CAST(o_totalprice AS DECIMAL(14,2)) END AS tender_value,
@@ -198,6 +227,10 @@ _SQL: dict[str, tuple[Callable, str]] = {
     "d39_top_missing": (_missing, f"""SELECT name AS field, missing, CAST(round(CAST(100 * missing / n::DOUBLE AS DECIMAL(30,8)), 2) AS DOUBLE) AS missing_percent FROM ({' UNION ALL '.join(
       f"SELECT '{c}' AS name, count(*) - count({t}.{c}) AS missing, count(*) AS n FROM {_AWARD_FILES} a LEFT JOIN {_PROCUREMENTS} p ON a.ocid = p.ocid" for c, t in _MISSING)}) x
       WHERE missing > 0 ORDER BY missing DESC, field LIMIT 15"""),
+    "s09_loaded_table": (lambda s, d: load_table(_texts(s, d), _LINE)[0], "SELECT CAST(l_quantity AS INTEGER) AS l_quantity, l_orderkey, l_shipdate, l_returnflag FROM lineitem WHERE l_orderkey % 11 > 0 AND l_orderkey % 13 > 0 AND l_orderkey % 17 > 0"),
+    "s09_rejected_values": (_rejects, """SELECT 'l_quantity' AS "column", 'not a int' AS reason, count(*) AS rows FROM lineitem WHERE l_orderkey % 11 = 0 UNION ALL SELECT 'l_orderkey', 'missing', count(*) FROM lineitem WHERE l_orderkey % 13 = 0
+      UNION ALL SELECT 'l_shipdate', 'not a timestamp', count(*) FROM lineitem WHERE l_orderkey % 17 = 0"""),
+    "i01_ingested_versions": (_ingested, f"SELECT award_id, count(*) AS rows, count(*) AS versions, 1::BIGINT AS latest, count(*) AS last, sum(CAST(round(award_value * 100) AS BIGINT))::BIGINT AS pence FROM {_AWARDS} a GROUP BY award_id"),
     "j08_validated_join": (_validated, f"SELECT a.award_id, a.release_id, a.ocid, a.award_status, p.tender_status, p.procurement_method FROM {_AWARDS} a LEFT JOIN {_PROCUREMENTS} p ON a.ocid = p.ocid"),
 }
 

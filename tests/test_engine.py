@@ -133,7 +133,7 @@ def test_incremental_ingest(spark, tmp_path):
         (source / f"{name}.csv").write_text(header + rows)
         ingest.ingest_stream(spark, str(source), schema, table, str(tmp_path / "ck")).awaitTermination()
     spark.catalog.clearCache()
-    got = {(r.award_id, r.release_id, r.version_number, r.version_count, r.is_latest) for r in spark.read.parquet(table).collect()}
+    got = {(r.award_id, r.release_id, r.version_number, r.version_count, r.is_latest) for r in ingest.read_versions(spark, table).collect()}
     assert got == {("A", "r1", 1, 3, False), ("A", "r2", 2, 3, False), ("A", "r3", 3, 3, True), ("B", "r1", 1, 1, True)}
 
 
