@@ -67,7 +67,11 @@ def statements(d: Dialect) -> dict[str, str]:
         "d04_grain_lineitem": "SELECT count(*) AS repeated_keys, count(CASE WHEN contents = 1 THEN 1 END) AS identical, count(CASE WHEN contents > 1 THEN 1 END) AS conflicting, CAST(sum(n) AS BIGINT) AS rows_in_them FROM (SELECT award_id, release_id, count(*) AS n, count(DISTINCT coalesce(CAST(release_date AS STRING), '') || '|' || coalesce(CAST(award_value AS STRING), '<NULL>') || '|' || CAST(suppkey AS STRING)) AS contents FROM raw_awards GROUP BY award_id, release_id HAVING count(*) > 1) x",
         "d05_conflict_fields": "SELECT award_id, release_id, concat_ws('; ', CASE WHEN a > 1 THEN 'award_value' END, CASE WHEN b > 1 THEN 'contract_end' END, CASE WHEN c > 1 THEN 'contract_start' END) AS fields FROM (SELECT award_id, release_id, count(DISTINCT coalesce(CAST(award_value AS STRING), '<NULL>')) AS a, count(DISTINCT coalesce(CAST(contract_end AS STRING), '<NULL>')) AS b, count(DISTINCT coalesce(CAST(contract_start AS STRING), '<NULL>')) AS c FROM raw_awards GROUP BY award_id, release_id HAVING count(*) > 1) x",
         "d06_ids_with_several_names": "SELECT supplier_id, count(*) AS relationships, count(DISTINCT supplier_name_normalized) AS names FROM award_suppliers WHERE supplier_id IS NOT NULL GROUP BY supplier_id HAVING count(DISTINCT supplier_name_normalized) > 1",
-        "d07_placeholder_ids": f"SELECT supplier_id, count(*) AS relationships, {d.joined('supplier_name')} AS names FROM award_suppliers WHERE supplier_id_quality = 'unreliable' AND supplier_id IS NOT NULL GROUP BY supplier_id",
+        "d07_placeholder_ids": f"""SELECT c.supplier_id, c.relationships, m.names FROM (SELECT supplier_id, count(*) AS relationships FROM award_suppliers WHERE supplier_id_quality = 'unreliable' AND supplier_id IS NOT NULL
+            GROUP BY supplier_id) c LEFT JOIN (SELECT supplier_id AS id, {d.joined('supplier_name')} AS names FROM (
+              SELECT supplier_id, supplier_name, row_number() OVER (PARTITION BY supplier_id ORDER BY supplier_name) AS rn FROM (
+                SELECT DISTINCT supplier_id, supplier_name FROM award_suppliers WHERE supplier_id_quality = 'unreliable' AND supplier_id IS NOT NULL AND supplier_name IS NOT NULL) y) x
+              WHERE rn <= 20 GROUP BY supplier_id) m ON c.supplier_id = m.id""",  # the first twenty names in order, so that no id has an unbounded list
         "d08_repeated_keys": "SELECT ocid, count(*) AS n, count(DISTINCT release_id) AS releases, count(DISTINCT award_value) AS award_values, count(DISTINCT contract_end) AS ends FROM raw_awards GROUP BY ocid HAVING count(*) > 1",
         "d09_releases_per_award": "SELECT count(*) AS awards, count(CASE WHEN n = 1 THEN 1 END) AS single, count(CASE WHEN n > 1 THEN 1 END) AS several, max(n) AS most FROM (SELECT award_id, count(*) AS n FROM award_versions GROUP BY award_id) x",
         "d10_tag_distribution": f"SELECT release_tag, count(*) AS releases, {pct('count(*)', 'sum(count(*)) OVER ()')} AS percent FROM releases GROUP BY release_tag",

@@ -23,7 +23,7 @@ SOURCES = ("orders", "lineitem", "customer", "supplier")
 #: Steps with windows, joins or aggregates of whole tables; what only scans a table and works out columns is quicker done again.
 SHARED = frozenset((
     "award_versions", "raw_links", "keyed_links", "suppliers", "award_suppliers", "link_counts", "allocated", "supplier_totals", "award_counts", "allocations", "usable_allocations",
-    "score_v1", "score_v2", "score_v3", "dataset", "buyers", "overview",
+    "score_v1", "score_v2", "score_v3", "dataset", "buyers", "buyer_facts", "overview",
 ))
 _NAMED = re.compile(r"\b(FROM|JOIN)(\s+)([a-z_0-9]+)\b")
 

@@ -7,32 +7,27 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .marts_full import KPIS
 from .run import queries
 
 # Mart: the query that fills it, the columns that tell its rows apart.
 MARTS = (
-    ("kpis", "c24_executive_kpis", "metric"),
-    ("procurement_method", "c25_method_mart", "method_group"), ("value_distribution", "c25_value_mart", "value_band"), ("duration_distribution", "c25_duration_mart", "duration_band"),
-    ("supplier_structure", "c09_structure_summary", "structure"), ("supplier_concentration", "c05_supplier_concentration", "percentile"),
-    ("supplier_value_distribution", "c06_supplier_value_distribution", "value_band"), ("supplier_summary", "c04_supplier_summary", "supplier_key"),
-    ("buyer_overview", "c11_buyer_overview", "buyer_key"), ("buyer_activity_bands", "c19_activity_bands", "activity_band"), ("buyer_segments", "c21_segment_summary", "segment"),
-    ("buyer_activity_value_matrix", "c20_activity_value_matrix", "activity_band, value_band"), ("buyer_outliers", "c22_buyer_outliers", "buyer_key"),
-    ("top_buyers_by_value", "c13_top_buyers_by_value", "buyer_key"), ("top_buyers_by_count", "c13_top_buyers_by_count", "buyer_key"),
-    ("buyer_procurement_method", "c14_method_by_buyer", "buyer_key, method_group"), ("buyer_direct_limited", "c15_direct_limited_exposure", "buyer_key"),
-    ("buyer_long_duration", "c16_long_duration_exposure", "buyer_key"), ("buyer_data_quality", "d38_buyer_quality", "metric"), ("review_population", "c26_review_population", "award_id"),
+    ("kpis", "mart_kpis", "metric"), ("procurement_method", "mart_procurement_method", "procurement_method_group"), ("value_distribution", "mart_value_distribution", "award_value_band"),
+    ("duration_distribution", "mart_duration_distribution", "duration_band"), ("supplier_structure", "mart_supplier_structure", "supplier_structure"),
+    ("supplier_concentration", "mart_supplier_concentration", "supplier_percentile"), ("supplier_value_distribution", "mart_supplier_value_distribution", "value_band"),
+    ("supplier_summary", "mart_supplier_summary", "supplier_key"), ("buyer_overview", "mart_buyer_overview", "buyer_key"), ("buyer_activity_bands", "mart_buyer_activity_bands", "activity_band"),
+    ("buyer_segments", "mart_buyer_segments", "buyer_segment"), ("buyer_activity_value_matrix", "mart_buyer_activity_value_matrix", "activity_band, value_band"), ("buyer_outliers", "c22_buyer_outliers", "buyer_key"),
+    ("top_buyers_by_value", "mart_top_buyers_by_value", "buyer_key"), ("top_buyers_by_count", "mart_top_buyers_by_count", "buyer_key"), ("buyer_procurement_method", "c14_method_by_buyer", "buyer_key, method_group"),
+    ("buyer_direct_limited", "mart_buyer_direct_limited", "buyer_key"), ("buyer_long_duration", "mart_buyer_long_duration", "buyer_key"), ("buyer_data_quality", "mart_buyer_data_quality", "metric"),
+    ("review_population", "mart_review_population", "award_id"),
 )
 _DATED = "latest versions of awards with a start and an end"
 # What each figure of the KPI, structure, concentration, buyer and review marts is made of: mart, column or metric, unit, how it is worked out, over which rows.
 METRICS = (
-    ("kpis", "awards", "rows", "count of rows", _DATED), ("kpis", "value", "GBP", "sum of award_value, nulls left out", _DATED), ("kpis", "median_value", "GBP", "exact median of award_value", f"{_DATED} and a value"),
-    ("kpis", "most", "GBP", "largest award_value", f"{_DATED} and a value"), ("kpis", "missing_value", "rows", "rows with a null award_value", _DATED),
-    ("kpis", "missing_method", "rows", "rows with a null procurement_method", _DATED), ("kpis", "missing_category", "rows", "rows with a null procurement_category", _DATED),
-    ("kpis", "missing_supplier", "rows", "rows without a supplier whose canonical name passes the six patterns", _DATED), ("kpis", "priority", "rows", "rows with a third score of 6 or more", _DATED),
-    ("kpis", "high", "rows", "rows with a third score of 4 or 5", _DATED), ("kpis", "most_points", "points", "largest third score: value 0 to 3, length 0 to 2, method 0 to 2, single supplier 0 to 1", _DATED),
-    ("kpis", "buyers", "keys", "distinct buyer_key: the id, or the upper-cased name where there is none", _DATED),
-    ("supplier_concentration", "share", "%", "value of the first ceil(n * percentile / 100) suppliers by value, by that of all", "award_value of 0 or more, parted equally among the usable suppliers of an award version"),
-    ("supplier_summary", "value", "GBP", "sum of the supplier's parts", "award_value of 0 or more, parted equally among the usable suppliers of an award version"),
-    ("buyer_overview", "value_rank", "place", "1 plus the number of buyers of a larger value, null as 0", "all buyer keys"), ("buyer_long_duration", "longest_years", "years", "largest length in days by 365.25", "awards of ten years or more"),
+    *[("kpis", metric, "GBP" if "value" in metric and "missing" not in metric else "points" if "score" in metric else "rows", text, _DATED) for metric, (_, text) in KPIS.items()],
+    ("supplier_concentration", "value_share_percent", "%", "value of the first ceil(n * percentile / 100) suppliers by value, by that of all", "award_value of 0 or more, parted equally among the usable suppliers of an award version"),
+    ("supplier_summary", "allocated_award_value", "GBP", "sum of the supplier's parts", "award_value of 0 or more, parted equally among the usable suppliers of an award version"),
+    ("buyer_overview", "value_rank", "place", "1 plus the number of buyers of a larger value, null as 0", "all buyer keys"), ("buyer_long_duration", "maximum_duration_years", "years", "largest length in days by 365.25", "awards of ten years or more"),
 )
 
 
@@ -57,12 +52,12 @@ def consolidate(spark: SparkSession, sf_dir: str, out: str, expected: Mapping[st
     read = lambda mart: spark.read.parquet(f"{out}/{mart}")
     kpis = {r["metric"]: r["value"] for r in read("kpis").collect()}  # a dozen metrics
     checks = [(f"{mart} has rows", float(not read(mart).isEmpty()), 1.0) for mart, _, _ in MARTS if mart not in ("review_population", "buyer_outliers", "buyer_long_duration")]
-    for mart, awards, value in (("buyer_overview", "awards", "value"), ("procurement_method", "award_count", "allocated_value"), ("value_distribution", "award_count", "allocated_value"), ("duration_distribution", "award_count", "allocated_value"),
-                                ("buyer_activity_bands", "awards", "value"), ("buyer_segments", "awards", "value")):
-        n, v = read(mart).agg(F.sum(awards), F.sum(value)).first()
-        checks += [(f"{mart} awards", float(n or 0), kpis["awards"]), (f"{mart} value", float(v or 0), kpis["value"] or 0.0)]
-    checks.append(("buyer_overview buyers", float(read("buyer_overview").count()), kpis["buyers"]))
-    checks.append(("review_population awards", float(read("review_population").count()), kpis["priority"] + kpis["high"]))
+    for mart, value in (("buyer_overview", "allocated_award_value"), ("procurement_method", "allocated_value"), ("value_distribution", "allocated_value"), ("duration_distribution", "allocated_value"),
+                        ("buyer_activity_bands", "allocated_value"), ("buyer_segments", "allocated_value"), ("buyer_activity_value_matrix", "allocated_value")):
+        count, total = read(mart).agg(F.sum("award_count"), F.sum(value)).first()
+        checks += [(f"{mart} awards", float(count or 0), kpis["total_awards"]), (f"{mart} value", float(total or 0), kpis["allocated_award_value"] or 0.0)]
+    checks.append(("buyer_overview buyers", float(read("buyer_overview").count()), kpis["unique_buyer_entities"]))
+    checks.append(("review_population awards", float(read("review_population").count()), kpis["high_priority_review_records"]))
     checks += [(f"expected {name}", kpis.get(name), float(want)) for name, want in (expected or {}).items()]
     within = lambda a, e: a is not None and abs(a - e) <= atol + rtol * abs(e)
     return spark.createDataFrame([(name, a, e, "PASS" if within(a, e) else "FAIL") for name, a, e in checks], "check string, actual double, expected double, status string")

@@ -19,6 +19,10 @@ QUANTILES = {
     "value_band_quantiles": ("SELECT value_band AS k, award_value AS x FROM dataset", (0.5,)),
     "duration_band_quantiles": ("SELECT duration_band AS k, award_value AS x FROM dataset", (0.5,)),
     "activity_band_quantiles": ("SELECT activity_band AS k, awards AS x FROM overview", (0.5,)),
+    "buyer_quantiles": ("SELECT buyer_key AS k, award_value AS x FROM dataset", (0.5,)),
+    "activity_value_quantiles": ("SELECT activity_band AS k, coalesce(value, 0) AS x FROM overview", (0.5,)),
+    "segment_award_quantiles": ("SELECT segment AS k, awards AS x FROM overview", (0.5,)),
+    "segment_value_quantiles": ("SELECT segment AS k, coalesce(value, 0) AS x FROM overview", (0.5,)),
     "buyer_award_quantiles": ("SELECT awards AS x FROM overview", (0.5,)),
     "buyer_value_quantiles": ("SELECT value AS x FROM overview", (0.95,)),
     "buyer_filled_value_quantiles": ("SELECT coalesce(value, 0) AS x FROM overview", (0.5,)),

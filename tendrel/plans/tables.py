@@ -162,6 +162,9 @@ def steps(d: Dialect) -> dict[str, str]:
             CASE WHEN buyer_id IS NOT NULL AND trim(buyer_id) <> '' THEN 'ID:' || trim(buyer_id) ELSE 'NAME:' || upper({d.squeezed("coalesce(buyer_name, 'Unknown buyer')")}) END AS buyer_key FROM score_v3""",
         "buyers": """SELECT buyer_key, count(*) AS awards, sum(award_value) AS value, max(duration_days) AS longest_days, sum(CASE WHEN structure = 'Single supplier' THEN award_value END) AS single_value,
             sum(CASE WHEN method_group IN ('Direct', 'Limited') THEN award_value END) AS direct_value, count(CASE WHEN award_value IS NULL THEN 1 END) AS missing_values, count(DISTINCT buyer_name) AS names FROM dataset GROUP BY buyer_key""",
+        "buyer_facts": f"""SELECT buyer_key, count(*) AS award_count, coalesce(sum(award_value), 0) AS value, count(award_value) AS valued, count(CASE WHEN structure = 'Single supplier' THEN 1 END) AS single,
+            count(CASE WHEN structure = 'Multiple suppliers' THEN 1 END) AS multiple, count(CASE WHEN structure = 'No usable supplier' THEN 1 END) AS unsupplied, max(duration_days) AS longest,
+            count(DISTINCT buyer_name) AS names, {d.joined('buyer_name', ' | ')} AS variants FROM dataset GROUP BY buyer_key""",
         "buyer_names": "SELECT buyer_key, buyer_name FROM (SELECT buyer_key, buyer_name, row_number() OVER (PARTITION BY buyer_key ORDER BY count(*) DESC, buyer_name) AS rn FROM dataset WHERE buyer_name IS NOT NULL GROUP BY buyer_key, buyer_name) x WHERE rn = 1",
         "overview": f"""SELECT b.*, n.buyer_name, {band('b.awards', ACTIVITY_BANDS)} AS activity_band, {band('b.value', VALUE_BANDS)} AS value_band,
             CASE WHEN b.awards >= 50 AND b.value >= 100000000 THEN 'High activity / High value' WHEN b.awards >= 50 THEN 'High activity / Lower value' WHEN b.value >= 100000000 THEN 'Lower activity / High value' ELSE 'Lower activity / Lower value' END AS segment

@@ -33,7 +33,7 @@ def twin(sf_dir):
 
 
 CHECKED = ["q03_03_by_method", "q03_13b_top5", "q04_07_top_by_value", "q04_16_concentration", "q05_08_participation", "q05_12_review_candidates", "q05_13_score_v1", "q05_19_score_v3", "q06_03_counts_per_award",
-           "c18_buyer_review", "c20_activity_value_matrix", "d31_quality_gate", "w10_tag_sequences", *registry.queries()]
+           "c18_buyer_review", "c20_activity_value_matrix", "d31_quality_gate", "w10_tag_sequences", "d07_placeholder_ids", "mart_kpis", "mart_buyer_overview", "mart_buyer_segments", "mart_supplier_concentration", "mart_review_population", *registry.queries()]
 
 
 @pytest.mark.parametrize("name", CHECKED)
@@ -160,9 +160,9 @@ def test_small_operators(spark):
 
 
 def test_marts(spark, sf_dir, tmp_path):
-    checks = marts.consolidate(spark, sf_dir, str(tmp_path), {"awards": 1}).collect()
-    assert [r.check for r in checks if r.status == "FAIL"] == ["expected awards"]
-    assert spark.read.parquet(str(tmp_path / "manifest")).count() == 20 and run.describe_marts(spark, {"kpis": str(tmp_path / "kpis")}).first().rows == 12
+    checks = marts.consolidate(spark, sf_dir, str(tmp_path), {"total_awards": 1}).collect()
+    assert [r.check for r in checks if r.status == "FAIL"] == ["expected total_awards"]
+    assert spark.read.parquet(str(tmp_path / "manifest")).count() == 20 and run.describe_marts(spark, {"kpis": str(tmp_path / "kpis")}).first().rows == 14
 
 
 def test_catalogue_runner(spark, sf_dir, tmp_path):
