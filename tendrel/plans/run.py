@@ -7,18 +7,18 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import analytics, catalog, marts_full, oracles, resolved
+from . import analytics, catalog, marts_full, oracles, resolved, score_checks
 from .dialect import SPARK, TWIN
 from .layer import SOURCES as SOURCES
 from .layer import Layer
 from .tables import with_steps
 
 def spark_sql() -> dict[str, str]:
-    return {k: v for part in (catalog, analytics, marts_full) for k, v in part.statements(SPARK).items()}
+    return {k: v for part in (catalog, analytics, marts_full, score_checks) for k, v in part.statements(SPARK).items()}
 
 
 def twin_sql() -> dict[str, str]:
-    return {k: with_steps(v, TWIN) for part in (catalog, analytics, marts_full) for k, v in part.statements(TWIN).items()} | oracles.statements() | resolved.oracle_sql()
+    return {k: with_steps(v, TWIN) for part in (catalog, analytics, marts_full) for k, v in part.statements(TWIN).items()} | oracles.statements() | score_checks.oracle_sql() | resolved.oracle_sql()
 
 
 def run_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:

@@ -33,7 +33,7 @@ def twin(sf_dir):
 
 
 CHECKED = ["q03_03_by_method", "q03_13b_top5", "q04_07_top_by_value", "q04_16_concentration", "q05_08_participation", "q05_12_review_candidates", "q05_13_score_v1", "q05_19_score_v3", "q06_03_counts_per_award",
-           "c18_buyer_review", "c20_activity_value_matrix", "d31_quality_gate", "w10_tag_sequences", "d07_placeholder_ids", "mart_kpis", "mart_buyer_overview", "mart_buyer_segments", "mart_supplier_concentration", "mart_review_population", *registry.queries()]
+           "c18_buyer_review", "c20_activity_value_matrix", "d31_quality_gate", "w10_tag_sequences", "d07_placeholder_ids", "mart_kpis", "mart_buyer_overview", "mart_buyer_segments", "mart_supplier_concentration", "mart_review_population", "c28_components", "c28_methods", "c28_candidates", *registry.queries()]
 
 
 @pytest.mark.parametrize("name", CHECKED)
