@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import analytics, catalog, marts_full, oracles, resolved, score_checks
+from . import analytics, catalog, marts_full, notice_files, oracles, pages, resolved, score_checks
 from .dialect import SPARK, TWIN
 from .layer import SOURCES as SOURCES
 from .layer import Layer
@@ -18,7 +18,7 @@ def spark_sql() -> dict[str, str]:
 
 
 def twin_sql() -> dict[str, str]:
-    return {k: with_steps(v, TWIN) for part in (catalog, analytics, marts_full) for k, v in part.statements(TWIN).items()} | oracles.statements() | score_checks.oracle_sql() | resolved.oracle_sql()
+    return {k: with_steps(v, TWIN) for part in (catalog, analytics, marts_full) for k, v in part.statements(TWIN).items()} | oracles.statements() | score_checks.oracle_sql() | resolved.oracle_sql() | pages.oracle_sql() | notice_files.oracle_sql()
 
 
 def run_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
@@ -26,7 +26,7 @@ def run_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, sf_dir, text=text: run_sql(spark, sf_dir, text)) for name, text in spark_sql().items()} | resolved.queries()
+    return {name: (lambda spark, sf_dir, text=text: run_sql(spark, sf_dir, text)) for name, text in spark_sql().items()} | resolved.queries() | pages.queries() | notice_files.queries()
 
 
 def run_catalog(spark: SparkSession, sf_dir: str, out: str, names: Iterable[str] | None = None) -> DataFrame:

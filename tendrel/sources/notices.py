@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tendrel.functions.columns import blank_to_null, safe_ratio, to_number, to_utc, whole_days, year_month
+from tendrel.operators.ranking import settle
 from tendrel.operators.relational import keep_one, presence_flags
 
 RELEASE = "releases/0/"
@@ -28,24 +29,43 @@ def _csv(spark: SparkSession, paths: list[str] | str, encoding: str) -> DataFram
     return spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", encoding).csv(paths)
 
 
+def _lines(spark: SparkSession, glob: str) -> DataFrame:
+    """file, place, line and whether its quotes are odd. Lines keep their bytes: a newline is never part of a longer character, so files may be cut anywhere between them.
+    A place is the start of the piece of the file and the order within it."""
+    line = F.col("value")
+    odd = (F.octet_length(line) - F.octet_length(F.replace(line, F.lit('"'), F.lit("")))) % 2 == 1
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return spark.read.text(glob).select(F.col("_metadata.file_path").alias("file"), place.alias("place"), line.alias("line"), odd.alias("odd"))
+
+
 def discover_headers(spark: SparkSession, glob: str) -> DataFrame:
-    """file, encoding, header of each file: its first line, as UTF-8 if the whole file is that, else as Latin-1. Raises if there is no file."""
-    files = spark.read.format("binaryFile").load(glob).select("path", F.col("content").cast("string").alias("_t"))  # bytes as they are; nothing is decoded yet
-    head = F.substring_index(F.substring_index("_t", "\n", 1), "\r", 1)
-    files = files.select(F.col("path").alias("file"), F.when(F.is_valid_utf8("_t"), "UTF-8").otherwise("ISO-8859-1").alias("encoding"), head.alias("_head"))
-    text = F.when(F.col("encoding") == "UTF-8", F.col("_head")).otherwise(F.decode(F.col("_head").cast("binary"), "ISO-8859-1"))
-    out = files.select("file", "encoding", F.regexp_replace(text, "^﻿", "").alias("header"))
-    if out.isEmpty():
+    """file, encoding, header of each file that has a line: its first record, as UTF-8 if all of its lines are that, else as Latin-1. Raises if there is no file.
+
+    Files are read in pieces, line by line, and only one line a file and task is shuffled. A first line with an odd number of quotes goes on until the next such line;
+    only files that begin so are read again. Where there is none, the whole file is the header.
+    """
+    first = lambda c: F.min_by(c, "place")
+    files = _lines(spark, glob).groupBy("file").agg(F.bool_and(F.is_valid_utf8("line")).alias("utf8"), first("line").alias("head"), first("odd").alias("goes_on"))
+    files = settle(files)
+    if files.isEmpty():
         raise FileNotFoundError(glob)
-    return out
+    whole, broken = files.where("NOT goes_on"), files.where("goes_on")
+    if not broken.isEmpty():
+        lines = settle(_lines(spark, glob).join(broken.select("file"), "file"))  # written, as places hold for one reading only
+        begins = lines.groupBy("file").agg(F.min("place").alias("start"))
+        ends = lines.join(begins, "file").where("odd AND place > start").groupBy("file", "start").agg(F.min("place").alias("end"))
+        inside = lines.join(begins.join(ends.select("file", "end"), "file", "left"), "file").where("place <= end OR end IS NULL")
+        text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]), "\n")
+        whole = whole.unionByName(inside.groupBy("file").agg(text.alias("head")).join(broken.drop("head"), "file"))
+    text = F.when(F.col("utf8"), F.col("head")).otherwise(F.decode(F.col("head").cast("binary"), "ISO-8859-1"))
+    return whole.select("file", F.when(F.col("utf8"), "UTF-8").otherwise("ISO-8859-1").alias("encoding"), F.regexp_replace(text, "^\ufeff", "").alias("header"))
 
 
 def read_notices(spark: SparkSession, glob: str) -> DataFrame:
-    """All files under one set of columns, with source_file. Files of one header and encoding are read together; the number of distinct headers bounds the plan."""
-    groups = defaultdict(list)
-    for r in discover_headers(spark, glob).collect():  # a row a file, header only
-        groups[r.header, r.encoding].append(r.file)
-    parts = [_csv(spark, files, encoding).withColumn("source_file", F.col("_metadata.file_name")) for (_, encoding), files in sorted(groups.items())]
+    """All files under one set of columns, with source_file. Files of one header and encoding are read together; the number of distinct headers bounds the plan,
+    and a header reaches the driver once, with the names of its files."""
+    groups = discover_headers(spark, glob).groupBy("header", "encoding").agg(F.sort_array(F.collect_list("file")).alias("files"))
+    parts = [_csv(spark, r.files, r.encoding).withColumn("source_file", F.col("_metadata.file_name")) for r in sorted(groups.collect(), key=lambda r: (r.header, r.encoding))]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
@@ -88,9 +108,15 @@ def explode_suppliers(df: DataFrame) -> DataFrame:
     return df.select(_at(df, RELEASE + "ocid").alias("ocid"), _at(df, RELEASE + "id").alias("release_id"), "source_file", F.explode(F.array(*places)).alias("s")).select("ocid", "release_id", "source_file", "s.*").where("award_id IS NOT NULL AND (supplier_id IS NOT NULL OR supplier_name IS NOT NULL)")
 
 
+def header_fields(header):
+    """The names in a header, quotes taken off; a comma or a line break within quotes is part of the name."""
+    fields = F.regexp_extract_all(header, F.lit(r'(?:^|,)("(?:[^"]++|"")*+"|[^,]*+)'), F.lit(1))
+    return F.transform(fields, lambda x: F.when(x.startswith('"'), F.replace(F.regexp_replace(x, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(x))
+
+
 def schema_complexity(headers: DataFrame) -> DataFrame:
     """Files by number of award positions, and by the largest supplier position of any award."""
-    names = F.explode(F.split("header", ","))
+    names = F.explode(header_fields(F.col("header")))
     found = headers.select("file", names.alias("c")).select("file", F.regexp_extract("c", r"awards/(\d+)/", 1).try_cast("int").alias("i"), F.regexp_extract("c", r"suppliers/(\d+)/", 1).try_cast("int").alias("j"))
     per_file = found.groupBy("file").agg(F.countDistinct("i").alias("awards"), (F.max("j") + 1).alias("suppliers"))
     return per_file.groupBy("awards", "suppliers").agg(F.count("*").alias("files"))
