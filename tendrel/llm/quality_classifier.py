@@ -55,6 +55,7 @@ def signals(texts: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndar
     per_word = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])[firsts]) / words
     same = np.zeros(len(hashes), bool)
     same[1:] = hashes[1:] == hashes[:-1]
+    same[firsts[:-1][np.diff(firsts) > 0]] = False  # the word before a text's first is another text's
     symbol = np.isin(raw, np.frombuffer(b"#*$%&|<>", np.uint8))
     return {
         "n_words": np.diff(firsts), "symbols": _sums(symbol, offsets) / words, "upper": upper / np.maximum(letters, 1), "bang": _sums(raw == 33, offsets) / words,
