@@ -50,14 +50,20 @@ def supplier_page(suppliers: DataFrame, text: str = "", k: int = 20) -> dict[str
     }
 
 
+def structure_figures(structure: DataFrame) -> DataFrame:
+    """Three figures over the mart of structure."""
+    of = lambda label, c: F.max(F.when(F.col("supplier_structure") == label, F.col(c)))
+    return structure.agg(of("Single supplier", "award_count").alias("single_supplier_awards"), of("Multiple suppliers", "award_count").alias("multiple_supplier_awards"), of("Multiple suppliers", "value_share_percent").alias("multiple_supplier_value_share_percent"))
+
+
+def most_value(buyers: DataFrame, column: str, k: int = 20) -> DataFrame:
+    """The ``k`` buyers with most of the value in ``column``."""
+    return buyers.orderBy(F.desc_nulls_last(column), "buyer_key").limit(k)
+
+
 def structure_page(structure: DataFrame, direct_limited: DataFrame, long_duration: DataFrame, k: int = 20) -> dict[str, DataFrame]:
     """Over the marts of structure, direct or limited and long awards: three figures and the ``k`` buyers with most value in each list."""
-    of = lambda label, c: F.max(F.when(F.col("supplier_structure") == label, F.col(c)))
-    return {
-        "figures": structure.agg(of("Single supplier", "award_count").alias("single_supplier_awards"), of("Multiple suppliers", "award_count").alias("multiple_supplier_awards"), of("Multiple suppliers", "value_share_percent").alias("multiple_supplier_value_share_percent")),
-        "direct_limited": direct_limited.orderBy(F.desc_nulls_last("direct_limited_value"), "buyer_key").limit(k),
-        "long_duration": long_duration.orderBy(F.desc_nulls_last("long_duration_value"), "buyer_key").limit(k),
-    }
+    return {"figures": structure_figures(structure), "direct_limited": most_value(direct_limited, "direct_limited_value", k), "long_duration": most_value(long_duration, "long_duration_value", k)}
 
 
 def review_page(review: DataFrame, categories: Sequence[str] = CATEGORIES) -> dict[str, DataFrame]:
@@ -88,7 +94,10 @@ def _suppliers(part: str) -> Callable:
 
 
 def _structure(part: str) -> Callable:
-    return lambda s, d: structure_page(*[_mart(s, d, f"mart_{m}") for m in ("supplier_structure", "buyer_direct_limited", "buyer_long_duration")])[part]
+    """A part of the structure page from the one mart under it: a mart that is only built runs jobs as well."""
+    mart, made = {"figures": ("supplier_structure", structure_figures), "direct_limited": ("buyer_direct_limited", lambda df: most_value(df, "direct_limited_value")),
+                  "long_duration": ("buyer_long_duration", lambda df: most_value(df, "long_duration_value"))}[part]
+    return lambda s, d: made(_mart(s, d, f"mart_{mart}"))
 
 
 def _review(part: str, categories: Sequence[str]) -> Callable:
