@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tendrel.operators import examples
+from tendrel.operators.ranking import settle
 from tendrel.operators.relational import search
 
 from . import marts_full
@@ -112,6 +113,12 @@ def _links(s, d):
     return _frame(s, d, "SELECT award_id, release_id, supplier_index, supplier_id, supplier_name, supplier_key FROM award_suppliers")
 
 
+def _name_examples(s, d):
+    """Over the distinct names as they are and in capitals: both are what the names of all links have."""
+    names = settle(_frame(s, d, "SELECT DISTINCT supplier_name FROM link_names"))
+    return examples.name_examples(names.select(F.explode(F.array("supplier_name", F.upper("supplier_name"))).alias("supplier_name")), "supplier_name")
+
+
 def _multiplicity(s, d):
     awards = _frame(s, d, "SELECT ocid, release_id, award_id FROM raw_awards")
     return examples.multiplicity({"ocid": (awards, "ocid"), "release_id": (awards, "release_id"), "award_id": (_links(s, d), "award_id")})
@@ -193,7 +200,7 @@ _SQL: dict[str, tuple[Callable, str]] = {
     "d13_multiplicity": (_multiplicity, " UNION ALL ".join(f"SELECT '{p}' AS parent, count(*) AS parents, max(n) AS largest, count(*) FILTER (WHERE n > 1) AS several FROM (SELECT count(*) AS n FROM {t} GROUP BY {p}) x" for p, t in (("ocid", "raw_awards"), ("release_id", "raw_awards"), ("award_id", "award_suppliers")))),
     "d15_name_effect": (lambda s, d: examples.name_effect(_links(s, d), "supplier_name"), f"""SELECT unnest(['raw_names', 'normalised_names', 'revealed', 'groups_with_several']) AS metric,
       unnest([sum(raw_names), count(*), sum(raw_names) - count(*), count(*) FILTER (WHERE raw_names > 1)])::BIGINT AS value FROM {_GROUPS} g"""),
-    "d15_name_examples": (lambda s, d: examples.name_examples(_links(s, d).unionByName(_links(s, d).withColumn("supplier_name", F.upper("supplier_name"))), "supplier_name"),
+    "d15_name_examples": (_name_examples,
       f"""SELECT DISTINCT normalised, raw_names, {_RAW} AS raw_name FROM (SELECT supplier_name FROM award_suppliers UNION ALL SELECT upper(supplier_name) FROM award_suppliers) a JOIN (
       SELECT {_NORM} AS normalised, count(DISTINCT {_RAW}) AS raw_names FROM (SELECT supplier_name FROM award_suppliers UNION ALL SELECT upper(supplier_name) FROM award_suppliers) b WHERE {_RAW} <> ''
       GROUP BY 1 HAVING count(DISTINCT {_RAW}) > 1 ORDER BY 2 DESC, 1 LIMIT 15) g ON {_NORM} = normalised"""),

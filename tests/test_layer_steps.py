@@ -80,3 +80,13 @@ def test_a_part_of_the_structure_page_builds_one_mart(spark, sf_dir, monkeypatch
     monkeypatch.setattr(pages, "_mart", lambda s, d, name: built.append(name) or mart(s, d, name))
     pages._structure(part)(spark, sf_dir)
     assert len(built) == 1
+
+
+def test_name_examples_read_lines_once(spark, sf_dir):
+    """Names are made distinct before they are taken in capitals, and no shared step of links is built for them."""
+    text = "SELECT DISTINCT supplier_name FROM link_names"
+    assert layer.Layer(spark, sf_dir).written(text) == set()
+    got, con = run.queries()["d15_name_examples"](spark, sf_dir), duckdb.connect()
+    for t in (*TABLES, "lineitem"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    assert sorted(map(tuple, got.collect())) == sorted(con.sql(run.twin_sql()["d15_name_examples"]).fetchall())
