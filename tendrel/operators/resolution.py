@@ -1,6 +1,6 @@
 """Resolution of repeated observations: what is equal but for its lineage collapses, what differs stays as a version.
 
-All steps are aggregates by key and content hash, so that copies collapse before they are shuffled, however many there are of one row.
+All steps are aggregates by content or key, so that copies collapse before they are shuffled, however many there are of one row.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tendrel.functions.columns import hash_key, is_placeholder_id, norm_name, relationship_key, supplier_key
+from tendrel.operators.ranking import settle
 from tendrel.operators.relational import require_columns, version_columns
 
 LINEAGE = ("source_file",)
@@ -23,14 +24,16 @@ def drop_copies(df: DataFrame, keys: Sequence[str], lineage: Sequence[str] = LIN
     order = [c for c in lineage if c in df.columns]
     content = [c for c in df.columns if c not in order]
     require_columns(df, keys)
-    place = F.struct(*[x for c in order for x in (F.col(c).isNull(), F.col(c))]) if order else F.lit(0)
-    hashed = df.withColumn("_content", hash_key([F.col(c) for c in content if c not in keys] or [F.lit("")]))
-    return hashed.groupBy(*keys, "_content").agg(F.min_by(F.struct(*df.columns), place).alias("_row")).select("_row.*")
+    if not order:
+        return df.distinct()
+    # the columns themselves are the key: a hash of them beside them would be half of what is shuffled
+    place = F.struct(*[x for c in order for x in (F.col(c).isNull(), F.col(c))])
+    return df.groupBy(*content).agg(F.min_by(F.struct(*order), place).alias("_row")).select(*[F.col(f"_row.{c}").alias(c) if c in order else F.col(c) for c in df.columns])
 
 
 def resolve_releases(df: DataFrame, lineage: str = "source_file") -> DataFrame:
     """One row for each release_id: that of the least source file, nulls last, and of the least content hash among equal ones. Rows without an id are one release."""
-    content = hash_key([F.col(c) for c in df.columns if c != lineage])
+    content = F.unhex(hash_key([F.col(c) for c in df.columns if c != lineage]))  # in the order of its text, in half of the bytes
     place = F.struct(F.col(lineage).isNull(), F.col(lineage), content)
     return df.groupBy("release_id").agg(F.min_by(F.struct(*df.columns), place).alias("_row")).select("_row.*")
 
@@ -45,17 +48,21 @@ def resolve_award_versions(df: DataFrame) -> DataFrame:
     return version_columns(once, "award_id", order).withColumnsRenamed(named)
 
 
+def _id_and_name() -> dict:
+    return {"supplier_name_normalized": norm_name(F.col("supplier_name")), "supplier_id_quality": F.when(is_placeholder_id(F.col("supplier_id")), "unreliable").otherwise("usable")}
+
+
 def resolve_relationships(df: DataFrame) -> DataFrame:
     """Supplier relationships without copies, with the observation key, the normalised name, the quality of the supplier's id, the supplier key, the number of names
     that a usable id goes by, and the identity flag."""
-    keyed = df.withColumn("relationship_observation_key", relationship_key(F.col("award_id"), F.col("release_id"), F.col("supplier_index")))
-    once = drop_copies(keyed, ("relationship_observation_key",))
+    once = drop_copies(df, ("award_id", "release_id", "supplier_index"))
     named = once.withColumns({
-        "supplier_name_normalized": norm_name(F.col("supplier_name")),
-        "supplier_id_quality": F.when(is_placeholder_id(F.col("supplier_id")), "unreliable").otherwise("usable"),
+        "relationship_observation_key": relationship_key(F.col("award_id"), F.col("release_id"), F.col("supplier_index")), **_id_and_name(),
         "supplier_key": supplier_key(F.col("supplier_id"), F.col("supplier_name"), F.col("award_id"), F.col("supplier_index")),
     })
-    names = named.where("supplier_id_quality = 'usable'").groupBy("supplier_id").agg(F.count_distinct("supplier_name_normalized").alias("supplier_id_name_count"))
+    # copies add no name, so names are counted before rows are collapsed. Written, they have a known size: relationships are joined in place while Spark finds them small
+    pairs = df.select("supplier_id", "supplier_name").distinct()
+    names = settle(pairs.withColumns(_id_and_name()).where("supplier_id_quality = 'usable'").groupBy("supplier_id").agg(F.count_distinct("supplier_name_normalized").alias("supplier_id_name_count")))
     flag = F.when(F.col("supplier_id_quality") == "unreliable", "unreliable_id_name_based").when(F.col("supplier_id_name_count") > 1, "id_multiple_names_review")
     usable = F.when(F.col("supplier_id_quality") == "usable", F.col("supplier_id"))
     joined = named.withColumn("_usable_id", usable).join(names.withColumnRenamed("supplier_id", "_usable_id"), "_usable_id", "left").drop("_usable_id")

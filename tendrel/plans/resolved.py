@@ -58,12 +58,11 @@ def raw_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resolved_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The five tables, each written once."""
-    releases = settle(R.resolve_releases(raw_releases(spark, sf_dir)))
-    relationships = settle(R.resolve_relationships(raw_relationships(spark, sf_dir)))
+    """The five tables, unwritten: in one plan over them Spark shuffles the rows of each once and drops the columns that nothing reads."""
+    releases, relationships = R.resolve_releases(raw_releases(spark, sf_dir)), R.resolve_relationships(raw_relationships(spark, sf_dir))
     return {
-        "procurements": settle(R.build_procurements(releases)), "releases": releases, "awards": settle(R.resolve_award_versions(raw_awards(spark, sf_dir))),
-        "relationships": relationships, "suppliers": settle(R.supplier_master(relationships)),
+        "procurements": R.build_procurements(releases), "releases": releases, "awards": R.resolve_award_versions(raw_awards(spark, sf_dir)),
+        "relationships": relationships, "suppliers": R.supplier_master(relationships),
     }
 
 

@@ -59,6 +59,26 @@ def test_copies_of_one_row_collapse_before_the_shuffle(spark):
     assert "partial_min_by" in plan
 
 
+def test_a_hash_is_not_shuffled_with_the_rows_that_it_is_of(spark):
+    raw = spark.createDataFrame([("A", "r1", 1.0, "b"), ("A", "r1", 1.0, "a"), ("A", "r1", 1.0, None), ("A", "r1", 2.0, None), (None, None, None, "b"), (None, None, None, "a")], "award_id string, release_id string, x double, source_file string")
+    once = R.drop_copies(raw, ["award_id", "release_id"])
+    assert "sha2" not in once._jdf.queryExecution().toString() and once.columns == raw.columns
+    assert {tuple(r) for r in once.collect()} == {("A", "r1", 1.0, "a"), ("A", "r1", 2.0, None), (None, None, None, "a")} and once.count() == 3
+
+
+def test_references_are_counted_without_a_join(spark):
+    child = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), ("b", 1), (None, 1), ("c", None)], "k string, n int")
+    parent = spark.createDataFrame([("a", 1), ("a", 1), (None, 1), ("c", None)], "key string, m int")
+    found = gate.edge("e", child, parent, {"k": "key", "n": "m"})
+    assert [r.value for r in found.collect()] == [4] and "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [r.value for r in gate.edge("e", child.limit(0), parent, {"k": "key", "n": "m"}).collect()] == [0]
+
+
+def test_the_gate_writes_no_table(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(resolved, "settle", lambda df: pytest.fail("a table of the gate is written"))
+    assert resolved.queries()["d31_gate_with_verdict"](spark, sf_dir).count() > 40
+
+
 def test_relationships_and_suppliers(spark):
     raw = spark.createDataFrame([
         ("A", "r1", 0, "GB-1", "Acme  Ltd", "a"), ("A", "r1", 0, "GB-1", "Acme  Ltd", "b"), ("A", "r1", 0, "GB-1", "ACME Limited", "a"), ("B", "r2", 0, "GB-COH-0", "Bolt", "a"), ("B", "r2", 1, None, None, None),
