@@ -8,23 +8,22 @@ counted once a document there, so sums of what tasks found are exact.
 
 from __future__ import annotations
 
-import re
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, arrow_rows, cut, input_rows, sized
+from .common import LOWER, arrow_rows, cut, flat_text, input_rows, sized, word_bounds
+from .routing import chunks
 
-#: ``[^\x00-\x40\x5B-\x60\x7B-\x7F]+`` in UTF-8, after lower-casing A-Z.
-TERM = re.compile(rb"[a-z\x80-\xff]+")
+#: For bytes.translate: A-Z lower-cased, spaces for what ``[^\x00-\x40\x5B-\x60\x7B-\x7F]`` doesn't match in UTF-8; what stands between spaces is a term.
+TERMS = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in LOWER)
 FIRST_LEVEL = 4
-#: Keys that a task sums before it hands them on.
-KEYS = 300_000
+#: Occurrences of terms, and bytes of them, that a task holds before it sums them and hands them on.
+KEYS, KEY_BYTES = 3_000_000, 64 << 20
 #: Numbers of a block of the matrix of sources and terms.
 BLOCK = 1_000_000
 SCALE = 1_000_000_000
@@ -33,58 +32,97 @@ _SUMS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("level", pa.
 
 
 class _Sums:
-    """Documents and occurrences by key of the rows since the last flush."""
+    """Documents and occurrences by key of the rows since the last flush. Terms are held as they come, and numbered and counted at the flush, with numpy."""
 
     def __init__(self):
-        self.terms: dict = defaultdict(lambda: (Counter(), Counter()))
-        self.prefixes: dict = defaultdict(Counter)
-
-    def size(self) -> int:
-        return sum(len(times) for times, _ in self.terms.values()) + sum(map(len, self.prefixes.values()))
-
-    def add(self, lang: str, source: str, text: bytes) -> None:
-        words = TERM.findall(text.translate(LOWER))
-        own = set(words)
-        times, docs = self.terms[lang, source]
-        times.update(words)
-        docs.update(own)
-        level, long = FIRST_LEVEL, [w for w in own if len(w) > FIRST_LEVEL]
-        while long:
-            self.prefixes[lang, level].update({w[:level] for w in long})
-            level *= 2
-            long = [w for w in long if len(w) > level]
+        self.words: list[pa.Array] = []
+        #: of each document: language, source and number of words
+        self.docs: tuple[list, list, list] = [], [], []
+        self.held = 0
+
+    def full(self) -> bool:
+        return sum(map(len, self.words)) > KEYS or self.held > KEY_BYTES
+
+    def add(self, langs: list, sources: list, texts: pa.Array) -> None:
+        raw, offsets = flat_text(texts)
+        raw = np.frombuffer(raw.tobytes().translate(TERMS), np.uint8)
+        starts, ends, firsts = word_bounds(raw, offsets)
+        ink = raw[raw != 32]
+        at = np.concatenate([[0], np.cumsum(ends - starts)])
+        words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(ink)]).dictionary_encode()
+        self.words.append(words)
+        self.held += words.dictionary.nbytes
+        for mine, new in zip(self.docs, (langs, sources, np.diff(firsts).tolist())):
+            mine.extend(new)
 
     def flush(self) -> Iterator[pa.RecordBatch]:
-        for (lang, source), (times, docs) in self.terms.items():
-            yield from _batches(lang, source, [_level(len(k)) for k in times], list(times), False, [docs[k] for k in times], list(times.values()))
-        for (lang, level), docs in self.prefixes.items():
-            yield from _batches(lang, None, [level] * len(docs), list(docs), True, list(docs.values()), [0] * len(docs))
+        if not self.words:
+            return
+        words = pa.chunked_array(self.words).unify_dictionaries().combine_chunks()
+        numbers, keys = words.indices.to_numpy(), words.dictionary.cast(pa.binary())
+        counts = np.array(self.docs[2], np.int64)
+        langs, sources = (pa.array(x, pa.string()).dictionary_encode() for x in self.docs[:2])
+        lang_of, source_of = (x.indices.to_numpy().astype(np.int64) for x in (langs, sources))
+        langs, sources = langs.dictionary, sources.dictionary
         self.__init__()
 
+        groups, group_of = np.unique(lang_of * len(sources) + source_of, return_inverse=True)
+        group_of = group_of.astype(np.int32)
+        of_word = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+        group, term, times = _split(group_of[of_word], numbers, len(keys))
+        lang, source = groups[group] // len(sources), groups[group] % len(sources)
+        # documents of a language stand with the first of its sources that has the term
+        doc, own, _ = _split(of_word, numbers, len(keys))
+        docs = np.zeros(len(term), np.int64)
+        docs[np.unique(lang * len(keys) + term, return_index=True)[1]] = _split(lang_of[doc], own, len(keys))[2]
+        sizes = pc.binary_length(keys).to_numpy()
+        levels = np.full(len(keys), FIRST_LEVEL, np.int32)
+        while (levels < sizes).any():
+            levels[levels < sizes] *= 2
+        yield from _batches(langs.take(pa.array(lang)), sources.take(pa.array(source)), levels[term], keys.take(pa.array(term)), False, docs, times)
+
+        level = FIRST_LEVEL
+        while (long := sizes > level).any():
+            begun = pc.binary_slice(keys.filter(pa.array(long)), 0, level).dictionary_encode()
+            of = np.full(len(keys), -1, np.int64)
+            of[long] = begun.indices.to_numpy()
+            prefix = of[own]
+            each, prefix, _ = _split(doc[prefix >= 0], prefix[prefix >= 0], len(begun.dictionary))
+            lang, prefix, docs = _split(lang_of[each], prefix, len(begun.dictionary))
+            n = len(docs)
+            yield from _batches(langs.take(pa.array(lang)), pa.nulls(n, pa.string()), np.full(n, level, np.int32), begun.dictionary.take(pa.array(prefix)), True, docs, np.zeros(n, np.int64))
+            level *= 2
 
-def _level(size: int) -> int:
-    level = FIRST_LEVEL
-    while level < size:
-        level *= 2
-    return level
 
+def _split(a: np.ndarray, b: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs of ``a`` and ``b``, in order, and how often each stands there; ``b`` is below ``size``."""
+    both = a.astype(np.int64)
+    both *= size
+    both += b
+    both.sort()
+    new = np.ones(len(both), bool)
+    new[1:] = both[1:] != both[:-1]
+    at = np.flatnonzero(new)
+    return *np.divmod(both[at], max(size, 1)), np.diff(np.append(at, len(both)))
 
-def _batches(lang, source, levels, keys, open_, docs, times, rows: int = 20_000) -> Iterator[pa.RecordBatch]:
+
+def _batches(langs: pa.Array, sources: pa.Array, levels: np.ndarray, keys: pa.Array, open_: bool, docs: np.ndarray, times: np.ndarray, rows: int = 20_000) -> Iterator[pa.RecordBatch]:
     for k in range(0, len(keys), rows):
         n = len(keys[k : k + rows])
         yield pa.RecordBatch.from_arrays([
-            pa.array([lang] * n, pa.string()), pa.array([source] * n, pa.string()), pa.array(levels[k : k + rows], pa.int32()), pa.array(keys[k : k + rows], pa.binary()),
-            pa.array([open_] * n, pa.bool_()), pa.array(docs[k : k + rows], pa.int64()), pa.array(times[k : k + rows], pa.int64()),
+            langs.slice(k, n), sources.slice(k, n), pa.array(levels[k : k + rows]), keys.slice(k, n),
+            pa.repeat(pa.scalar(open_), n), pa.array(docs[k : k + rows]), pa.array(times[k : k + rows]),
         ], schema=_SUMS)
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums = _Sums()
     for b in batches:
-        for lang, source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-            sums.add(lang, source, text.as_py())
-        if sums.size() > KEYS:
-            yield from sums.flush()
+        langs, sources = b.column(0).to_pylist(), b.column(1).to_pylist()
+        for first, part in chunks(b.column(2).cast(pa.large_binary()).view(pa.large_string())):
+            sums.add(langs[first : first + len(part)], sources[first : first + len(part)], part)
+            if sums.full():
+                yield from sums.flush()
     yield from sums.flush()
 
 
@@ -112,21 +150,19 @@ def _p(times: Column, total: Column, terms: Column) -> Column:
     return F.when(terms > 0, F.call_function("div", whole, (total + terms).cast("decimal(20,0)")) + 1).otherwise(F.lit(0))
 
 
-def _distances(key, terms: pd.DataFrame, groups: pd.DataFrame) -> pd.DataFrame:
+def _distances(key, terms: pa.Table, groups: pa.Table) -> pa.Table:
     """Sums of floor((p - q)^2 / q) over the terms of one block, for every pair of a language's sources. Terms that a source lacks have its least p."""
-    groups = groups.sort_values("source", ignore_index=True)
-    names, n = groups["source"].to_numpy(), len(groups)
-    place = {s: k for k, s in enumerate(names)}
-    columns, at = np.unique(terms["key"].to_numpy(dtype=object), return_inverse=True) if len(terms) else (np.zeros(0), np.zeros(0, np.int64))
+    names, n = groups["source"].combine_chunks(), len(groups)
+    keys = terms["key"].combine_chunks().dictionary_encode()
     total = np.zeros((n, n), np.int64)
-    if len(columns):
-        p = np.repeat(groups["least"].to_numpy(np.int64)[:, None], len(columns), axis=1)
-        p[terms["source"].map(place).to_numpy(), at] = terms["p"].to_numpy(np.int64)
+    if len(keys):
+        p = np.repeat(groups["least"].to_numpy()[:, None], len(keys.dictionary), axis=1)
+        p[pc.index_in(terms["source"], names).to_numpy(), keys.indices.to_numpy()] = terms["p"].to_numpy()
         for k in range(n):
             gap = p[k][None, :] - p
             total[k] = (gap * gap // p).sum(axis=1)
     a, b = np.nonzero(~np.eye(n, dtype=bool))
-    return pd.DataFrame({"lang": [key[0]] * len(a), "source": names[a], "item": names[b], "value": total[a, b]})
+    return pa.table({"lang": pa.repeat(key[0], len(a)), "source": names.take(pa.array(a)), "item": names.take(pa.array(b)), "value": total[a, b]})
 
 
 def divergence(docs: DataFrame, min_docs: int = 3, top: int = 200, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -142,29 +178,27 @@ def divergence(docs: DataFrame, min_docs: int = 3, top: int = 200, text_col: str
     rows = docs.select(text(lang_col).alias("lang"), text(source_col).alias("source"), text(text_col).cast("binary").alias("text"))
     sums = cut(rows.mapInArrow(_summed, "lang string, source string, level int, key binary, open boolean, docs long, times long"), "sums")
     kept = cut(kept_terms(sums, min_docs), "kept")
-    counts = sums.where(~F.col("open")).groupBy("lang", "key", "source").agg(F.sum("times").alias("times")).join(kept, ["lang", "key"], "left_semi")
-    counts = cut(counts, "counts")
+    # rows of a term meet once: for its sum in each source, and for that over all of them
+    found = sums.where(~F.col("open")).select("key", "lang", "source", "times").join(kept, ["key", "lang"], "left_semi")
+    every = F.sum("times").over(Window.partitionBy("key", "lang")).alias("every")
+    counts = cut(found.groupBy("key", "lang", "source").agg(F.sum("times").alias("times")).select("*", every), "counts")
 
     totals = counts.groupBy("lang", "source").agg(F.sum("times").alias("total"))
     sizes = kept.groupBy("lang").agg(F.count("*").alias("terms"))
     groups = rows.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(sizes, "lang", "left").na.fill(0, ["total", "terms"])
+    groups = groups.withColumn("whole", F.sum("total").over(Window.partitionBy("lang")))
     groups = cut(groups.withColumn("least", _p(F.lit(0), F.col("total"), F.col("terms"))), "groups")
-
-    placed = counts.join(sized(groups, 300_000), ["lang", "source"]).withColumn("p", _p(F.col("times"), F.col("total"), F.col("terms"))).select("lang", "source", "key", "p")
-    placed = cut(placed, "placed")
-    whole = groups.groupBy("lang").agg(F.sum("total").alias("total"), F.max("terms").alias("terms"))
-    overall = counts.groupBy("lang", "key").agg(F.sum("times").alias("times")).join(sized(whole, 300_000), "lang")
-    overall = overall.select("lang", "key", _p(F.col("times"), F.col("total"), F.col("terms")).alias("q"))
+    placed = counts.join(sized(groups, 300_000), ["lang", "source"]).withColumn("p", _p(F.col("times"), F.col("total"), F.col("terms")))
 
     # the matrix of sources and terms, in blocks of terms
     cells = groups.groupBy("lang").agg((F.count("*") * F.max("terms")).alias("n")).agg(F.sum("n")).first()[0] or 0
     blocks = -(-int(cells) // BLOCK) or 1
     of_block = groups.select("lang", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "source", "least")
-    of_terms = placed.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
-    apart = of_terms.groupBy("lang", "block").cogroup(of_block.groupBy("lang", "block")).applyInPandas(_distances, "lang string, source string, item string, value long")
+    of_terms = placed.select("lang", "source", "key", "p", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias("block"))
+    apart = of_terms.groupBy("lang", "block").cogroup(of_block.groupBy("lang", "block")).applyInArrow(_distances, "lang string, source string, item string, value long")
     pairs = apart.groupBy("lang", "source", "item").agg(F.sum("value").alias("value")).select("lang", "source", F.lit("pair").alias("part"), "item", "value")
 
-    over = placed.join(overall, ["lang", "key"]).where("p > q").select(
+    over = placed.withColumn("q", _p(F.col("every"), F.col("whole"), F.col("terms"))).where("p > q").select(
         "lang", "source", F.lit("term").alias("part"), F.col("key").cast("string").alias("item"), F.expr("((p - q) * (p - q)) div q").alias("value"))
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), F.asc("item"))
     ranked = pairs.withColumn("rank", F.row_number().over(order))

@@ -7,6 +7,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -140,6 +141,46 @@ def test_divergence(docs, monkeypatch, keys, block):
     assert any(r[0] == "xx" and r[2] == "pair" and r[4] == 0 for r in rows)
 
 
+def sum_batches(rows, at_once):
+    schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("text", pa.binary())])
+    return (pa.RecordBatch.from_pylist([{"lang": x, "source": s, "text": t} for x, s, t in rows[k : k + at_once]], schema=schema) for k in range(0, len(rows), at_once))
+
+
+@pytest.mark.parametrize("keys", [None, 0, 40])
+def test_sums_of_a_task(monkeypatch, keys):
+    """Sums by language, source and key, held against plain Python: bytes that are no UTF-8, terms of several levels, sources of several languages."""
+    if keys is not None:
+        monkeypatch.setattr(source_divergence, "KEYS", keys)
+    rows = [(lang or "", source or "", (text or "").encode()) for _, text, lang, source, *_ in corpus()]
+    rows += [("en", "a", b"\xff\xfeab ab\xff\xfeab x"), ("de", "z", b"@[`{\x7f\x00 09"), ("de", "z", b"")]
+    times, docs = Counter(), Counter()
+    for lang, source, text in rows:
+        words = re.findall(rb"[a-z\x80-\xff]+", text.lower())
+        for w, n in Counter(words).items():
+            times[lang, source, w] += n
+            docs[lang, w, False] += 1
+        for level in (4 << k for k in range(20)):
+            docs.update((lang, p, True) for p in {w[:level] for w in words if len(w) > level})
+    got_times, got_docs = Counter(), Counter()
+    for b in source_divergence._summed(sum_batches(rows, 7)):
+        for r in b.to_pylist():
+            assert r["level"] >= len(r["key"]) and (r["level"] == 4 or r["level"] < 2 * len(r["key"])) and (r["source"] is None) == r["open"]
+            got_docs[r["lang"], r["key"], r["open"]] += r["docs"]
+            if not r["open"]:
+                got_times[r["lang"], r["source"], r["key"]] += r["times"]
+    assert got_times == times and got_docs == docs
+
+
+def test_a_task_hands_on_a_sum_once():
+    """However many sources and languages its documents have: a row for each term of a source, documents of a language in one of them."""
+    words = [f"{''.join(chr(97 + k // 26**j % 26) for j in range(4))}" for k in range(30_000)]
+    rows = [(lang, source, " ".join(words).encode()) for _ in range(4) for lang in "xyz" for source in "abcd"]
+    out = list(source_divergence._summed(sum_batches(rows, 12)))
+    assert sum(b.num_rows for b in out) == 12 * 30_000
+    held = [n for b in out for n in b.column("docs").to_pylist() if n]
+    assert held == [16] * 3 * 30_000
+
+
 def test_prefixes_are_refined(spark):
     """Long terms pass several levels; one that only shares its prefixes with others doesn't stay."""
     long = "a" * 70
