@@ -57,3 +57,16 @@ def test_score_v2_keeps_every_award_and_flags_canonical_names(rows, engine):
     assert len(got) == len(AWARDS)
     assert {r["award_id"]: (r["supplier_reference_text_flag"], r["usable_supplier_count"]) for r in got} == AWARDS
     assert {r["award_id"]: r["procurement_method"] for r in got} == {k: None if k == "13" else "direct" for k in AWARDS}
+
+
+@pytest.mark.parametrize("engine", ["spark", "twin"])
+def test_score_v2_summary_counts_every_award(rows, engine):
+    [got] = rows("q05_15_score_v2_summary", engine)
+    scores, bands = [f"score_{k}" for k in range(9)], ["priority_review", "high_review", "moderate_review", "lower_review"]
+    # awards 8 to 13 are of the two suppliers with two names
+    held = {
+        "total_records": 17, "single_usable_supplier": 8, "multiple_usable_suppliers": 0, "no_usable_supplier": 9, "supplier_identity_review_records": 6, "unreliable_supplier_id_records": 0,
+        "supplier_reference_text_records": 5, "procurement_method_points": 16, "single_supplier_points_records": 8,
+    }
+    assert got.keys() == {*held, *scores, *bands} and {k: got[k] for k in held} == held
+    assert sum(got[k] for k in scores) == sum(got[k] for k in bands) == 17
